@@ -19,6 +19,7 @@ another id is there. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -164,7 +165,82 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
-    """The rows of docs that stay, whole: of each group the document with the smallest id."""
-    stay = components(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
+def word_fingerprints(text: str | None, count: int) -> list[int]:
+    """Several independent fingerprints of a text's words, repeats included."""
+    words = Counter((text or "").encode().lower().split())
+    if not words:
+        return [0] * count
+    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
+    times = np.fromiter(words.values(), np.float32, len(words))
+    out = []
+    with np.errstate(over="ignore"):
+        for k in range(count):
+            x = (base ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(32)
+            set_ = times @ np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+            out.append(int.from_bytes(np.packbits(2 * set_ > times.sum()).tobytes(), "big"))
+    return out
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    parts = (text or "").encode().lower().split()
+    runs = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], np.uint64)).view(np.int64)
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4, threshold: int = 2) -> DataFrame:
+    """Links (a, b) between documents whose sets of word shingles have at least this Jaccard similarity.
+
+    A few changed words change many shingles, and with them more bits of a shingle fingerprint than
+    can be searched for. So candidates come from several independent fingerprints of single words,
+    each searched by anchor points, and every candidate's similarity is computed exactly. Documents of
+    one fingerprint are held against the first of them. No link without the similarity; what is missed
+    are pairs that no fingerprint brings within the threshold. Texts without words link with nothing.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    small = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = np.array([word_fingerprints(t, count) for t in texts], np.uint64).reshape(len(texts), count).view(np.int64)
+            return {"fingerprints": pa.array(list(found), pa.list_(pa.int64()))}
+
+        return apply
+
+    prints = append_columns(small, make, [T.StructField("fingerprints", T.ArrayType(T.LongType(), True))]).select("doc_id", "fingerprints")
+    prints = materialise(prints, "word-fingerprints")
+    candidates = None
+    for k in range(count):
+        rows = prints.select("doc_id", F.col("fingerprints")[k].alias("fingerprint"))
+        values = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "values")
+        near = links(values.select("fingerprint"), threshold)
+        near = near.join(values.toDF("a", "doc_a"), "a").join(values.toDF("b", "doc_b"), "b").select("doc_a", "doc_b")
+        same = rows.join(values, "fingerprint").where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+        found = materialise(near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")), "candidates")
+        candidates = found if candidates is None else candidates.union(found)
+    candidates = materialise(candidates.where("a <> b").distinct(), "candidates")
+    named = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def make_sets():
+        def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            return {"set": pa.array([shingles(t, words) for t in texts], pa.list_(pa.int64()))}
+
+        return apply
+
+    sets = append_columns(small.join(named, "doc_id", "left_semi"), make_sets, [T.StructField("set", T.ArrayType(T.LongType(), True))])
+    sets = materialise(sets.select("doc_id", "set").dropDuplicates(["doc_id"]), "shingles")
+    pairs = candidates.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.where((common > 0) & (common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, whole: of each group of similar documents the one with the smallest id."""
+    joined = connected_components(similar(docs, words, similarity), "similar")
+    gone = materialise(joined.where("node <> component").select(F.col("node").alias("_gone")), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
