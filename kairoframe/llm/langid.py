@@ -122,9 +122,12 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     small_batches(labelled.sparkSession)
     rows = plain(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("lang").count().collect()  # as few rows as there will be prototypes
+    if not counts:
+        return {}
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 20, (SAMPLE << 20) // r["count"]))])
     share = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20))
-    chosen = rows.join(counts, "lang").where(share < F.lit(float(SAMPLE << 20)) / F.col("_n")).select("lang", "text")
+    chosen = rows.where(share < rates[F.col("lang")]).select("lang", "text")
 
     def sums(frames):
         total: dict[str, np.ndarray] = {}
