@@ -9,7 +9,7 @@ repeated rows, ties and extra columns change nothing; a column named like an out
 from __future__ import annotations
 
 import base64
-import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +22,8 @@ from tokenizers import Tokenizer, models
 
 from .common import append_columns, small_batches
 
-# Spark gives each core a task of its own; the library's threads would only compete.
-os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
 #: Pieces in a worker's younger dictionary (the older one holds as many).
-MEMORY = 300_000
+MEMORY = 400_000
 
 
 @lru_cache(None)
@@ -78,12 +75,12 @@ class PieceEncoder:
     one, and what a later batch needs of that moves back, so frequent pieces stay.
     """
 
-    def __init__(self, tokenizer: Tokenizer, mapped: bool):
-        self.tokenizer, self.mapped = tokenizer, mapped
+    def __init__(self, tokenizer: Tokenizer):
+        self.model = tokenizer.model  # the merges alone: pieces are split and mapped here
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
-        self.table = byte_characters()
+        self.table = byte_characters()  # from Latin-1 code points, which are bytes
 
     def learn(self, pieces: set[str]) -> None:
         fresh = []
@@ -93,11 +90,10 @@ class PieceEncoder:
                 fresh.append(piece)
             else:
                 self.young[piece] = known
-        for start in range(0, len(fresh), 20_000):
-            part = fresh[start : start + 20_000]
-            words = [p.encode().decode("latin-1").translate(self.table) for p in part] if self.mapped else part
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.young[piece] = np.array(found.ids, "<u4").tobytes()
+        merge, table, young = self.model.tokenize, self.table, self.young
+        for piece in fresh:
+            ids = [token.id for token in merge(piece.encode().decode("latin-1").translate(table))]
+            young[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -122,7 +118,7 @@ class PieceEncoder:
 
 @lru_cache(4)
 def rank_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(rank_tokenizer(path), mapped=True)
+    return PieceEncoder(rank_tokenizer(path))
 
 
 def byte_offsets(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -36,9 +36,7 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(2)
 def _encoder(tokenizer_path: str) -> PieceEncoder:
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(tokenizer, mapped=False)
+    return PieceEncoder(Tokenizer.from_file(tokenizer_path))
 
 
 def cuts(tokens: int, window: int) -> list[tuple[int, int]]:
