@@ -68,51 +68,42 @@ def rank_tokenizer(path: str) -> Tokenizer:
     return Tokenizer(models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges))
 
 
+class Pieces(dict):
+    """From a piece to its ids, as bytes; what is missing is taken from the older dictionary or merged."""
+
+    def __init__(self, model: models.BPE, older: dict[str, bytes]):
+        super().__init__()
+        self.merge, self.older, self.table = model.tokenize, older, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:  # the table maps Latin-1 code points, which are bytes
+            latin = piece if piece.isascii() else piece.encode().decode("latin-1")
+            ids = [token.id for token in self.merge(latin.translate(self.table))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = found
+        return found
+
+
 class PieceEncoder:
     """Texts to ids (little-endian unsigned 32-bit, as bytes), each distinct piece of the pattern once.
 
     Two dictionaries of bounded size remember pieces: when the younger is full it becomes the older
-    one, and what a later batch needs of that moves back, so frequent pieces stay.
+    one, and what later texts need of that moves back, so frequent pieces stay.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.model = tokenizer.model  # the merges alone: pieces are split and mapped here
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces = Pieces(self.model, {})
         self.split = regex.compile(PATTERN).findall
-        self.table = byte_characters()  # from Latin-1 code points, which are bytes
-
-    def learn(self, pieces: set[str]) -> None:
-        fresh = []
-        for piece in pieces:
-            known = self.old.get(piece)
-            if known is None:
-                fresh.append(piece)
-            else:
-                self.young[piece] = known
-        merge, table, young = self.model.tokenize, self.table, self.young
-        for piece in fresh:
-            ids = [token.id for token in merge(piece.encode().decode("latin-1").translate(table))]
-            young[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            split, chars = [], 0
-            while at < len(texts) and (not split or chars < 1_000_000):
-                text = texts[at] or ""
-                split.append(self.split(text))
-                chars += len(text)
-                at += 1
-            needed = set().union(*split)
-            needed.difference_update(self.young)
-            if needed:
-                self.learn(needed)
-            known = self.young.__getitem__
-            out += [b"".join(map(known, pieces)) for pieces in split]
-            if len(self.young) > MEMORY:
-                self.young, self.old = {}, self.young
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b"")
+            if len(self.pieces) > MEMORY:
+                self.pieces.older = {}
+                self.pieces = Pieces(self.model, dict(self.pieces))
         return out
 
 
