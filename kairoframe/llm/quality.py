@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, plain, small_batches
+from .common import append_columns, materialise, plain, small_batches
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
 #: Rows for bigrams of equal and of different words, and what each bigram counts.
@@ -112,12 +112,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0
     return model
 
 
-def learn(labelled: DataFrame) -> Model:
-    """A model from rows (doc_id, text, quality)."""
-    rows = plain(labelled, "doc_id", "text", "quality").where("quality in (0, 1) and text is not null")
-    rows = rows.where(F.length("text") <= LONGEST).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("quality"))
-    chosen = rows.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "text").limit(SAMPLE).toPandas()
-    return train(chosen["text"].tolist(), chosen["quality"].to_numpy(np.int64))
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from documents (doc_id, text) and their labels (doc_id, quality).
+
+    Only ids and lengths are joined with the labels; the ids chosen, SAMPLE at most, are broadcast to
+    fetch their texts.
+    """
+    known = plain(labels, "doc_id", "quality").where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    texts = plain(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "quality"]
+    ids = texts.select("doc_id", F.length("text").alias("long")).where(F.col("long") <= LONGEST).select("doc_id").join(known, "doc_id").distinct().orderBy(*order).limit(SAMPLE)
+    chosen = materialise(ids, "quality-sample")
+    fetched = texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= LONGEST)
+    rows = fetched.limit(2 * SAMPLE).toPandas().drop_duplicates().sort_values(["doc_id", "quality", "text"])
+    return train(rows["text"].tolist(), rows["quality"].to_numpy(np.int64))
 
 
 class Scorer:

@@ -25,7 +25,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = remainder(4) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held)
-    model = quality.learn(docs.join(labels, "doc_id"))
+    model = quality.learn(docs, labels)
     scored = quality.score(docs, model)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"))
 
