@@ -52,7 +52,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """Every row of docs, its text without repeated passages, with n_lines before and n_removed."""
     gone = materialise(covered(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id"), "covered")
     rows = docs.drop("n_lines", "n_removed")
-    rows = rows.join(gone, rows["doc_id"] == gone["_gone_id"], "left").withColumn("_lines", lines(F.col("text")))
+    rows = rows.join(gone.hint("merge"), rows["doc_id"] == gone["_gone_id"], "left").withColumn("_lines", lines(F.col("text")))
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_gone", i - 1) + 1)
     stop = lambda i: F.coalesce(F.get("_gone", i), F.size("_lines"))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice("_lines", start(i) + 1, stop(i) - start(i))))
