@@ -81,7 +81,7 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WHITE, " ")
     rows = docs.withColumn("_digest", F.unhex(F.sha2(text, 256)))
     same = rows["_digest"].eqNullSafe(kept["_kept_digest"]) & rows["doc_id"].eqNullSafe(kept["_kept_id"])
-    rows = rows.join(kept, same, "left_semi")
+    rows = rows.join(kept.hint("merge"), same, "left_semi")
     if not kept.where("times > 1").isEmpty():  # the same row more than once
         rows = rows.dropDuplicates(["doc_id", "_digest"])
     return rows.drop("_digest")

@@ -232,7 +232,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
 
         return apply
 
-    sets = append_columns(small.join(named, "doc_id", "left_semi"), make_sets, [T.StructField("set", T.ArrayType(T.LongType(), True))])
+    sets = append_columns(small.join(named.hint("merge"), "doc_id", "left_semi"), make_sets, [T.StructField("set", T.ArrayType(T.LongType(), True))])
     sets = materialise(sets.select("doc_id", "set").dropDuplicates(["doc_id"]), "shingles")
     pairs = candidates.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -243,4 +243,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """The rows of docs that stay, whole: of each group of similar documents the one with the smallest id."""
     joined = connected_components(similar(docs, words, similarity), "similar")
     gone = materialise(joined.where("node <> component").select(F.col("node").alias("_gone")), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
