@@ -38,6 +38,8 @@ BITS, RADIUS = 23, 3
 GENERATOR = 0b110001110101
 #: Visitors of an anchor up to which they are compared there; beyond, the exact way for crowds.
 CROWD = 64
+#: Expected documents of a cell in which candidates are verified.
+CELL = 500
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -223,20 +225,61 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
         found = materialise(near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")), "candidates")
         candidates = found if candidates is None else candidates.union(found)
     candidates = materialise(candidates.where("a <> b").distinct(), "candidates")
-    named = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return verify(small, candidates, words, similarity)
 
-    def make_sets():
+
+def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The candidates (a, b) whose sets of shingles have the Jaccard similarity, computed exactly.
+
+    A document's set goes once to the cell where its candidates' component is, not once a pair. Cells
+    hold a bounded expected number of documents: small components share them by hash, and a larger
+    component is cut into blocks whose pairs are cells of their own.
+    """
+    components_of = connected_components(candidates, "candidate-groups").toDF("doc_id", "component")
+    sizes = components_of.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).drop("n"), "candidate-sizes")
+    places = materialise(components_of.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "candidate-places")
+    shared = places.count() // CELL + 1
+
+    def cell(low, high):
+        own = F.struct(F.col("component").alias("group"), low.alias("low"), high.alias("high"))
+        common = F.struct(F.pmod(F.xxhash64("component"), F.lit(shared)).alias("group"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
+        return F.when(F.col("blocks") == 1, common).otherwise(own)
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = places.select("doc_id", "component", "blocks", "block", other)
+    sent = sent.select("doc_id", cell(F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
+    texts = docs.join(places.select("doc_id").hint("merge"), "doc_id", "left_semi")
+
+    def make():
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            return {"set": pa.array([shingles(t, words) for t in texts], pa.list_(pa.int64()))}
+            found = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            return {"shingles": pa.array([shingles(t, words).tobytes() for t in found], pa.binary())}
 
         return apply
 
-    sets = append_columns(small.join(named.hint("merge"), "doc_id", "left_semi"), make_sets, [T.StructField("set", T.ArrayType(T.LongType(), True))])
-    sets = materialise(sets.select("doc_id", "set").dropDuplicates(["doc_id"]), "shingles")
-    pairs = candidates.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.where((common > 0) & (common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common))).select("a", "b")
+    sets = append_columns(texts, make, [T.StructField("shingles", T.BinaryType())]).select("doc_id", "shingles")
+    sets = materialise(sets.dropDuplicates(["doc_id"]), "shingles").join(sent, "doc_id")
+    at = places.select(F.col("doc_id").alias("a"), "component", "blocks", F.col("block").alias("block_a"))
+    pairs = candidates.join(at, "a").join(places.select(F.col("doc_id").alias("b"), F.col("block").alias("block_b")), "b")
+    pairs = pairs.select("a", "b", cell(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell"))
+
+    def judge(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        known = {d: np.frombuffer(x, np.int64) for d, x in zip(own["doc_id"], own["shingles"], strict=True)}
+        kept = []
+        for a, b in zip(asked["a"], asked["b"], strict=True):
+            x, y = known[a], known[b]
+            least = similarity * max(len(x), len(y))  # the common part can't be larger than the smaller set
+            if min(len(x), len(y)) < least or not len(x):
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common):
+                kept.append((a, b))
+        return pd.DataFrame(kept, columns=["a", "b"]).astype(np.int64)
+
+    keys = [F.col("cell.group").alias("g"), F.col("cell.low").alias("l"), F.col("cell.high").alias("h")]
+    left = sets.select(*keys, "doc_id", "shingles").groupBy("g", "l", "h")
+    return left.cogroup(pairs.select(*keys, "a", "b").groupBy("g", "l", "h")).applyInPandas(judge, "a long, b long")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
