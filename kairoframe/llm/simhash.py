@@ -39,7 +39,7 @@ GENERATOR = 0b110001110101
 #: Visitors of an anchor up to which they are compared there; beyond, the exact way for crowds.
 CROWD = 64
 #: Expected documents of a cell in which candidates are verified.
-CELL = 500
+CELL = 2_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -192,6 +192,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], np.uint64)).view(np.int64)
 
 
+def distinct_runs(text: str | None, words: int) -> int:
+    """How many different shingles a text has."""
+    parts = (text or "").encode().lower().split()
+    return len(set(zip(*[parts[i:] for i in range(words)]))) if len(parts) >= words else int(bool(parts))
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4, threshold: int = 2) -> DataFrame:
     """Links (a, b) between documents whose sets of word shingles have at least this Jaccard similarity.
 
@@ -209,11 +215,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = np.array([word_fingerprints(t, count) for t in texts], np.uint64).reshape(len(texts), count).view(np.int64)
-            return {"fingerprints": pa.array(list(found), pa.list_(pa.int64()))}
+            return {"fingerprints": pa.array(list(found), pa.list_(pa.int64())), "size": pa.array([distinct_runs(t, words) for t in texts], pa.int64())}
 
         return apply
 
-    prints = append_columns(small, make, [T.StructField("fingerprints", T.ArrayType(T.LongType(), True))]).select("doc_id", "fingerprints")
+    fields = [T.StructField("fingerprints", T.ArrayType(T.LongType(), True)), T.StructField("size", T.LongType())]
+    prints = append_columns(small, make, fields).select("doc_id", "fingerprints", "size")
     prints = materialise(prints, "word-fingerprints")
     candidates = None
     for k in range(count):
@@ -224,7 +231,11 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
         same = rows.join(values, "fingerprint").where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
         found = materialise(near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")), "candidates")
         candidates = found if candidates is None else candidates.union(found)
-    candidates = materialise(candidates.where("a <> b").distinct(), "candidates")
+    # sets of very different size can't be similar: the common part is the smaller one at most
+    size_a, size_b = (prints.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    sized = candidates.where("a <> b").distinct().join(size_a, "a").join(size_b, "b")
+    sized = sized.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")).where("size_a > 0")
+    candidates = materialise(sized.select("a", "b").distinct(), "candidates")
     return verify(small, candidates, words, similarity)
 
 
@@ -246,9 +257,10 @@ def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float
         common = F.struct(F.pmod(F.xxhash64("component"), F.lit(shared)).alias("group"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
         return F.when(F.col("blocks") == 1, common).otherwise(own)
 
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = places.select("doc_id", "component", "blocks", "block", other)
-    sent = sent.select("doc_id", cell(F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
+    at = places.select(F.col("doc_id").alias("a"), "component", "blocks", F.col("block").alias("block_a"))
+    pairs = candidates.join(at, "a").join(places.select(F.col("doc_id").alias("b"), F.col("block").alias("block_b")), "b")
+    pairs = materialise(pairs.select("a", "b", cell(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")), "placed")
+    sent = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "cell").distinct()
     texts = docs.join(places.select("doc_id").hint("merge"), "doc_id", "left_semi")
 
     def make():
@@ -260,9 +272,6 @@ def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float
 
     sets = append_columns(texts, make, [T.StructField("shingles", T.BinaryType())]).select("doc_id", "shingles")
     sets = materialise(sets.dropDuplicates(["doc_id"]), "shingles").join(sent, "doc_id")
-    at = places.select(F.col("doc_id").alias("a"), "component", "blocks", F.col("block").alias("block_a"))
-    pairs = candidates.join(at, "a").join(places.select(F.col("doc_id").alias("b"), F.col("block").alias("block_b")), "b")
-    pairs = pairs.select("a", "b", cell(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell"))
 
     def judge(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         known = {d: np.frombuffer(x, np.int64) for d, x in zip(own["doc_id"], own["shingles"], strict=True)}
