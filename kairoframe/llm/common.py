@@ -76,7 +76,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     Hooking with pointer jumping: every round each root takes the smallest label next to its tree and
     every node takes its label's label, so the rounds grow with the logarithm of a chain's length.
     All steps are joins of written tables (which adaptive execution splits where a node is hot) and
-    minima with partial aggregation; the driver sees one count a round. Null ends are left out.
+    minima with partial aggregation; the driver sees one count a round. Without a hook all ends of links
+    have the same label, which then is the least of its component. Null ends are left out.
     """
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = materialise(pairs.union(pairs.select("b", "a")).distinct().toDF("node", "next"), name)
@@ -87,9 +88,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         reached = labels.join(least, "node").where("near < label")
         hooks = reached.select(F.col("label").alias("node"), "near").union(reached.select("node", "near"))
         hooks = materialise(hooks.groupBy("node").agg(F.min("near").alias("near")), name)
+        if hooks.isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
         hooked = materialise(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label")), name)
         ups = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = materialise(hooked.join(ups, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), name)
-        labels = jumped.select("node", "label")
-        if hooks.isEmpty() and jumped.where("moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+        labels = materialise(hooked.join(ups, "label").select("node", F.col("up").alias("label")), name)

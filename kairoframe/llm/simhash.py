@@ -5,7 +5,9 @@ have it. The anchors are the code words of two binary Golay codes side by side:
 within 3 (and it is perfect, so every word has one home), the last 18 bits are covered by a single
 word. A fingerprint is at home at one anchor and is sent to every anchor within the covering radius
 plus the threshold, where what the two blocks exceed their radius by may together be the threshold at
-most. Whoever lies within the threshold of a fingerprint at home at an anchor is thus sent there.
+most. Whoever lies within the threshold of a fingerprint at home at an anchor is thus sent there. Of
+two such fingerprints each is sent to the other's home, and one meeting is enough: so of the anchors
+that a fingerprint is sent to, those after its own home (by number) are left out.
 
 At an anchor with few visitors those are compared with the ones at home. The fingerprints of anchors
 with more visitors than that (a group of near copies, or a very large corpus) meet instead at every
@@ -87,71 +89,98 @@ def syndromes() -> np.ndarray:
 
 
 @lru_cache(4)
-def patterns(threshold: int) -> list[list[np.ndarray]]:
-    """By syndrome and excess over the radius: what to flip to get to the code words that near."""
-    out: list[list[list[int]]] = [[[] for _ in range(threshold + 1)] for _ in range(2048)]
+def flips(threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By excess over the radius: what to flip, by syndrome, to get to the code words that near, and which entries count."""
+    found: list[list[list[int]]] = [[[] for _ in range(2048)] for _ in range(threshold + 1)]
     table = syndromes()
     for weight in range(RADIUS + threshold + 1):
         for bits in combinations(range(BITS), weight):
             flip = sum(1 << b for b in bits)
-            out[table[flip]][max(0, weight - RADIUS)].append(flip)
-    return [[np.array(x, np.int64) for x in row] for row in out]
+            found[max(0, weight - RADIUS)][table[flip]].append(flip)
+    out = []
+    for rows in found:
+        sizes = np.array([len(r) for r in rows])
+        padded = np.zeros((2048, sizes.max()), np.int64)
+        for at, row in enumerate(rows):
+            padded[at, : len(row)] = row
+        out.append((padded, np.arange(sizes.max()) < sizes[:, None]))
+    return out
 
 
-def anchors(value: int, threshold: int) -> np.ndarray:
-    """The home anchor of a fingerprint, then all others that it is sent to (46 bits each)."""
-    mask = (1 << BITS) - 1
-    first, second = value & mask, value >> BITS & mask
-    a, b = (patterns(threshold)[syndromes()[x]] for x in (first, second))
-    out = []
+def homes_of(values: np.ndarray) -> np.ndarray:
+    """The home anchor (46 bits) of every fingerprint."""
+    mask, table, lead = (1 << BITS) - 1, syndromes(), flips(1)[0][0][:, 0]
+    first, second = values & mask, values >> BITS & mask
+    return (second ^ lead[table[second]]) << BITS | (first ^ lead[table[first]])
+
+
+def anchors(values: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and anchors: all that each fingerprint is sent to, its home with them."""
+    mask, table, near = (1 << BITS) - 1, syndromes(), flips(threshold)
+    first, second = values & mask, values >> BITS & mask
+    rows, out = [], []
     for i in range(threshold + 1):
         for j in range(threshold + 1 - i):
-            out.append((((second ^ b[j]) << BITS)[:, None] | (first ^ a[i])[None, :]).ravel())
-    return np.concatenate(out)
+            (a, in_a), (b, in_b) = near[i], near[j]
+            low = (first[:, None] ^ a[table[first]])[:, None, :]
+            high = (second[:, None] ^ b[table[second]])[:, :, None]
+            which = np.nonzero(in_b[table[second]][:, :, None] & in_a[table[first]][:, None, :])
+            rows.append(which[0])
+            out.append((high << BITS | low)[which])
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def _homes(values: DataFrame) -> DataFrame:
+    """(search, fingerprint, anchor): where every fingerprint is at home."""
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(anchor=homes_of(frame["fingerprint"].to_numpy()))
+
+    return values.select("search", "fingerprint").mapInPandas(run, "search int, fingerprint long, anchor long")
 
 
 def _sent(values: DataFrame, threshold: int) -> DataFrame:
-    """(fingerprint, anchor, home) for every anchor that a fingerprint is sent to."""
+    """(search, fingerprint, anchor) for every anchor up to its home that a fingerprint is sent to."""
 
     def run(frames):
         for frame in frames:
             for at in range(0, len(frame), 2_000):
-                part = frame["fingerprint"].to_numpy()[at : at + 2_000]
-                found = [anchors(int(v), threshold) for v in part]
-                sizes = [len(x) for x in found]
-                home = np.zeros(sum(sizes), bool)
-                home[np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)] = True
-                yield pd.DataFrame({"fingerprint": np.repeat(part, sizes), "anchor": np.concatenate(found), "home": home})
+                part, search = frame["fingerprint"].to_numpy()[at : at + 2_000], frame["search"].to_numpy()[at : at + 2_000]
+                rows, found = anchors(part, threshold)
+                kept = found <= homes_of(part)[rows]
+                rows = rows[kept]
+                yield pd.DataFrame({"search": search[rows], "fingerprint": part[rows], "anchor": found[kept]})
 
-    return values.mapInPandas(run, "fingerprint long, anchor long, home boolean")
+    return values.select("search", "fingerprint").mapInPandas(run, "search int, fingerprint long, anchor long")
 
 
 def links(values: DataFrame, threshold: int = 2) -> DataFrame:
-    """Links (a, b) between different fingerprints at most two bits apart that connect all such pairs.
+    """Links (search, a, b) between different fingerprints at most two bits apart that connect all such pairs.
 
-    `values` holds distinct fingerprints. The way for crowds is exact for a threshold of two; below
-    it the pairs are checked.
+    `values` holds distinct (search, fingerprint); fingerprints of one search alone are held against each
+    other. The way for crowds is exact for a threshold of two; below it the pairs are checked.
     """
     if not 1 <= threshold <= 2:
         raise ValueError("threshold must be 1 or 2")
-    apart = F.expr("bit_count(a ^ b)")
-    sent = _sent(values, threshold)
-    homes = materialise(sent.where("home").select(F.col("fingerprint").alias("a"), "anchor"), "homes")
-    visits = materialise(sent.join(homes.select("anchor").distinct(), "anchor", "left_semi").select("anchor", F.col("fingerprint").alias("b")), "visits")
-    counted = visits.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    counted = materialise(counted, "anchors")
-    quiet, crowded = counted.where(F.col("n") <= CROWD).select("anchor"), counted.where(F.col("n") > CROWD).select("anchor")
-    near = visits.join(quiet, "anchor", "left_semi").join(homes, "anchor").where(F.col("a") != F.col("b")).where(apart <= threshold)
-    many = visits.join(crowded, "anchor", "left_semi").select(F.col("b").alias("a")).distinct()
-    flips = F.concat(F.array(F.col("a")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    words = many.select("a", F.explode(flips).alias("word"))
-    stars = words.groupBy("word").agg(F.collect_list("a").alias("members")).where("size(members) > 1")
+    apart, place = F.expr("bit_count(a ^ b)"), ["search", "anchor"]
+    values = values.select(F.col("search").cast("int").alias("search"), "fingerprint")
+    homes = materialise(_homes(values).withColumnRenamed("fingerprint", "a"), "homes")
+    visits = _sent(values, threshold).withColumnRenamed("fingerprint", "b")
+    visits = materialise(visits.join(homes.select(place).distinct(), place, "left_semi"), "visits")
+    counted = materialise(visits.groupBy(place).agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    quiet = homes.join(counted.where(F.col("n") <= CROWD).select(place), place)
+    near = visits.join(quiet, place).where(F.col("a") != F.col("b")).where(apart <= threshold)
+    many = visits.join(counted.where(F.col("n") > CROWD).select(place), place, "left_semi").select("search", F.col("b").alias("a")).distinct()
+    changed = F.concat(F.array(F.col("a")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    words = many.select("search", "a", F.explode(changed).alias("word"))
+    stars = words.groupBy("search", "word").agg(F.collect_list("a").alias("members")).where("size(members) > 1")
     if threshold == 2:
-        stars = stars.select(F.array_min("members").alias("b"), F.explode("members").alias("a"))
+        stars = stars.select("search", F.array_min("members").alias("b"), F.explode("members").alias("a"))
     else:
-        stars = stars.select(F.explode("members").alias("b"), "members").select("b", F.explode("members").alias("a"))
+        stars = stars.select("search", F.explode("members").alias("b"), "members").select("search", "b", F.explode("members").alias("a"))
     stars = stars.where(F.col("a") != F.col("b")).where(apart <= threshold)
-    return near.select("a", "b").union(stars.select("a", "b")).distinct()
+    return near.select("search", "a", "b").union(stars.select("search", "a", "b")).distinct()
 
 
 def components(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
@@ -159,7 +188,7 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame
     small = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(fingerprints(small, words).select("doc_id", "fingerprint"), "fingerprints")
     values = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "values")
-    joined = connected_components(links(values.select("fingerprint"), threshold), "simhash")
+    joined = connected_components(links(values.select(F.lit(0).alias("search"), "fingerprint"), threshold).select("a", "b"), "simhash")
     named = materialise(values.join(joined, values["fingerprint"] == joined["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "named")
     least = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     ids = materialise(named.join(least, "component").select("fingerprint", "component_id"), "component-ids")
@@ -222,18 +251,15 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
     fields = [T.StructField("fingerprints", T.ArrayType(T.LongType(), True)), T.StructField("size", T.LongType())]
     prints = append_columns(small, make, fields).select("doc_id", "fingerprints", "size")
     prints = materialise(prints, "word-fingerprints")
-    candidates = None
-    for k in range(count):
-        rows = prints.select("doc_id", F.col("fingerprints")[k].alias("fingerprint"))
-        values = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "values")
-        near = links(values.select("fingerprint"), threshold)
-        near = near.join(values.toDF("a", "doc_a"), "a").join(values.toDF("b", "doc_b"), "b").select("doc_a", "doc_b")
-        same = rows.join(values, "fingerprint").where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
-        found = materialise(near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")), "candidates")
-        candidates = found if candidates is None else candidates.union(found)
+    rows = prints.select("doc_id", F.posexplode("fingerprints").alias("search", "fingerprint"))
+    values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("doc_id").alias("least")), "values")
+    near = links(values, threshold)
+    near = near.join(values.toDF("search", "a", "doc_a"), ["search", "a"]).join(values.toDF("search", "b", "doc_b"), ["search", "b"]).select("doc_a", "doc_b")
+    same = rows.join(values, ["search", "fingerprint"]).where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    candidates = near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
     # sets of very different size can't be similar: the common part is the smaller one at most
     size_a, size_b = (prints.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    sized = candidates.where("a <> b").distinct().join(size_a, "a").join(size_b, "b")
+    sized = materialise(candidates.where("a <> b").distinct(), "found").join(size_a, "a").join(size_b, "b")
     sized = sized.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")).where("size_a > 0")
     candidates = materialise(sized.select("a", "b").distinct(), "candidates")
     return verify(small, candidates, words, similarity)

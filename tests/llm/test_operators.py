@@ -84,7 +84,7 @@ def test_simhash_links_are_those_of_brute_force(spark):
     crowd = rng.getrandbits(64)
     values |= {crowd ^ (1 << i) for i in range(64)} | {crowd ^ (3 << i) for i in range(60)}
     values = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long")).collect()
+    links = simhash.links(spark.createDataFrame([(0, v) for v in values], "search int, fingerprint long")).collect()
     parent = {v: v for v in values}
     true = dict(parent)
 
