@@ -221,10 +221,17 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], np.uint64)).view(np.int64)
 
 
-def distinct_runs(text: str | None, words: int) -> int:
-    """How many different shingles a text has."""
-    parts = (text or "").encode().lower().split()
-    return len(set(zip(*[parts[i:] for i in range(words)]))) if len(parts) >= words else int(bool(parts))
+def parity(hashes: np.ndarray) -> bytes:
+    """One bit a bucket of the set's hashes (as many buckets as hashes or up to twice that): is its count odd?"""
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits(np.bincount(hashes & (size - 1), minlength=size) & 1).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the elements in one of two sets alone, by their parities: each turns one bit at most."""
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, width), axis=0).tobytes() for p in (x, y))
+    return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4, threshold: int = 2) -> DataFrame:
@@ -232,8 +239,9 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
 
     A few changed words change many shingles, and with them more bits of a shingle fingerprint than
     can be searched for. So candidates come from several independent fingerprints of single words,
-    each searched by anchor points, and every candidate's similarity is computed exactly. Documents of
-    one fingerprint are held against the first of them. No link without the similarity; what is missed
+    each searched by anchor points. Sizes and parities of the sets of shingles rule out candidates that
+    cannot be similar, and the similarity of the others is computed exactly. Documents of one fingerprint
+    are held against the first of them. No link without the similarity; what is missed
     are pairs that no fingerprint brings within the threshold. Texts without words link with nothing.
     """
     spark = docs.sparkSession
@@ -243,13 +251,14 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
     def make():
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            sets = [shingles(t, words) for t in texts]
             found = np.array([word_fingerprints(t, count) for t in texts], np.uint64).reshape(len(texts), count).view(np.int64)
-            return {"fingerprints": pa.array(list(found), pa.list_(pa.int64())), "size": pa.array([distinct_runs(t, words) for t in texts], pa.int64())}
+            return {"fingerprints": pa.array(list(found), pa.list_(pa.int64())), "size": pa.array([len(x) for x in sets], pa.int64()), "parity": pa.array([parity(x) for x in sets], pa.binary())}
 
         return apply
 
-    fields = [T.StructField("fingerprints", T.ArrayType(T.LongType(), True)), T.StructField("size", T.LongType())]
-    prints = append_columns(small, make, fields).select("doc_id", "fingerprints", "size")
+    fields = [T.StructField("fingerprints", T.ArrayType(T.LongType(), True)), T.StructField("size", T.LongType()), T.StructField("parity", T.BinaryType())]
+    prints = append_columns(small, make, fields).select("doc_id", "fingerprints", "size", "parity")
     prints = materialise(prints, "word-fingerprints")
     rows = prints.select("doc_id", F.posexplode("fingerprints").alias("search", "fingerprint"))
     values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("doc_id").alias("least")), "values")
@@ -257,11 +266,20 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
     near = near.join(values.toDF("search", "a", "doc_a"), ["search", "a"]).join(values.toDF("search", "b", "doc_b"), ["search", "b"]).select("doc_a", "doc_b")
     same = rows.join(values, ["search", "fingerprint"]).where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
     candidates = near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
-    # sets of very different size can't be similar: the common part is the smaller one at most
-    size_a, size_b = (prints.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    sized = materialise(candidates.where("a <> b").distinct(), "found").join(size_a, "a").join(size_b, "b")
+    candidates = materialise(candidates.where("a <> b").distinct(), "found")
+    # the common part is the smaller set at most, and similar sets differ in few elements
+    set_a, set_b = (prints.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    sized = candidates.join(set_a, "a").join(set_b, "b")
     sized = sized.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")).where("size_a > 0")
-    candidates = materialise(sized.select("a", "b").distinct(), "candidates")
+    most = (1 - similarity) / (1 + similarity)
+
+    def close(frames):
+        for frame in frames:
+            apart = np.array([least_apart(x, y) for x, y in zip(frame["parity_a"], frame["parity_b"], strict=True)], np.int64)
+            yield frame.loc[apart <= most * (frame["size_a"] + frame["size_b"]) + 1e-6, ["a", "b"]]
+
+    near = sized.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInPandas(close, "a long, b long")
+    candidates = materialise(near.distinct(), "candidates")
     return verify(small, candidates, words, similarity)
 
 

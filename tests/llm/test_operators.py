@@ -108,6 +108,18 @@ def test_simhash_of_empty_and_null_texts(spark):
     assert rows[0]["fingerprint"] == "0" * 16 and rows[1]["component_id"] == 0 and rows[2]["component_id"] == 2
 
 
+def test_parities_never_exceed_what_sets_differ_in():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 5, 63, 64, 65, 700, 3000):
+        base = rng.integers(-(1 << 63), 1 << 63, size, dtype=np.int64)
+        for extra in (0, 1, 40, 900):
+            for gone in (0, size // 10, size):
+                other = np.concatenate([base[gone:], rng.integers(-(1 << 63), 1 << 63, extra, dtype=np.int64)])
+                apart = len(np.setxor1d(base, other))
+                bound = simhash.least_apart(simhash.parity(base), simhash.parity(other))
+                assert bound <= apart and (apart > 0 or bound == 0)
+
+
 def test_similar_documents_are_verified(spark):
     words = [f"w{i}" for i in range(400)]
     near = words[:200] + ["changed"] + words[201:]
