@@ -39,6 +39,49 @@ STEMS = "giáp ất bính đinh mậu kỷ canh tân nhâm quý".split()
 BRANCHES = "tý sửu dần mão thìn tỵ ngọ mùi thân dậu tuất hợi".split()
 
 
+# Months by name, edges, groups of days, clock names and office hours.
+MONTHS = {
+    "giêng": 1, "một": 1, "hai": 2, "ba": 3, "tư": 4, "bốn": 4, "năm": 5, "sáu": 6, "bảy": 7, "bẩy": 7, "tám": 8, "chín": 9, "mười": 10,
+    "mười một": 11, "mười hai": 12, "chạp": 12,
+} | {f"{m}": m for m in range(1, 13)}
+NOW_WORDS = ["bây giờ", "bây h", "hiện tại", "ngay bây giờ", "hiện giờ", "lúc này", "ngay", "giờ"]
+EDGES = {"đầu": "start", "đầu tiên": "start", "cuối": "end", "cuối cùng": "end", "giữa": "middle"}
+DAY_GROUPS = {
+    "cuối tuần": "weekend", "weekend": "weekend", "ngày thường": "weekday", "ngày làm việc": "weekday", "ngày trong tuần": "weekday",
+    "ngày đi làm": "weekday",
+}
+NAMED_TIMES = {"nửa đêm": 0, "giữa đêm": 0, "giữa trưa": 12, "đúng trưa": 12}
+NAMED_STARTS = {
+    "giờ hành chính": 8, "giờ làm việc": 8, "giờ nghỉ trưa": 12, "đầu giờ": 8, "đầu giờ sáng": 8, "cuối giờ sáng": 11, "đầu giờ chiều": 13,
+    "cuối giờ": 17, "cuối giờ chiều": 17, "cuối giờ làm": 17, "hết giờ làm": 17,
+} | {f"giờ {b}": (23 + 2 * i) % 24 for i, b in enumerate(BRANCHES)}
+NAMED_ENDS = {"giờ hành chính": 17, "giờ làm việc": 17, "giờ nghỉ trưa": 13} | {f"giờ {b}": (1 + 2 * i) % 24 for i, b in enumerate(BRANCHES)}
+#: Other spellings of three branches.
+BRANCH_VARIANTS = {"tí": "tý", "mẹo": "mão", "tị": "tỵ"}
+# Holidays by their names; month and day by the solar or the lunar calendar.
+HOLIDAYS = {
+    "new-year": ["tết dương lịch", "tết tây", "năm mới", "tết dương"], "valentines": ["valentine", "valentines", "lễ tình nhân", "tình nhân"],
+    "womens-day": ["quốc tế phụ nữ"], "liberation-day": ["giải phóng miền nam", "giải phóng"], "labour-day": ["quốc tế lao động", "lao động"],
+    "childrens-day": ["quốc tế thiếu nhi", "thiếu nhi"], "national-day": ["quốc khánh"], "vn-womens-day": ["phụ nữ việt nam"],
+    "teachers-day": ["nhà giáo việt nam", "nhà giáo"], "christmas": ["giáng sinh", "noel", "nô en"],
+    "christmas-eve": ["đêm giáng sinh", "đêm noel"], "new-years-eve": ["giao thừa tây", "giao thừa dương lịch"],
+    "tet": ["tết", "tết nguyên đán", "tết âm lịch", "tết ta", "tết cổ truyền", "tết âm", "nguyên đán"], "tet-eve": ["giao thừa", "đêm giao thừa"],
+    "lantern-festival": ["tết nguyên tiêu", "nguyên tiêu"], "hung-kings": ["giỗ tổ", "giỗ tổ hùng vương", "hùng vương"],
+    "doan-ngo": ["tết đoan ngọ", "đoan ngọ"], "vu-lan": ["vu lan", "lễ vu lan"], "mid-autumn": ["trung thu", "tết trung thu", "rằm trung thu"],
+    "kitchen-gods": ["ông táo", "tết ông táo", "ông công ông táo", "táo quân"],
+}
+SOLAR_HOLIDAYS = {
+    "new-year": (1, 1), "valentines": (2, 14), "womens-day": (3, 8), "liberation-day": (4, 30), "labour-day": (5, 1), "childrens-day": (6, 1),
+    "national-day": (9, 2), "vn-womens-day": (10, 20), "teachers-day": (11, 20), "christmas": (12, 25), "christmas-eve": (12, 24),
+    "new-years-eve": (12, 31),
+}
+LUNAR_HOLIDAYS = {
+    "tet": (1, 1), "lantern-festival": (1, 15), "hung-kings": (3, 10), "doan-ngo": (5, 5), "vu-lan": (7, 15), "mid-autumn": (8, 15),
+    "kitchen-gods": (12, 23),
+}
+HOLIDAY_OF = {alias: name for name, aliases in HOLIDAYS.items() for alias in aliases}
+
+
 def lookup(table: dict, text: Column) -> Column:
     """The value of a word, null where the table has none."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key(text))
@@ -53,3 +96,11 @@ def sexagenary_name(cycle: Column) -> Column:
     """The name of a place in the cycle of sixty, from 0."""
     words = lambda w: F.array(*[F.lit(x) for x in w])
     return F.concat_ws(" ", F.get(words(STEMS), F.pmod(cycle, F.lit(10))), F.get(words(BRANCHES), F.pmod(cycle, F.lit(12))))
+
+
+def sexagenary(stem: Column, branch: Column) -> Column:
+    """A pair's place in the cycle of sixty, from 0; null for a pair that the cycle lacks."""
+    s = lookup({w: i for i, w in enumerate(STEMS)}, stem)
+    places = {w: i for i, w in enumerate(BRANCHES)}
+    b = lookup(places | {v: places[w] for v, w in BRANCH_VARIANTS.items()}, branch)
+    return F.when(F.pmod(s - b, F.lit(2)) == 0, F.pmod(36 * s + 25 * b, F.lit(60)))

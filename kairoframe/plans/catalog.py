@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoframe.functions import civil, lexicon, lunar, numerals, text
-from kairoframe.operators import islands, recurrence
+from kairoframe.operators import dates, islands, recurrence
 
 from .parse import parse_df
+from .phrases import occurrences_df
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -342,3 +343,55 @@ def parse_phrases(spark, sf_dir):
     days = order_days(spark, sf_dir).select("d").distinct()
     rows = days.select("d", F.explode(F.array(*[F.lit(p) for p in PHRASES])).alias("text")).withColumn("ref", F.timestamp_add("HOUR", F.lit(9), F.col("d").cast("timestamp_ntz")))
     return parse_df(rows, "ref").drop("ref")
+
+
+def sql_next(month: int, day: int) -> str:
+    return f"(CASE WHEN make_date(year(d), {month}, {day}) >= d THEN make_date(year(d), {month}, {day}) ELSE make_date(year(d) + 1, {month}, {day}) END)"
+
+
+def sql_lunar(month: int, day: int) -> str:
+    return f"(SELECT min(l.start + {day - 1}) FROM lunar l WHERE l.month = {month} AND NOT l.leap AND l.start + {day - 1} >= d)"
+
+
+def sql_weekday(number: int) -> str:
+    return f"(d + (({number} - isodow(d) + 8) % 7)::INT)"
+
+
+MONDAY, SATURDAY, SUNDAY = sql_weekday(0), sql_weekday(5), sql_weekday(6)
+RULED = f"'DTSTART;VALUE=DATE:' || strftime({MONDAY}, '%Y%m%d') || chr(10) || 'RRULE:FREQ=WEEKLY;INTERVAL=1;BYDAY=MO;COUNT=3'"
+#: phrase: (seq, start, end, open, all day, rule) of each occurrence at nine o'clock of day d
+OCCURRENCES = {
+    "noel": [("1", sql_next(12, 25), "NULL", "NULL", True, "NULL")], "quốc khánh": [("1", sql_next(9, 2), "NULL", "NULL", True, "NULL")],
+    "mùng 2 tết": [("1", f"{sql_lunar(1, 1)} + 1", "NULL", "NULL", True, "NULL")], "rằm tháng 8": [("1", sql_lunar(8, 15), "NULL", "NULL", True, "NULL")],
+    "đêm trung thu": [("1", f"{sql_lunar(8, 15)} + INTERVAL 22 HOUR", f"{sql_lunar(8, 15)} + INTERVAL 29 HOUR", "NULL", False, "NULL")],
+    "3 ngày sau noel": [("1", f"{sql_next(12, 25)} + 3", "NULL", "NULL", True, "NULL")],
+    "từ 10h đến 17h": [("1", "d + INTERVAL 10 HOUR", "d + INTERVAL 17 HOUR", "NULL", False, "NULL")],
+    "trước 8h sáng": [("1", "d + 1", "d + INTERVAL 32 HOUR", "'start'", False, "NULL")], "sau 6 giờ chiều": [("1", "d + INTERVAL 18 HOUR", "NULL", "'end'", False, "NULL")],
+    "trong 90 phút": [("1", "d + INTERVAL 9 HOUR", "d + INTERVAL 630 MINUTE", "NULL", False, "NULL")],
+    "từ thứ hai đến thứ sáu": [("1", MONDAY, f"{MONDAY} + 5", "NULL", True, "NULL")],
+    "tháng sau nữa": [("1", "date_trunc('month', d) + INTERVAL 2 MONTH", "date_trunc('month', d) + INTERVAL 3 MONTH", "NULL", True, "NULL")],
+    "cuối tuần": [("CASE WHEN isodow(d) = 7 THEN 2 ELSE 1 END", SATURDAY, "NULL", "NULL", True, "NULL"), ("CASE WHEN isodow(d) = 7 THEN 1 ELSE 2 END", SUNDAY, "NULL", "NULL", True, "NULL")],
+    "mỗi thứ hai, 3 lần": [(f"{n + 1}", f"{MONDAY} + {7 * n}", "NULL", "NULL", True, RULED) for n in range(3)],
+    "giờ hành chính thứ hai": [("1", f"{MONDAY} + INTERVAL 8 HOUR", f"{MONDAY} + INTERVAL 17 HOUR", "NULL", False, "NULL")],
+}
+
+
+def sql_occurrences() -> str:
+    one = lambda text, o: f"SELECT d, '{text}' AS text, ({o[0]})::BIGINT AS seq, ({o[1]})::TIMESTAMP AS start, ({o[2]})::TIMESTAMP AS \"end\", {o[3]} AS open, {o[4]} AS all_day, {o[5]} AS rrule FROM o"
+    return _sql_moon() + ", o AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) " + " UNION ALL ".join(one(t, o) for t, found in OCCURRENCES.items() for o in found)
+
+
+@query(sql_occurrences())
+def phrase_occurrences(spark, sf_dir):
+    days = order_days(spark, sf_dir).select("d").distinct()
+    rows = days.select("d", F.explode(F.array(*[F.lit(p) for p in OCCURRENCES])).alias("text")).withColumn("ref", F.timestamp_add("HOUR", F.lit(9), F.col("d").cast("timestamp_ntz")))
+    found = occurrences_df(rows, "ref", dates.named_days(spark, 1989, 2005))
+    return found.select("d", "text", F.col("seq").cast("long").alias("seq"), "start", "end", "open", "all_day", "rrule")
+
+
+@query(_sql_moon() + "SELECT item, (SELECT min(start + dd - 1) FROM lunar l WHERE l.year = y AND l.month = mm AND dd <= l.len AND (l.leap = (lp AND EXISTS (SELECT 1 FROM lunar z WHERE z.year = y AND z.month = mm AND z.leap)))) AS solar FROM (SELECT o_orderkey AS item, 1993 + (o_orderkey % 10)::INT AS y, (o_orderkey % 12)::INT + 1 AS mm, (o_orderkey % 30)::INT + 1 AS dd, o_orderkey % 2 = 0 AS lp FROM orders)")
+def lunar_to_solar(spark, sf_dir):
+    k = F.col("o_orderkey")
+    part = lambda n, plus: ((k % n) + plus).cast("int")
+    rows = table(spark, sf_dir, "orders").select(k.alias("item"), part(10, 1993).alias("y"), part(12, 1).alias("mm"), part(30, 1).alias("dd"), (k % 2 == 0).alias("lp"))
+    return dates.to_solar(rows, dates.lunar_days(spark, 1993, 2002), "y", "mm", "dd", "lp").select("item", "solar")

@@ -16,7 +16,7 @@ from kairoframe.functions.numerals import spelled_number
 from kairoframe.functions.text import key
 
 EDGE = r"(?<![\p{L}\d])(?:%s)(?![\p{L}\d])"
-CLOCK = r"(?<![\p{L}\d])(\d{1,2})\s*(?:giờ|h|:)\s*(\d{1,2}|rưỡi|kém \d{1,2})?"
+CLOCK = r"(?<![\p{L}\d])(\d{1,2})\s*(?:giờ|h(?![\p{L}])|:)\s*(\d{1,2}|rưỡi|kém \d{1,2})?"
 SHIFT = r"^([\p{L}\d ]+?) (giây|phút|giờ|tiếng|ngày|tuần|tháng|năm) (nữa|sau|trước)(?![\p{L}])"
 
 
