@@ -44,3 +44,14 @@ def spelled_number(text: Column) -> Column:
     one = F.coalesce(lookup({k: float(v) for k, v in NUMBERS.items()}, text), F.when(key(text).rlike("^-?[0-9]+$"), key(text).try_cast("double")))
     end = F.aggregate(words, start, step)
     return F.when(F.size(words) == 1, one).when(~end["bad"], end["sum"] + F.coalesce(end["now"], F.lit(0.0)))
+
+
+def spell(value: Column) -> Column:
+    """A whole number from 0 to 99 in words, others in digits: 15 "mười lăm", 21 "hai mươi mốt", 24 "hai mươi tư"."""
+    words = F.array(*[F.lit(w) for w in "không một hai ba bốn năm sáu bảy tám chín mười".split()])
+    tens, ones = F.floor(value / 10).cast("int"), F.pmod(value, F.lit(10)).cast("int")
+    after_ten = F.when(ones == 5, "lăm").otherwise(F.get(words, ones))
+    after_tens = F.when(ones == 1, "mốt").when(ones == 4, "tư").otherwise(after_ten)
+    tail = lambda head, w: F.concat_ws(" ", head, F.when(ones > 0, w))
+    spoken = F.when(value <= 10, F.get(words, value.cast("int"))).when(tens == 1, tail(F.lit("mười"), after_ten)).otherwise(tail(F.concat(F.get(words, tens), F.lit(" mươi")), after_tens))
+    return F.when(value.between(0, 99), spoken).otherwise(value.cast("string"))

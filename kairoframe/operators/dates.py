@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairoframe.functions.lexicon import LUNAR_HOLIDAYS, SOLAR_HOLIDAYS
+from kairoframe.functions.lexicon import LUNAR_HOLIDAYS, SOLAR_HOLIDAYS, lookup
 from kairoframe.functions.lunar import lunar_months
 
 
@@ -36,16 +36,17 @@ def to_solar(rows: DataFrame, days: DataFrame, year: str, month: str, day: str,
 def named_days(spark: SparkSession, first: int = 1900, last: int = 2100) -> DataFrame:
     """(day_key, days): the dates of each key as an array of (date, year), ascending."""
     days = lunar_days(spark, first, last).withColumn("leap_of", F.max(F.when(F.col("leap"), F.col("month"))).over(Window.partitionBy("year")))
-    plain = days.where("not leap")
-    name = lambda *parts: F.concat(F.lit("L:"), *parts)
-    m, d = F.col("month").cast("string"), F.col("day").cast("string")
-    keyed = plain.select(name(m, F.lit("-"), d).alias("day_key"), "date", "year")
-    either = days.where(F.col("leap") | ~F.col("leap_of").eqNullSafe(F.col("month")))
-    keyed = keyed.union(either.select(name(m, F.lit("-"), d, F.lit("-leap")), "date", "year"))
-    keyed = keyed.union(days.select(name(F.lit("*-"), d), "date", "year"))
-    for holiday, (month, day) in LUNAR_HOLIDAYS.items():
-        keyed = keyed.union(plain.where((F.col("month") == month) & (F.col("day") == day)).select(F.lit(holiday), "date", "year"))
-    keyed = keyed.union(plain.where("month = 1 and day = 1").select(F.lit("tet-eve"), F.date_sub("date", 1), "year"))
+    m, d, plain = F.col("month").cast("string"), F.col("day").cast("string"), ~F.col("leap")
+    entry = lambda name, day="date": F.struct(name.alias("day_key"), F.col(day).alias("date"), F.col("year"))
+    feast = lookup({f"{a}-{b}": name for name, (a, b) in LUNAR_HOLIDAYS.items()}, F.concat(m, F.lit("-"), d))
+    keys = [
+        F.when(plain, entry(F.concat(F.lit("L:"), m, F.lit("-"), d))),
+        F.when(~plain | ~F.col("leap_of").eqNullSafe(F.col("month")), entry(F.concat(F.lit("L:"), m, F.lit("-"), d, F.lit("-leap")))),
+        entry(F.concat(F.lit("L:*-"), d)),
+        F.when(plain & feast.isNotNull(), entry(feast)),
+        F.when(plain & (m == "1") & (d == "1"), entry(F.lit("tet-eve"), "eve")),
+    ]
+    keyed = days.withColumn("eve", F.date_sub("date", 1)).select(F.inline(F.array_compact(F.array(*keys))))
     solar = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("m"), F.lit(b).alias("d")) for n, (a, b) in SOLAR_HOLIDAYS.items()])
     years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"), F.explode(solar).alias("h"))
     keyed = keyed.union(years.select("h.n", F.make_date("year", "h.m", "h.d"), "year"))

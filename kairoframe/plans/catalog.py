@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoframe.functions import civil, lexicon, lunar, numerals, text
-from kairoframe.operators import dates, islands, recurrence
+from kairoframe.functions import civil, features, lexicon, lunar, numerals, text
+from kairoframe.operators import dates, evaluation, islands, recurrence
 
 from .parse import parse_df
 from .phrases import occurrences_df
@@ -395,3 +395,37 @@ def lunar_to_solar(spark, sf_dir):
     part = lambda n, plus: ((k % n) + plus).cast("int")
     rows = table(spark, sf_dir, "orders").select(k.alias("item"), part(10, 1993).alias("y"), part(12, 1).alias("mm"), part(30, 1).alias("dd"), (k % 2 == 0).alias("lp"))
     return dates.to_solar(rows, dates.lunar_days(spark, 1993, 2002), "y", "mm", "dd", "lp").select("item", "solar")
+
+
+SQL_BUCKET = "CASE WHEN NOT regexp_matches(t, '^[0-9]') THEN 15 WHEN regexp_matches(t, '^0[0-9]') THEN 14 " + " ".join(f"WHEN t::DOUBLE <= {n} THEN {i}" for i, n in enumerate(features.NUMBER_ENDS)) + " ELSE 13 END"
+
+
+@query(f"SELECT {SQL_BUCKET} AS bucket, count(*) AS n FROM (SELECT unnest({SQL_TOKENS}) AS t FROM documents) GROUP BY 1")
+def number_buckets(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("t"))
+    return rows.groupBy(features.number_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+SQL_FLAGS = " + ".join(
+    f"CASE WHEN {c} THEN {1 << i} ELSE 0 END"
+    for i, c in enumerate(["regexp_matches(t, '\\p{Lu}')", "regexp_matches(t, '\\p{Lu}') AND t = upper(t)", "regexp_matches(t, '[0-9]')", "p IS NULL", "n IS NULL", "regexp_matches(p, '^\\s')", "regexp_matches(n, '^\\s')", "lower(t) IN ('h', 'g', 'p', 'st', 'nd', 'rd', 'th') AND regexp_matches(p, '^[0-9]')"])
+)
+
+
+@query(f"WITH p AS (SELECT conv_id, turn, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, {SQL_TOKENS} AS ts FROM conversations)), q AS (SELECT t, lag(t) OVER w AS p, lead(t) OVER w AS n FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)) SELECT ({SQL_FLAGS})::BIGINT AS flags, count(*) AS tokens FROM q GROUP BY 1")
+def token_flags(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("ts", text.tokens(F.col("text"))).select(F.explode(features.flags(F.col("ts"))).alias("flags"))
+    return rows.groupBy(F.col("flags").cast("long").alias("flags")).agg(F.count("*").alias("tokens"))
+
+
+@query("SELECT n, CASE WHEN n <= 10 THEN w[n + 1] WHEN n < 20 THEN 'mười ' || CASE WHEN n = 15 THEN 'lăm' ELSE w[n - 9] END ELSE w[n // 10 + 1] || ' mươi' || CASE n % 10 WHEN 0 THEN '' WHEN 1 THEN ' mốt' WHEN 4 THEN ' tư' WHEN 5 THEN ' lăm' ELSE ' ' || w[n % 10 + 1] END END AS words, n::DOUBLE AS back FROM (SELECT range AS n, string_split('không một hai ba bốn năm sáu bảy tám chín mười', ' ') AS w FROM range(100))")
+def spell_round_trip(spark, sf_dir):
+    rows = spark.range(100).select(F.col("id").alias("n"), numerals.spell(F.col("id")).alias("words"))
+    return rows.withColumn("back", numerals.spelled_number(F.col("words")))
+
+
+@query("WITH j AS (SELECT lang, (n_chars > 500) = (quality = 1) AS a, (n_chars > 1500) = (quality = 1) AS b FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, count(*) FILTER (NOT a AND b) AS fixed, count(*) FILTER (a AND NOT b) AS broke FROM j GROUP BY 1) SELECT lang, fixed, broke, CASE WHEN fixed + broke = 0 OR broke <= fixed THEN FALSE ELSE (SELECT sum(exp(lgamma(fixed + broke + 1) - lgamma(k + 1) - lgamma(fixed + broke - k + 1) - (fixed + broke) * ln(2))) FROM range(0, 100000) r(k) WHERE k BETWEEN broke AND fixed + broke) < 0.05 END AS regressed FROM c")
+def regression_flips(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    right = lambda n: (F.col("n_chars") > n) == (F.col("quality") == 1)
+    return evaluation.flips(rows, right(500), right(1500), [F.col("lang")]).withColumn("regressed", evaluation.regressed(F.col("fixed"), F.col("broke")))

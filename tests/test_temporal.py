@@ -40,3 +40,42 @@ def test_weekly_rules_against_dateutil(spark):
     got = spark.range(1).select(recurrence.weekly(F.lit(start), F.lit(date(2026, 6, 1)), [0, 3], 2).alias("d")).head()[0]
     want = rrule(WEEKLY, interval=2, byweekday=[MO, TH], dtstart=datetime(2026, 1, 7), until=datetime(2026, 6, 1))
     assert got == [d.date() for d in want]
+
+
+def test_all_occurrences_of_a_text(spark):
+    from kairoframe.operators import dates
+    from kairoframe.plans.phrases import occurrences_df
+
+    wanted = {
+        "tết": [(datetime(2027, 2, 6), None, None, True)],
+        "đầu tháng 11": [(datetime(2026, 11, 1), None, None, True)],
+        "từ ngày 16 đến ngày 20": [(datetime(2026, 9, 16), datetime(2026, 9, 21), None, True)],  # began before today
+        "thứ năm 8h và thứ sáu 14h": [(datetime(2026, 9, 24, 8), None, None, False), (datetime(2026, 9, 18, 14), None, None, False)],
+        "10/20/2026": [(datetime(2026, 10, 20), None, None, True)],
+        "mỗi 2 tuần thứ ba, 2 lần": [(datetime(2026, 9, 22), None, None, True), (datetime(2026, 10, 6), None, None, True)],
+        "trước 10h": [(datetime(2026, 9, 17), datetime(2026, 9, 17, 10), "start", False)],
+        "29/2/2027": [(None, None, None, None)],
+        "": [(None, None, None, None)],
+    }
+    rows = spark.createDataFrame([(t, "clash") for t in [*wanted, None]], "text string, start_x string").withColumn("ref", F.lit("2026-09-17 09:00:00").cast("timestamp_ntz"))
+    found: dict = {}
+    for r in occurrences_df(rows, "ref", dates.named_days(spark, 2020, 2030)).orderBy("clause", "seq").collect():
+        found.setdefault(r["text"], []).append((r["start"], r["end"], r["open"], r["all_day"]))
+    assert found.pop(None) == [(None, None, None, None)]
+    assert found == wanted
+
+
+def test_numbers_spell_and_read_back(spark):
+    rows = spark.range(100).withColumn("w", numerals.spell(F.col("id")))
+    assert rows.where(numerals.spelled_number(F.col("w")) != F.col("id")).count() == 0
+
+
+def test_sign_test_against_the_binomial(spark):
+    from math import comb
+
+    from kairoframe.operators.evaluation import regressed
+
+    pairs = [(0, 0), (3, 3), (0, 4), (0, 5), (10, 21), (200, 260), (2000, 2100)]
+    rows = spark.createDataFrame(pairs, "f int, b int").select("f", "b", regressed(F.col("f"), F.col("b")).alias("r")).collect()
+    tail = lambda f, b: sum(comb(f + b, k) for k in range(b, f + b + 1)) / 2 ** (f + b)
+    assert all(r["r"] == (r["b"] > r["f"] and tail(r["f"], r["b"]) < 0.05) for r in rows)
