@@ -42,6 +42,8 @@ GENERATOR = 0b110001110101
 CROWD = 64
 #: Expected documents of a cell in which candidates are verified.
 CELL = 2_000
+#: Expected documents of a block of one fingerprint, which is held against other blocks as a whole.
+BLOCK = 256
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -155,11 +157,13 @@ def _sent(values: DataFrame, threshold: int) -> DataFrame:
     return values.select("search", "fingerprint").mapInPandas(run, "search int, fingerprint long, anchor long")
 
 
-def links(values: DataFrame, threshold: int = 2) -> DataFrame:
+def links(values: DataFrame, threshold: int = 2, star: bool = True) -> DataFrame:
     """Links (search, a, b) between different fingerprints at most two bits apart that connect all such pairs.
 
     `values` holds distinct (search, fingerprint); fingerprints of one search alone are held against each
-    other. The way for crowds is exact for a threshold of two; below it the pairs are checked.
+    other. The way for crowds is exact for a threshold of two; below it the pairs are checked. Without
+    `star` every pair is a link (a word's 65 members bound them), as one needs whose links must pass
+    something else yet, which no third fingerprint can stand in for.
     """
     if not 1 <= threshold <= 2:
         raise ValueError("threshold must be 1 or 2")
@@ -175,10 +179,11 @@ def links(values: DataFrame, threshold: int = 2) -> DataFrame:
     changed = F.concat(F.array(F.col("a")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     words = many.select("search", "a", F.explode(changed).alias("word"))
     stars = words.groupBy("search", "word").agg(F.collect_list("a").alias("members")).where("size(members) > 1")
-    if threshold == 2:
+    if threshold == 2 and star:
         stars = stars.select("search", F.array_min("members").alias("b"), F.explode("members").alias("a"))
     else:
-        stars = stars.select("search", F.explode("members").alias("b"), "members").select("search", "b", F.explode("members").alias("a"))
+        later = F.filter("members", lambda m: m < F.col("b"))
+        stars = stars.select("search", F.explode("members").alias("b"), "members").select("search", "b", F.explode(later).alias("a"))
     stars = stars.where(F.col("a") != F.col("b")).where(apart <= threshold)
     return near.select("search", "a", "b").union(stars.select("search", "a", "b")).distinct()
 
@@ -235,14 +240,15 @@ def least_apart(x: bytes, y: bytes) -> int:
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4, threshold: int = 2) -> DataFrame:
-    """Links (a, b) between documents whose sets of word shingles have at least this Jaccard similarity.
+    """Links (a, b) that connect the documents whose sets of word shingles have at least this Jaccard similarity.
 
     A few changed words change many shingles, and with them more bits of a shingle fingerprint than
     can be searched for. So candidates come from several independent fingerprints of single words,
     each searched by anchor points. Sizes and parities of the sets of shingles rule out candidates that
-    cannot be similar, and the similarity of the others is computed exactly. Documents of one fingerprint
-    are held against the first of them. No link without the similarity; what is missed
-    are pairs that no fingerprint brings within the threshold. Texts without words link with nothing.
+    cannot be similar, and the similarity of the others is computed exactly. The first documents of
+    fingerprints are held against their own and each other; then all documents of one fingerprint, and of
+    two linked ones, that this has left apart (`beyond_first`). No link without the similarity; what is
+    missed are pairs that no fingerprint brings within the threshold. Texts without words link with nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -262,8 +268,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
     prints = materialise(prints, "word-fingerprints")
     rows = prints.select("doc_id", F.posexplode("fingerprints").alias("search", "fingerprint"))
     values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("doc_id").alias("least")), "values")
-    near = links(values, threshold)
-    near = near.join(values.toDF("search", "a", "doc_a"), ["search", "a"]).join(values.toDF("search", "b", "doc_b"), ["search", "b"]).select("doc_a", "doc_b")
+    linked = materialise(links(values, threshold), "fingerprint-links")
+    near = linked.join(values.toDF("search", "a", "doc_a"), ["search", "a"]).join(values.toDF("search", "b", "doc_b"), ["search", "b"]).select("doc_a", "doc_b")
     same = rows.join(values, ["search", "fingerprint"]).where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
     candidates = near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
     candidates = materialise(candidates.where("a <> b").distinct(), "found")
@@ -279,13 +285,65 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
             yield frame.loc[apart <= most * (frame["size_a"] + frame["size_b"]) + 1e-6, ["a", "b"]]
 
     near = sized.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInPandas(close, "a long, b long")
-    candidates = materialise(near.distinct(), "candidates")
-    return verify(small, candidates, words, similarity)
+    first = materialise(verify(small, materialise(near.distinct(), "candidates"), words, similarity), "first-links")
+    more = beyond_first(prints, linked, first, similarity).join(candidates, ["a", "b"], "left_anti")
+    small_batches(spark, 64)  # a row has two blocks
+    more = materialise(more, "candidates")
+    small_batches(spark)
+    return first.union(verify(small, more, words, similarity))
+
+
+def beyond_first(prints: DataFrame, linked: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one fingerprint or of two linked ones that `first` leaves apart and that may be similar.
+
+    Similarity isn't transitive, so a first document that is similar to neither says nothing of two others.
+    The documents of a fingerprint are cut into blocks of bounded expected size, and a task holds one block
+    against another; where all have one component already, none are sent.
+    """
+    joined = connected_components(first, "first-groups").toDF("doc_id", "label")
+    rows = prints.where("size > 0").join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    rows = rows.select("doc_id", "label", "size", "parity", F.posexplode("fingerprints").alias("search", "fingerprint"))
+    place = ["search", "fingerprint"]
+    groups = materialise(rows.groupBy(place).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")), "groups")
+    a, b = (groups.select("search", *[F.col(c).alias(f"{c}_{x}" if c != "fingerprint" else x) for c in ("fingerprint", "n", "low", "high")]) for x in "ab")
+    meets = linked.join(a, ["search", "a"]).join(b, ["search", "b"]).where("n_a * n_b > 1")
+    meets = meets.where("least(low_a, low_b) < greatest(high_a, high_b)").select("search", "a", "b")
+    own = groups.where("n > 2 and low < high").select("search", F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
+    meets = materialise(meets.union(own), "meetings")
+    used = meets.select("search", F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
+    placed = rows.join(groups.join(used, place).select(*place, "n"), place)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    blocks = materialise(placed.groupBy(*place, "block").agg(*[F.collect_list(F.struct("doc_id", "label", "size", "parity")).alias("members")]), "blocks")
+    left, right = (blocks.select("search", F.col("fingerprint").alias(x), F.col("block").alias(f"block_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
+    met = meets.join(left, ["search", "a"]).join(right, ["search", "b"]).where("a <> b or block_a <= block_b")
+    met = met.repartition("search", "a", "b", "block_a", "block_b").select((F.expr("a = b and block_a = block_b")).alias("same"), "members_a", "members_b")
+    most = (1 - similarity) / (1 + similarity)
+
+    def hold(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = (batch.column(i)[row].values for i in (1, 2))
+                ids, labels, sizes = (y.field(i).to_numpy() for i in range(3))
+                parities = y.field(3).to_pylist()
+                out_a, out_b = [], []
+                for at, one in enumerate(x.to_pylist()):
+                    size = one["size"]
+                    may = (labels != one["label"]) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size))
+                    if batch.column(0)[row].as_py():
+                        may[: at + 1] = False
+                    for j in np.nonzero(may)[0]:
+                        if least_apart(one["parity"], parities[j]) <= most * (size + sizes[j]) + 1e-6:
+                            out_a.append(min(one["doc_id"], ids[j]))
+                            out_b.append(max(one["doc_id"], ids[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(hold, "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose sets of shingles have the Jaccard similarity, computed exactly.
+    """Of the candidates (a, b) whose sets of shingles have the Jaccard similarity, computed exactly, those that connect all.
 
+    A candidate whose ends a cell has connected already isn't computed there again.
     A document's set goes once to the cell where its candidates' component is, not once a pair. Cells
     hold a bounded expected number of documents: small components share them by hash, and a larger
     component is cut into blocks whose pairs are cells of their own.
@@ -319,15 +377,24 @@ def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float
 
     def judge(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         known = {d: np.frombuffer(x, np.int64) for d, x in zip(own["doc_id"], own["shingles"], strict=True)}
-        kept = []
+        kept, up = [], {d: d for d in known}
+
+        def root(d):
+            while up[d] != d:
+                up[d] = d = up[up[d]]
+            return d
+
         for a, b in zip(asked["a"], asked["b"], strict=True):
             x, y = known[a], known[b]
+            if root(a) == root(b):
+                continue
             least = similarity * max(len(x), len(y))  # the common part can't be larger than the smaller set
             if min(len(x), len(y)) < least or not len(x):
                 continue
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= similarity * (len(x) + len(y) - common):
                 kept.append((a, b))
+                up[root(a)] = root(b)
         return pd.DataFrame(kept, columns=["a", "b"]).astype(np.int64)
 
     keys = [F.col("cell.group").alias("g"), F.col("cell.low").alias("l"), F.col("cell.high").alias("h")]

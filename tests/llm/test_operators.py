@@ -128,6 +128,41 @@ def test_similar_documents_are_verified(spark):
     assert sorted(r["doc_id"] for r in rows) == [0, 2, 3, 4]
 
 
+def template_copies(base, copies, changed, seed):
+    """Copies of a template with some words of their own each, the template last."""
+    rng = random.Random(seed)
+    texts = []
+    for c in range(copies):
+        own = list(base)
+        for n, at in enumerate(rng.sample(range(len(base)), changed)):
+            own[at] = f"own{c}x{n}"
+        texts.append(own)
+    return [" ".join(t) for t in [*texts, base]]
+
+
+def kept_by_brute_force(texts, threshold=2):
+    """Who stays if all pairs are tried that a word fingerprint brings within the threshold."""
+    prints = [simhash.word_fingerprints(t, 4) for t in texts]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            near = any((p ^ q).bit_count() <= threshold for p, q in zip(prints[i], prints[j], strict=True))
+            if least[i] != least[j] and near and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return sorted(set(least))
+
+
+def test_copies_of_one_fingerprint_are_all_tried(spark):
+    rng = random.Random(4)
+    texts = template_copies([rng.choice("abcdefg") * 3 for _ in range(400)], 300, 7, 9)
+    wanted = kept_by_brute_force(texts, 0)
+    assert len(wanted) < 10
+    assert [r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).orderBy("doc_id").collect()] == kept_by_brute_force(texts)
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(80, 16))
