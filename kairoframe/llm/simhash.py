@@ -268,7 +268,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
     prints = materialise(prints, "word-fingerprints")
     rows = prints.select("doc_id", F.posexplode("fingerprints").alias("search", "fingerprint"))
     values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("doc_id").alias("least")), "values")
-    linked = materialise(links(values, threshold), "fingerprint-links")
+    linked = materialise(links(values, threshold, star=False), "fingerprint-links")
     near = linked.join(values.toDF("search", "a", "doc_a"), ["search", "a"]).join(values.toDF("search", "b", "doc_b"), ["search", "b"]).select("doc_a", "doc_b")
     same = rows.join(values, ["search", "fingerprint"]).where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
     candidates = near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))

@@ -163,6 +163,13 @@ def test_copies_of_one_fingerprint_are_all_tried(spark):
     assert [r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).orderBy("doc_id").collect()] == kept_by_brute_force(texts)
 
 
+def test_copies_of_linked_fingerprints_are_all_tried(spark):
+    rng = random.Random(1)
+    texts = template_copies([f"w{rng.randrange(10**6)}" for _ in range(122)], 500, 2, 1)
+    rows = simhash.keep_one(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == kept_by_brute_force(texts)
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(80, 16))
