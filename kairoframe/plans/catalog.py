@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoframe.functions import civil, features, lexicon, lunar, numerals, text
@@ -50,11 +50,20 @@ def token_fnv(spark, sf_dir):
 
 @query(f"WITH p AS (SELECT conv_id, turn, ts, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, {SQL_TOKENS} AS ts FROM conversations)) SELECT conv_id, turn, pos::BIGINT AS pos, t, coalesce(sum(length(t)) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p WHERE turn = 0 OR turn = 1")
 def token_offsets(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn in (0, 1)").withColumn("ts", text.tokens(F.col("text")))
+    return turn_offsets(table(spark, sf_dir, "conversations").where("turn in (0, 1)"))
+
+
+def turn_offsets(turns: DataFrame) -> DataFrame:
+    rows = turns.withColumn("ts", text.tokens(F.col("text")))
     rows = rows.select("conv_id", "turn", F.posexplode(F.arrays_zip(F.col("ts").alias("t"), text.starts(F.col("ts")).alias("start"))).alias("pos", "x"))
     return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("x.t").alias("t"), F.col("x.start").cast("long").alias("start"))
 
 
+@query(f"WITH p AS (SELECT conv_id, turn, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, {SQL_TOKENS} AS ts FROM conversations)) SELECT conv_id, turn, pos::BIGINT AS pos, t, coalesce(sum(length(t)) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p")
+def token_offsets_all(spark, sf_dir):
+    return turn_offsets(table(spark, sf_dir, "conversations"))
+
+
 @query(f"SELECT CASE WHEN l<=1 THEN 0 WHEN l<=2 THEN 1 WHEN l<=3 THEN 2 WHEN l<=4 THEN 3 WHEN l<=6 THEN 4 WHEN l<=8 THEN 5 WHEN l<=12 THEN 6 ELSE 7 END AS bucket, count(*) AS n FROM (SELECT length(unnest({SQL_TOKENS})) AS l FROM documents) GROUP BY 1")
 def length_buckets(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("t"))
@@ -301,12 +310,23 @@ def fingerprint_antijoin(spark, sf_dir):
 
 @query(f"WITH p AS (SELECT item_id, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT item_id, {SQL_TOKENS} AS ts FROM benchmark)), o AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p), s AS (SELECT item_id, b AS span_start, b + 40 AS span_end FROM benchmark, range(0, 400, 100) r(b)) SELECT item_id, span_start, count(*) AS n FROM o JOIN s USING (item_id) WHERE start >= span_start AND start + length(t) <= span_end GROUP BY ALL")
 def span_token_join(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").withColumn("ts", text.tokens(F.col("text")))
+    return span_counts(table(spark, sf_dir, "benchmark"), F.lit(300))
+
+
+def span_counts(items: DataFrame, last: Column) -> DataFrame:
+    """Tokens inside spans of 40 units that start at every 100th up to `last` (null: no span)."""
+    rows = items.withColumn("ts", text.tokens(F.col("text")))
     tokens = rows.select("item_id", F.inline(F.arrays_zip(F.col("ts").alias("t"), text.starts(F.col("ts")).alias("start")))).withColumn("end", F.col("start") + text.units(F.col("t")))
-    spans = rows.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(300), F.lit(100))).alias("b")).select("item_id", F.col("b").cast("long").alias("span_start"), (F.col("b") + 40).alias("span_end"))
+    spans = rows.select("item_id", F.explode(F.sequence(F.lit(0), last, F.lit(100))).alias("b")).select("item_id", F.col("b").cast("long").alias("span_start"), (F.col("b") + 40).alias("span_end"))
     return islands.within(tokens, spans, "item_id").groupBy("item_id", "span_start").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH p AS (SELECT item_id, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT item_id, {SQL_TOKENS} AS ts FROM benchmark)), o AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p), s AS (SELECT item_id, b AS span_start, b + 40 AS span_end FROM (SELECT item_id, unnest(range(0, length(text), 100)) AS b FROM benchmark)) SELECT item_id, span_start, count(*) AS n FROM o JOIN s USING (item_id) WHERE start >= span_start AND start + length(t) <= span_end GROUP BY ALL")
+def span_token_join_all(spark, sf_dir):
+    units = text.units(F.col("text"))
+    return span_counts(table(spark, sf_dir, "benchmark"), F.when(units > 0, units - 1))
+
+
 @query("WITH j AS (SELECT lang, quality = 1 AS t, n_chars > 1000 AS g FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, count(*) FILTER (t AND g) AS tp, count(*) FILTER (NOT t AND g) AS fp, count(*) FILTER (t AND NOT g) AS fn, count(*) AS n FROM j GROUP BY lang) SELECT lang, tp, fp, fn, n, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c")
 def label_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")

@@ -79,3 +79,31 @@ def test_sign_test_against_the_binomial(spark):
     rows = spark.createDataFrame(pairs, "f int, b int").select("f", "b", regressed(F.col("f"), F.col("b")).alias("r")).collect()
     tail = lambda f, b: sum(comb(f + b, k) for k in range(b, f + b + 1)) / 2 ** (f + b)
     assert all(r["r"] == (r["b"] > r["f"] and tail(r["f"], r["b"]) < 0.05) for r in rows)
+
+
+def same_as_sql(spark, name):
+    """The rows of a query on the smallest tables, held against its SQL."""
+    import duckdb
+
+    from kairoframe.plans import catalog
+
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("conversations", "benchmark", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, folder).collect()]
+    assert sorted(got) == sorted(db.execute(catalog.SQL[name]).fetchall())
+    return got
+
+
+def test_all_turns_have_offsets(spark):
+    assert {r[1] for r in same_as_sql(spark, "token_offsets_all")} == set(range(8))
+
+
+def test_spans_reach_the_end_of_a_text(spark):
+    from kairoframe.plans.catalog import span_counts
+
+    same_as_sql(spark, "span_token_join_all")
+    rows = spark.createDataFrame([(1, "word " * 200), (2, ""), (3, None)], "item_id long, text string")
+    units = text.units(F.col("text"))
+    assert {r["span_start"] for r in span_counts(rows, F.when(units > 0, units - 1)).collect()} == set(range(0, 1000, 100))
