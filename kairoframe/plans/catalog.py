@@ -115,12 +115,20 @@ def meridiem_fold(spark, sf_dir):
 
 @query("WITH l AS (SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 90 MINUTE * k AS wall FROM orders, (VALUES (1), (2)) v(k) WHERE month(o_orderdate) IN (4, 10)), a AS (SELECT *, timezone('America/New_York', wall) AS ins FROM l) SELECT o_orderkey, wall, CASE WHEN timezone('America/New_York', ins) <> wall THEN 'gap' WHEN timezone('America/New_York', ins + INTERVAL 1 HOUR) = wall OR timezone('America/New_York', ins - INTERVAL 1 HOUR) = wall THEN 'overlap' ELSE 'exact' END AS kind FROM a")
 def zone_classify(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where(F.month("o_orderdate").isin(4, 10))
-    wall = F.timestamp_add("MINUTE", F.col("k") * 90, F.date_trunc("day", F.col("o_orderdate").cast("timestamp_ntz")))
-    rows = rows.select("o_orderkey", "o_orderdate", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("o_orderkey", wall.cast("timestamp_ntz").alias("wall"))
+    return wall_kinds(table(spark, sf_dir, "orders").where(F.month("o_orderdate").isin(4, 10)), [90, 180])
+
+
+def wall_kinds(orders: DataFrame, minutes: list[int]) -> DataFrame:
+    wall = F.timestamp_add("MINUTE", F.col("k"), F.date_trunc("day", F.col("o_orderdate").cast("timestamp_ntz")))
+    rows = orders.select("o_orderkey", "o_orderdate", F.explode(F.array(*[F.lit(m) for m in minutes])).alias("k")).select("o_orderkey", wall.cast("timestamp_ntz").alias("wall"))
     return rows.withColumn("kind", civil.zone_kind(F.col("wall").cast("timestamp"), F.lit("America/New_York")))
 
 
+@query("WITH l AS (SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 1 MINUTE * k AS wall FROM orders, (VALUES (90), (150), (180)) v(k)), a AS (SELECT *, timezone('America/New_York', wall) AS ins FROM l) SELECT o_orderkey, wall, CASE WHEN timezone('America/New_York', ins) <> wall THEN 'gap' WHEN timezone('America/New_York', ins + INTERVAL 1 HOUR) = wall OR timezone('America/New_York', ins - INTERVAL 1 HOUR) = wall THEN 'overlap' ELSE 'exact' END AS kind FROM a")
+def zone_classify_all(spark, sf_dir):
+    return wall_kinds(table(spark, sf_dir, "orders"), [90, 150, 180])
+
+
 @query("SELECT event_id, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS saigon, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') || '+01:00' AS berlin, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS utc FROM events")
 def iso_render(spark, sf_dir):
     at = F.col("ts").cast("timestamp")

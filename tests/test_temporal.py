@@ -107,3 +107,8 @@ def test_spans_reach_the_end_of_a_text(spark):
     rows = spark.createDataFrame([(1, "word " * 200), (2, ""), (3, None)], "item_id long, text string")
     units = text.units(F.col("text"))
     assert {r["span_start"] for r in span_counts(rows, F.when(units > 0, units - 1)).collect()} == set(range(0, 1000, 100))
+
+
+def test_every_order_is_classified_and_gaps_occur(spark):
+    got = same_as_sql(spark, "zone_classify_all")
+    assert {r[1].month for r in got} == set(range(1, 13)) and {r[2] for r in got} == {"gap", "overlap", "exact"}
