@@ -5,37 +5,82 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that Python is handed at a time, as slices of Spark's batches (which Spark bounds by bytes).
+ROWS = 512
+
+_folders: list[str] = []
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is missing (a local session, as in tests) a temporary folder is set for it.
+    Where the setting is missing, a local session (as in tests) gets a temporary folder for it; on a
+    cluster, whose machines don't share one, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _folders[-1] if _folders else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All scratch tables written inside are deleted at the end; what is read from them must be done by then."""
+    path = scratch_path(spark, "scratch")
+    _folders.append(path)
+    try:
+        yield
+    finally:
+        _folders.remove(path)
+        remove(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
 
+def release(*tables: DataFrame) -> None:
+    """Delete what `materialise` wrote for these; nothing may read them any more."""
+    for table in tables:
+        if path := _written.pop(table, None):
+            remove(table.sparkSession, path)
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of texts small, so that very long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores put before them until no column of df has them (in any case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def append_columns(
@@ -54,12 +99,14 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
-            out = apply(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(n)) for n in names] + [out[f.name] for f in fields],
-                names=names + [f.name for f in fields],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                out = apply(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(batch.schema.get_field_index(n)) for n in names] + [out[f.name] for f in fields],
+                    names=names + [f.name for f in fields],
+                )
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 
@@ -76,8 +123,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     Hooking with pointer jumping: every round each root takes the smallest label next to its tree and
     every node takes its label's label, so the rounds grow with the logarithm of a chain's length.
     All steps are joins of written tables (which adaptive execution splits where a node is hot) and
-    minima with partial aggregation; the driver sees one count a round. Without a hook all ends of links
-    have the same label, which then is the least of its component. Null ends are left out.
+    minima with partial aggregation; the driver sees one count a round, and a round's tables are deleted
+    with the next. Without a hook all ends of links have the same label, which then is the least of its
+    component. Null ends are left out.
     """
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = materialise(pairs.union(pairs.select("b", "a")).distinct().toDF("node", "next"), name)
@@ -89,7 +137,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         hooks = reached.select(F.col("label").alias("node"), "near").union(reached.select("node", "near"))
         hooks = materialise(hooks.groupBy("node").agg(F.min("near").alias("near")), name)
         if hooks.isEmpty():
+            release(both, hooks)
             return labels.select("node", F.col("label").alias("component"))
         hooked = materialise(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label")), name)
         ups = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = materialise(hooked.join(ups, "label").select("node", F.col("up").alias("label")), name)
+        jumped = materialise(hooked.join(ups, "label").select("node", F.col("up").alias("label")), name)
+        release(labels, hooks, hooked)
+        labels = jumped

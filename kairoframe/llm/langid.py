@@ -21,15 +21,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, plain, small_batches
+from .common import ROWS, append_columns, plain
 
 DIMENSIONS = 1024
-#: About so many labelled texts of a language are learned from at most, chosen by a hash of their id.
-SAMPLE = 4_000
+#: Cosines of unrelated vectors have a standard deviation of one by the root of the dimensions; what is
+#: no nearer to a language than twice that, in a text of so many words, is taken for unlike it.
+LEAST, WORDS = 2 / DIMENSIONS**0.5, 8
 #: Characters that are counted at a time.
 SLICE = 400_000
 
@@ -117,26 +118,30 @@ def _marks(length: int) -> np.ndarray:
     return out
 
 
-def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Prototypes from rows (doc_id, text, lang): one sum of vectors a language reaches the driver."""
-    small_batches(labelled.sparkSession)
+def learn(labelled: DataFrame, sample: int = 4_000) -> dict[str, np.ndarray]:
+    """Prototypes from rows (doc_id, text, lang): one sum of vectors a language reaches the driver.
+
+    About `sample` texts of a language are learned from at most, chosen by a hash of their ids.
+    """
     rows = plain(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.groupBy("lang").count().collect()  # as few rows as there will be prototypes
     if not counts:
         return {}
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 20, (SAMPLE << 20) // r["count"]))])
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 20, (sample << 20) // r["count"]))])
     share = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20))
     chosen = rows.where(share < rates[F.col("lang")]).select("lang", "text")
 
     def sums(frames):
         total: dict[str, np.ndarray] = {}
         for frame in frames:
-            found, has = bundles(frame["text"].tolist())
-            found = found[has] / np.linalg.norm(found[has], axis=1, keepdims=True).clip(1e-9)
-            names = frame["lang"].to_numpy()[has]
-            for name in np.unique(names.astype(str)) if len(names) else ():
-                total[name] = total.get(name, 0) + found[names == name].sum(axis=0, dtype=np.float64)
+            for at in range(0, len(frame), ROWS):
+                part = frame.iloc[at : at + ROWS]
+                found, has = bundles(part["text"].tolist())
+                found = found[has] / np.linalg.norm(found[has], axis=1, keepdims=True).clip(1e-9)
+                names = part["lang"].to_numpy()[has]
+                for name in np.unique(names.astype(str)) if len(names) else ():
+                    total[name] = total.get(name, 0) + found[names == name].sum(axis=0, dtype=np.float64)
         for name, vector in total.items():
             yield pd.DataFrame({"lang": name, "at": np.arange(DIMENSIONS), "x": vector})
 
@@ -146,29 +151,38 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def identify(df: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """Append lang_pred and score, the cosine with the prototype (0 where it is negative)."""
-    small_batches(df.sparkSession)
+    """Append lang_pred, score, the cosine with its prototype, and likeness, the largest cosine with a bundle of a language
+    before what languages share was taken off (both 0 where they are negative)."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] / max(1e-9, np.linalg.norm(prototypes[n])) for n in names]).reshape(len(names), DIMENSIONS)
+    raw = matrix
     if len(names) > 1:
         centred = matrix - matrix.mean(axis=0)
         matrix = centred / np.linalg.norm(centred, axis=1, keepdims=True).clip(1e-9)
-    shared = df.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
+    shared = df.sparkSession.sparkContext.broadcast((matrix.astype(np.float32), raw.astype(np.float32)))
 
     def make():
-        known = shared.value
+        known, bundled = shared.value
 
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             found, has = bundles(batch.column(batch.schema.get_field_index("text")).to_pylist())
             has &= len(names) > 0
-            cosine = found @ known.T / np.linalg.norm(found, axis=1, keepdims=True).clip(1e-9) if len(names) else np.zeros((len(has), 1))
+            found /= np.linalg.norm(found, axis=1, keepdims=True).clip(1e-9)
+            cosine, like = (found @ m.T if len(names) else np.zeros((len(has), 1)) for m in (known, bundled))
             best = cosine.argmax(axis=1)
             score = np.where(has, cosine[np.arange(len(best)), best].clip(0, 1), 0.0) if len(best) else np.zeros(0)
             return {
                 "lang_pred": pa.array([names[b] if h else "und" for b, h in zip(best, has, strict=True)], pa.string()),
                 "score": pa.array(score.astype(np.float64), pa.float64()),
+                "likeness": pa.array(np.where(has, like.max(axis=1, initial=0), 0).astype(np.float64), pa.float64()),
             }
 
         return apply
 
-    return append_columns(df, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return append_columns(df, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("likeness", T.DoubleType())])
+
+
+def accepted(text: str = "text", least: float = LEAST, words: int = WORDS) -> Column:
+    """Of what `identify` appends: has the text a letter, and is it like a learned language or too short to say?"""
+    short = F.regexp_count(F.col(text).cast("string"), F.lit(r"\S+")) < words
+    return (F.col("lang_pred") != "und") & ((F.col("likeness") >= least) | short)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 WIDTH = 3
 BLANK = " \t\r"
@@ -50,16 +50,18 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Every row of docs, its text without repeated passages, with n_lines before and n_removed."""
-    gone = materialise(covered(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id"), "covered")
     rows = docs.drop("n_lines", "n_removed")
-    rows = rows.join(gone.hint("merge"), rows["doc_id"] == gone["_gone_id"], "left").withColumn("_lines", lines(F.col("text")))
-    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_gone", i - 1) + 1)
-    stop = lambda i: F.coalesce(F.get("_gone", i), F.size("_lines"))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice("_lines", start(i) + 1, stop(i) - start(i))))
+    gone, gone_id, all_lines = unused(rows, "gone", "gone_id", "all_lines")
+    lost = covered(docs).groupBy(F.col("doc_id").alias(gone_id)).agg(F.array_sort(F.collect_list("line")).alias(gone))
+    lost = materialise(lost, "covered")
+    rows = rows.join(lost.hint("merge"), rows["doc_id"] == lost[gone_id], "left").withColumn(all_lines, lines(F.col("text")))
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(gone, i - 1) + 1)
+    stop = lambda i: F.coalesce(F.get(gone, i), F.size(all_lines))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(all_lines, start(i) + 1, stop(i) - start(i))))
     return (
-        rows.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
+        rows.withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long"))
         .withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_gone", "_gone_id", "_lines")
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop(gone, gone_id, all_lines)
     )
