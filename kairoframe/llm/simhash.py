@@ -1,18 +1,19 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
 A fingerprint has a bit where more than half of the XXH64 values (seed 42) of a text's word shingles
-have it. The anchors are the code words of two binary Golay codes side by side: each covers 23 bits
-within 3 (and it is perfect, so every word has one home), the last 18 bits are covered by a single
-word. A fingerprint is at home at one anchor and is sent to every anchor within the covering radius
-plus the threshold, where what the two blocks exceed their radius by may together be the threshold at
-most. Whoever lies within the threshold of a fingerprint at home at an anchor is thus sent there. Of
-two such fingerprints each is sent to the other's home, and one meeting is enough: so of the anchors
-that a fingerprint is sent to, those after its own home (by number) are left out.
-
-At an anchor with few visitors those are compared with the ones at home. The fingerprints of anchors
-with more visitors than that (a group of near copies, or a very large corpus) meet instead at every
-64-bit word within one bit of theirs: two fingerprints are within two bits if and only if they share
-such a word, at most 65 different ones share one, and each is linked with the least of them.
+have it. The anchors are the code words of perfect binary codes side by side: two Golay codes, which
+cover 23 bits each within 3, and a Hamming code, which covers 15 bits within 1 (the last 3 bits are left
+to the comparison), so that there are 2^35 anchors. As the codes are perfect, a fingerprint has one home
+anchor. It is sent to every anchor within the covering radius plus the threshold, where what the blocks
+exceed their radius by may together be the threshold at most. Whoever lies within the threshold of a
+fingerprint at home at an anchor is thus sent there. Of two such fingerprints each is sent to the
+other's home, and one meeting is enough: so of the anchors that a fingerprint is sent to, those after
+its own home (by number) are left out. At an anchor its visitors are compared with those at home.
+
+Where an anchor has very many visitors (a group of near copies) the code there is refined to the finest
+one, whose anchors are all 64-bit words: its covering radius is 0, and a fingerprint is sent to the words
+within one bit. Two fingerprints are within two bits if and only if they meet at such a word, and at most
+65 different ones do, so the work follows the number of fingerprints there and not its square.
 
 Equal fingerprints are one row from the start. Null texts count as empty; texts without a word have
 fingerprint zero and are linked like any other. Null ids are grouped but never name a component when
@@ -29,21 +30,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, connected_components, materialise, plain, small_batches
+from .common import append_columns, connected_components, materialise, plain, release, unused
 
-BITS, RADIUS = 23, 3
-#: The generator polynomial of the Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
-GENERATOR = 0b110001110101
-#: Visitors of an anchor up to which they are compared there; beyond, the exact way for crowds.
+#: Perfect codes: (bits, radius, generator polynomial); x^11+x^10+x^6+x^5+x^4+x^2+1 is the Golay code's, x^4+x+1 the Hamming code's.
+GOLAY, HAMMING = (23, 3, 0b110001110101), (15, 1, 0b10011)
+#: The blocks of a 64-bit fingerprint from its low end, and those of the 46-bit ones that the pipeline's stage searches.
+LONG, SHORT = (GOLAY, GOLAY, HAMMING), (GOLAY, GOLAY)
+#: Visitors of an anchor beyond which the code is refined there.
 CROWD = 64
 #: Expected documents of a cell in which candidates are verified.
-CELL = 2_000
+CELL = 500
 #: Expected documents of a block of one fingerprint, which is held against other blocks as a whole.
 BLOCK = 256
+#: Searches of the pipeline's stage: by parts of a text, and by the whole of it.
+PARTS, WHOLES = 18, 4
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -53,22 +57,27 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         return 0
     if len(parts) <= words:
         return xxhash.xxh64_intdigest(b" ".join(parts), 42)
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in _hashed_runs(parts, words):
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.int64)
+        total += len(bits)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+
+
+def _hashed_runs(parts: list[bytes], words: int):
+    """The big-endian hashes of all runs of so many words, some thousands at a time."""
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate(([0], ends[: -words] + 1)).tolist()
-    digest = xxhash.xxh64_digest
-    counts, shingles = np.zeros(64, np.int64), len(starts)
+    starts = np.concatenate(([0], ends[:-words] + 1)).tolist()
     ends = ends[words - 1 :].tolist()
-    for at in range(0, shingles, 65_536):
-        hashes = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > shingles).tobytes(), "big")
+    digest = xxhash.xxh64_digest
+    for at in range(0, len(starts), 65_536):
+        yield b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """Append `fingerprint`, the 64 bits as a signed long."""
-    small_batches(docs.sparkSession)
 
     def make():
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -82,110 +91,126 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 @lru_cache(None)
-def syndromes() -> np.ndarray:
-    """The syndrome of every 23-bit word: its remainder by the generator."""
-    out = np.arange(1 << BITS, dtype=np.uint32)
-    for bit in range(BITS - 1, 10, -1):
-        out = np.where(out >> bit & 1, out ^ (GENERATOR << (bit - 11)), out)
+def syndromes(code: tuple[int, int, int]) -> np.ndarray:
+    """The syndrome of every word of the code's length: its remainder by the generator."""
+    bits, _, generator = code
+    degree = generator.bit_length() - 1
+    out = np.arange(1 << bits, dtype=np.uint32)
+    for bit in range(bits - 1, degree - 1, -1):
+        out = np.where(out >> bit & 1, out ^ (generator << (bit - degree)), out)
     return out.astype(np.uint16)
 
 
-@lru_cache(4)
-def flips(threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+@lru_cache(None)
+def flips(code: tuple[int, int, int], threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """By excess over the radius: what to flip, by syndrome, to get to the code words that near, and which entries count."""
-    found: list[list[list[int]]] = [[[] for _ in range(2048)] for _ in range(threshold + 1)]
-    table = syndromes()
-    for weight in range(RADIUS + threshold + 1):
-        for bits in combinations(range(BITS), weight):
-            flip = sum(1 << b for b in bits)
-            found[max(0, weight - RADIUS)][table[flip]].append(flip)
+    bits, radius, generator = code
+    kinds = 1 << (generator.bit_length() - 1)
+    found: list[list[list[int]]] = [[[] for _ in range(kinds)] for _ in range(threshold + 1)]
+    table = syndromes(code)
+    for weight in range(radius + threshold + 1):
+        for places in combinations(range(bits), weight):
+            flip = sum(1 << b for b in places)
+            found[max(0, weight - radius)][table[flip]].append(flip)
     out = []
     for rows in found:
         sizes = np.array([len(r) for r in rows])
-        padded = np.zeros((2048, sizes.max()), np.int64)
+        padded = np.zeros((kinds, sizes.max()), np.int64)
         for at, row in enumerate(rows):
             padded[at, : len(row)] = row
         out.append((padded, np.arange(sizes.max()) < sizes[:, None]))
     return out
 
 
-def homes_of(values: np.ndarray) -> np.ndarray:
-    """The home anchor (46 bits) of every fingerprint."""
-    mask, table, lead = (1 << BITS) - 1, syndromes(), flips(1)[0][0][:, 0]
-    first, second = values & mask, values >> BITS & mask
-    return (second ^ lead[table[second]]) << BITS | (first ^ lead[table[first]])
+def cut(values: np.ndarray, blocks: tuple) -> list[tuple[tuple[int, int, int], int, np.ndarray]]:
+    """(code, shift, that part of the values) of each block."""
+    out, shift = [], 0
+    for code in blocks:
+        out.append((code, shift, values >> shift & (1 << code[0]) - 1))
+        shift += code[0]
+    return out
 
 
-def anchors(values: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def homes_of(values: np.ndarray, blocks: tuple = LONG) -> np.ndarray:
+    """The home anchor of every fingerprint."""
+    home = np.zeros(len(values), np.int64)
+    for code, shift, part in cut(values, blocks):
+        home |= (part ^ flips(code, 0)[0][0][:, 0][syndromes(code)[part]]) << shift
+    return home
+
+
+def anchors(values: np.ndarray, threshold: int, blocks: tuple = LONG) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and anchors: all that each fingerprint is sent to, its home with them."""
-    mask, table, near = (1 << BITS) - 1, syndromes(), flips(threshold)
-    first, second = values & mask, values >> BITS & mask
-    rows, out = [], []
-    for i in range(threshold + 1):
-        for j in range(threshold + 1 - i):
-            (a, in_a), (b, in_b) = near[i], near[j]
-            low = (first[:, None] ^ a[table[first]])[:, None, :]
-            high = (second[:, None] ^ b[table[second]])[:, :, None]
-            which = np.nonzero(in_b[table[second]][:, :, None] & in_a[table[first]][:, None, :])
-            rows.append(which[0])
-            out.append((high << BITS | low)[which])
-    return np.concatenate(rows), np.concatenate(out)
-
-
-def _homes(values: DataFrame) -> DataFrame:
+    reached = [(threshold, np.arange(len(values)), np.zeros(len(values), np.int64))]  # what may be exceeded yet, rows, anchors
+    for code, shift, part in cut(values, blocks):
+        syndrome, after = syndromes(code)[part], []
+        for left, rows, at in reached:
+            for excess, (flip, counts) in enumerate(flips(code, threshold)[: left + 1]):
+                which, k = np.nonzero(counts[syndrome[rows]])
+                own = rows[which]
+                after.append((left - excess, own, at[which] | (part[own] ^ flip[syndrome[own], k]) << shift))
+        reached = after
+    return np.concatenate([r for _, r, _ in reached]), np.concatenate([a for _, _, a in reached])
+
+
+def _homes(values: DataFrame, blocks: tuple) -> DataFrame:
     """(search, fingerprint, anchor): where every fingerprint is at home."""
 
     def run(frames):
         for frame in frames:
-            yield frame.assign(anchor=homes_of(frame["fingerprint"].to_numpy()))
+            yield frame.assign(anchor=homes_of(frame["fingerprint"].to_numpy(), blocks))
 
     return values.select("search", "fingerprint").mapInPandas(run, "search int, fingerprint long, anchor long")
 
 
-def _sent(values: DataFrame, threshold: int) -> DataFrame:
+def _sent(values: DataFrame, threshold: int, blocks: tuple) -> DataFrame:
     """(search, fingerprint, anchor) for every anchor up to its home that a fingerprint is sent to."""
 
     def run(frames):
         for frame in frames:
             for at in range(0, len(frame), 2_000):
                 part, search = frame["fingerprint"].to_numpy()[at : at + 2_000], frame["search"].to_numpy()[at : at + 2_000]
-                rows, found = anchors(part, threshold)
-                kept = found <= homes_of(part)[rows]
+                rows, found = anchors(part, threshold, blocks)
+                kept = found <= homes_of(part, blocks)[rows]
                 rows = rows[kept]
                 yield pd.DataFrame({"search": search[rows], "fingerprint": part[rows], "anchor": found[kept]})
 
     return values.select("search", "fingerprint").mapInPandas(run, "search int, fingerprint long, anchor long")
 
 
-def links(values: DataFrame, threshold: int = 2, star: bool = True) -> DataFrame:
-    """Links (search, a, b) between different fingerprints at most two bits apart that connect all such pairs.
+def links(values: DataFrame, threshold: int = 2, star: bool = True, blocks: tuple = LONG) -> DataFrame:
+    """Links (search, a, b) between different fingerprints at most `threshold` (1 or 2) bits apart that connect all such pairs.
 
     `values` holds distinct (search, fingerprint); fingerprints of one search alone are held against each
-    other. The way for crowds is exact for a threshold of two; below it the pairs are checked. Without
-    `star` every pair is a link (a word's 65 members bound them), as one needs whose links must pass
-    something else yet, which no third fingerprint can stand in for.
+    other. Without `star` every pair is a link (they are bounded: a fingerprint has that many words within
+    the threshold), as one needs whose links must pass something else yet, which no third fingerprint can
+    stand in for. With it, those that meet at a word of the finest code are linked with the least of them.
     """
     if not 1 <= threshold <= 2:
         raise ValueError("threshold must be 1 or 2")
     apart, place = F.expr("bit_count(a ^ b)"), ["search", "anchor"]
     values = values.select(F.col("search").cast("int").alias("search"), "fingerprint")
-    homes = materialise(_homes(values).withColumnRenamed("fingerprint", "a"), "homes")
-    visits = _sent(values, threshold).withColumnRenamed("fingerprint", "b")
-    visits = materialise(visits.join(homes.select(place).distinct(), place, "left_semi"), "visits")
+    homes = materialise(_homes(values, blocks).withColumnRenamed("fingerprint", "a"), "homes")
+    sent = _sent(values, threshold, blocks).withColumnRenamed("fingerprint", "b")
+    visits = materialise(sent.join(homes.select(place).distinct(), place, "left_semi"), "visits")
     counted = materialise(visits.groupBy(place).agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     quiet = homes.join(counted.where(F.col("n") <= CROWD).select(place), place)
     near = visits.join(quiet, place).where(F.col("a") != F.col("b")).where(apart <= threshold)
     many = visits.join(counted.where(F.col("n") > CROWD).select(place), place, "left_semi").select("search", F.col("b").alias("a")).distinct()
-    changed = F.concat(F.array(F.col("a")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    words = many.select("search", "a", F.explode(changed).alias("word"))
-    stars = words.groupBy("search", "word").agg(F.collect_list("a").alias("members")).where("size(members) > 1")
-    if threshold == 2 and star:
-        stars = stars.select("search", F.array_min("members").alias("b"), F.explode("members").alias("a"))
+    width = 64 if blocks == LONG else sum(bits for bits, _, _ in blocks)
+    changed = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.expr("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    if threshold == 1:  # to be within one bit is to be one of the other's words
+        meet = many.select("search", F.col("a").alias("b"), F.explode(changed).alias("a")).join(many, ["search", "a"]).where("a < b")
     else:
-        later = F.filter("members", lambda m: m < F.col("b"))
-        stars = stars.select("search", F.explode("members").alias("b"), "members").select("search", "b", F.explode(later).alias("a"))
-    stars = stars.where(F.col("a") != F.col("b")).where(apart <= threshold)
-    return near.select("search", "a", "b").union(stars.select("search", "a", "b")).distinct()
+        words = many.repartition("search", "a").select("search", "a", F.explode(F.concat(F.array(F.col("a")), changed)).alias("word"))
+        met = words.groupBy("search", "word").agg(F.collect_list("a").alias("members")).where("size(members) > 1")
+        if star:
+            meet = met.select("search", F.array_min("members").alias("b"), F.explode("members").alias("a"))
+        else:
+            later = F.filter("members", lambda m: m < F.col("b"))
+            meet = met.select("search", F.explode("members").alias("b"), "members").select("search", "b", F.explode(later).alias("a"))
+        meet = meet.where(F.col("a") != F.col("b")).where(apart <= threshold)
+    return near.select("search", "a", "b").union(meet.select("search", "a", "b")).distinct()
 
 
 def components(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame:
@@ -197,33 +222,67 @@ def components(docs: DataFrame, words: int = 3, threshold: int = 2) -> DataFrame
     named = materialise(values.join(joined, values["fingerprint"] == joined["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "named")
     least = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     ids = materialise(named.join(least, "component").select("fingerprint", "component_id"), "component-ids")
+    release(values, joined, named, least)
     out = rows.join(ids, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(text: str | None, count: int) -> list[int]:
-    """Several independent fingerprints of a text's words, repeats included."""
-    words = Counter((text or "").encode().lower().split())
-    if not words:
-        return [0] * count
+def word_bits(words: list[bytes], groups: int) -> np.ndarray:
+    """64 bits a group of every word, as 0 and 1: independent fingerprints come from different groups."""
     base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
-    times = np.fromiter(words.values(), np.float32, len(words))
     out = []
     with np.errstate(over="ignore"):
-        for k in range(count):
+        for k in range(groups):
             x = (base ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(32)
-            set_ = times @ np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-            out.append(int.from_bytes(np.packbits(2 * set_ > times.sum()).tobytes(), "big"))
-    return out
+            out.append(x ^ (x >> np.uint64(32)))
+    return np.unpackbits(np.stack(out, axis=1).view(np.uint8), axis=1).astype(np.float32)
+
+
+def sketch(text: str | None, words: int = 5) -> tuple[list[int], np.ndarray]:
+    """The 46-bit fingerprints of a text's words, by search, and the distinct hashes of its shingles.
+
+    Words count by the square root of how often they occur, so that the commonest don't make all texts
+    of a language alike. Texts that differ in a few words all over have like fingerprints of the whole;
+    those that differ in one passage have like ones of the part without it: so most searches split the
+    text at a shingle that a hash chooses (the least one, which similar texts mostly share) and take the
+    longer part.
+    """
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return [0] * (PARTS + WHOLES), np.zeros(0, np.int64)
+    runs = b"".join(_hashed_runs(parts, words)) if len(parts) >= words else xxhash.xxh64_digest(b" ".join(parts), 42)
+    hashes = np.frombuffer(runs, ">u8").astype(np.uint64)
+    kinds = list(Counter(parts))
+    place = {w: i for i, w in enumerate(kinds)}
+    at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+    weights = np.zeros((PARTS + WHOLES, len(kinds)), np.float32)
+    for k in range(PARTS):
+        with np.errstate(over="ignore"):
+            x = (hashes ^ np.uint64((k + 77) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        middle = int(x.argmin())
+        end = min(middle + words, len(parts))
+        weights[k] = np.bincount(at[:end] if end >= len(parts) - middle else at[middle:], minlength=len(kinds))
+    weights[PARTS:] = np.bincount(at, minlength=len(kinds))
+    np.sqrt(weights, out=weights)
+    sums = np.zeros((PARTS + WHOLES, 64), np.float32)
+    for s in range(0, len(kinds), 16_384):
+        bits = word_bits(kinds[s : s + 16_384], 4)
+        for g in range(4):
+            sums[g::4] += weights[g::4, s : s + 16_384] @ bits[:, 64 * g : 64 * g + 64]
+    bits = np.packbits(2 * sums > weights.sum(axis=1, keepdims=True), axis=1)
+    found = (bits.view(">u8")[:, 0].astype(np.int64) & (1 << 46) - 1).tolist()
+    return found, np.unique(hashes).view(np.int64)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
     parts = (text or "").encode().lower().split()
-    runs = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], np.uint64)).view(np.int64)
+    if not parts:
+        return np.zeros(0, np.int64)
+    runs = b"".join(_hashed_runs(parts, words)) if len(parts) >= words else xxhash.xxh64_digest(b" ".join(parts), 42)
+    return np.unique(np.frombuffer(runs, ">u8").astype(np.uint64)).view(np.int64)
 
 
 def parity(hashes: np.ndarray) -> bytes:
@@ -239,44 +298,72 @@ def least_apart(x: bytes, y: bytes) -> int:
     return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4, threshold: int = 2) -> DataFrame:
-    """Links (a, b) that connect the documents whose sets of word shingles have at least this Jaccard similarity.
+def folded(parities: list[bytes], width: int) -> np.ndarray:
+    """Parities of sets that are at least that wide, as rows of this width."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, width), axis=0) for p in parities])
 
-    A few changed words change many shingles, and with them more bits of a shingle fingerprint than
-    can be searched for. So candidates come from several independent fingerprints of single words,
-    each searched by anchor points. Sizes and parities of the sets of shingles rule out candidates that
-    cannot be similar, and the similarity of the others is computed exactly. The first documents of
-    fingerprints are held against their own and each other; then all documents of one fingerprint, and of
-    two linked ones, that this has left apart (`beyond_first`). No link without the similarity; what is
-    missed are pairs that no fingerprint brings within the threshold. Texts without words link with nothing.
+
+def least_row() -> Column:
+    """The row of a group with the smallest id, a null one last, and of its texts the one with the least print."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
+
+
+def distinct_sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print, key, size) of every row, and (key, fingerprints, size, parity, doc_id, print) of every distinct set that isn't empty.
+
+    `print` tells texts under one id apart; a set's key is a digest of it, and its id and print are those
+    of a row that has it.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    small = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    small = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small = small.withColumn("print", F.md5(F.coalesce("text", F.lit(""))))
 
     def make():
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            sets = [shingles(t, words) for t in texts]
-            found = np.array([word_fingerprints(t, count) for t in texts], np.uint64).reshape(len(texts), count).view(np.int64)
-            return {"fingerprints": pa.array(list(found), pa.list_(pa.int64())), "size": pa.array([len(x) for x in sets], pa.int64()), "parity": pa.array([parity(x) for x in sets], pa.binary())}
+            found = [sketch(t, words) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            sets = [s for _, s in found]
+            return {
+                "key": pa.array([xxhash.xxh128_digest(s.tobytes(), 7) for s in sets], pa.binary()),
+                "fingerprints": pa.array([f for f, _ in found], pa.list_(pa.int64())),
+                "size": pa.array([len(s) for s in sets], pa.int64()),
+                "parity": pa.array([parity(s) for s in sets], pa.binary()),
+            }
 
         return apply
 
-    fields = [T.StructField("fingerprints", T.ArrayType(T.LongType(), True)), T.StructField("size", T.LongType()), T.StructField("parity", T.BinaryType())]
-    prints = append_columns(small, make, fields).select("doc_id", "fingerprints", "size", "parity")
-    prints = materialise(prints, "word-fingerprints")
-    rows = prints.select("doc_id", F.posexplode("fingerprints").alias("search", "fingerprint"))
-    values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("doc_id").alias("least")), "values")
-    linked = materialise(links(values, threshold, star=False), "fingerprint-links")
-    near = linked.join(values.toDF("search", "a", "doc_a"), ["search", "a"]).join(values.toDF("search", "b", "doc_b"), ["search", "b"]).select("doc_a", "doc_b")
-    same = rows.join(values, ["search", "fingerprint"]).where("doc_id <> least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
-    candidates = near.union(same).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+    fields = [
+        T.StructField("key", T.BinaryType()), T.StructField("fingerprints", T.ArrayType(T.LongType(), True)),
+        T.StructField("size", T.LongType()), T.StructField("parity", T.BinaryType()),
+    ]
+    rows = materialise(append_columns(small, make, fields).select("doc_id", "print", *[f.name for f in fields]), "sketches")
+    full = rows.where("size > 0")
+    leasts = full.groupBy("key").agg(least_row())
+    sets = full.join(leasts, "key").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print")))
+    sets = materialise(sets.drop("first").dropDuplicates(["key"]), "sets")
+    return rows.select("doc_id", "print", "key", "size"), sets
+
+
+def similar(docs: DataFrame, sets: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 1) -> DataFrame:
+    """Links (a, b) that connect the keys of sets of shingles with at least this Jaccard similarity.
+
+    A few changed words change many shingles, and with them more bits of a shingle fingerprint than
+    can be searched for. So candidates come from several fingerprints of words (see `sketch`), each
+    searched by anchor points within the threshold. Sizes and parities of the sets rule out candidates
+    that cannot be similar, and the similarity of the others is computed exactly. The first sets of
+    fingerprints are held against their own and each other; then all sets of one fingerprint, and of
+    two linked ones, that this has left apart (`beyond_first`). No link without the similarity; what is
+    missed are pairs that no fingerprint brings within the threshold.
+    """
+    rows = sets.select("key", F.posexplode("fingerprints").alias("search", "fingerprint"))
+    values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("key").alias("least")), "values")
+    linked = materialise(links(values, threshold, star=False, blocks=SHORT), "fingerprint-links")
+    near = linked.join(values.toDF("search", "a", "key_a"), ["search", "a"]).join(values.toDF("search", "b", "key_b"), ["search", "b"]).select("key_a", "key_b")
+    same = rows.join(values, ["search", "fingerprint"]).where("key <> least").select(F.col("least").alias("key_a"), F.col("key").alias("key_b"))
+    candidates = near.union(same).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
     candidates = materialise(candidates.where("a <> b").distinct(), "found")
     # the common part is the smaller set at most, and similar sets differ in few elements
-    set_a, set_b = (prints.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    set_a, set_b = (sets.select(F.col("key").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
     sized = candidates.join(set_a, "a").join(set_b, "b")
-    sized = sized.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")).where("size_a > 0")
+    sized = sized.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b"))
     most = (1 - similarity) / (1 + similarity)
 
     def close(frames):
@@ -284,25 +371,25 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int
             apart = np.array([least_apart(x, y) for x, y in zip(frame["parity_a"], frame["parity_b"], strict=True)], np.int64)
             yield frame.loc[apart <= most * (frame["size_a"] + frame["size_b"]) + 1e-6, ["a", "b"]]
 
-    near = sized.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInPandas(close, "a long, b long")
-    first = materialise(verify(small, materialise(near.distinct(), "candidates"), words, similarity), "first-links")
-    more = beyond_first(prints, linked, first, similarity).join(candidates, ["a", "b"], "left_anti")
-    small_batches(spark, 64)  # a row has two blocks
-    more = materialise(more, "candidates")
-    small_batches(spark)
-    return first.union(verify(small, more, words, similarity))
+    near = sized.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInPandas(close, "a binary, b binary")
+    near = materialise(near.distinct(), "candidates")
+    first = materialise(verify(docs, sets, near, words, similarity), "first-links")
+    more = materialise(beyond_first(sets, linked, first, similarity).join(candidates, ["a", "b"], "left_anti"), "candidates")
+    found = materialise(first.union(verify(docs, sets, more, words, similarity)), "similar-links")
+    release(values, linked, candidates, near, first, more)
+    return found
 
 
-def beyond_first(prints: DataFrame, linked: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+def beyond_first(sets: DataFrame, linked: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of one fingerprint or of two linked ones that `first` leaves apart and that may be similar.
 
-    Similarity isn't transitive, so a first document that is similar to neither says nothing of two others.
-    The documents of a fingerprint are cut into blocks of bounded expected size, and a task holds one block
+    Similarity isn't transitive, so a first set that is similar to neither says nothing of two others.
+    The sets of a fingerprint are cut into blocks of bounded expected size, and a task holds one block
     against another; where all have one component already, none are sent.
     """
-    joined = connected_components(first, "first-groups").toDF("doc_id", "label")
-    rows = prints.where("size > 0").join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    rows = rows.select("doc_id", "label", "size", "parity", F.posexplode("fingerprints").alias("search", "fingerprint"))
+    joined = connected_components(first, "first-groups").toDF("key", "label")
+    rows = sets.join(joined, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = rows.select("key", "label", "size", "parity", F.posexplode("fingerprints").alias("search", "fingerprint"))
     place = ["search", "fingerprint"]
     groups = materialise(rows.groupBy(place).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")), "groups")
     a, b = (groups.select("search", *[F.col(c).alias(f"{c}_{x}" if c != "fingerprint" else x) for c in ("fingerprint", "n", "low", "high")]) for x in "ab")
@@ -312,8 +399,8 @@ def beyond_first(prints: DataFrame, linked: DataFrame, first: DataFrame, similar
     meets = materialise(meets.union(own), "meetings")
     used = meets.select("search", F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
     placed = rows.join(groups.join(used, place).select(*place, "n"), place)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    blocks = materialise(placed.groupBy(*place, "block").agg(*[F.collect_list(F.struct("doc_id", "label", "size", "parity")).alias("members")]), "blocks")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    blocks = materialise(placed.groupBy(*place, "block").agg(F.collect_list(F.struct("key", "label", "size", "parity")).alias("members")), "blocks")
     left, right = (blocks.select("search", F.col("fingerprint").alias(x), F.col("block").alias(f"block_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
     met = meets.join(left, ["search", "a"]).join(right, ["search", "b"]).where("a <> b or block_a <= block_b")
     met = met.repartition("search", "a", "b", "block_a", "block_b").select((F.expr("a = b and block_a = block_b")).alias("same"), "members_a", "members_b")
@@ -322,48 +409,58 @@ def beyond_first(prints: DataFrame, linked: DataFrame, first: DataFrame, similar
     def hold(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                x, y = (batch.column(i)[row].values for i in (1, 2))
-                ids, labels, sizes = (y.field(i).to_numpy() for i in range(3))
-                parities = y.field(3).to_pylist()
-                out_a, out_b = [], []
-                for at, one in enumerate(x.to_pylist()):
-                    size = one["size"]
-                    may = (labels != one["label"]) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size))
-                    if batch.column(0)[row].as_py():
-                        may[: at + 1] = False
-                    for j in np.nonzero(may)[0]:
-                        if least_apart(one["parity"], parities[j]) <= most * (size + sizes[j]) + 1e-6:
-                            out_a.append(min(one["doc_id"], ids[j]))
-                            out_b.append(max(one["doc_id"], ids[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return met.mapInArrow(hold, "a long, b long").distinct()
-
-
-def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the candidates (a, b) whose sets of shingles have the Jaccard similarity, computed exactly, those that connect all.
+                same = batch.column(0)[row].as_py()
+                x, y = (batch.column(i)[row].as_py() for i in (1, 2))
+                out = []
+                by_width: dict[int, list[int]] = {}
+                for j, other in enumerate(y):
+                    by_width.setdefault(len(other["parity"]), []).append(j)
+                for width, members in by_width.items():
+                    at = np.array(members)
+                    sizes = np.array([y[j]["size"] for j in members])
+                    labels = np.array([y[j]["label"] for j in members], dtype=object)
+                    tables = {w: folded([y[j]["parity"] for j in members], w) for w in {min(width, len(one["parity"])) for one in x}}
+                    for i, one in enumerate(x):
+                        size, own = one["size"], min(width, len(one["parity"]))
+                        may = (labels != one["label"]) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size))
+                        if same:
+                            may &= at > i
+                        which = np.flatnonzero(may)
+                        if not len(which):
+                            continue
+                        apart = np.bitwise_count(tables[own][which] ^ folded([one["parity"]], own)).sum(axis=1)
+                        out += [tuple(sorted((one["key"], y[at[j]]["key"]))) for j in which[apart <= most * (size + sizes[which]) + 1e-6]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(hold, "a binary, b binary").distinct()
+
+
+def verify(docs: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the candidates (a, b) whose sets have the Jaccard similarity, computed exactly, those that connect all.
 
     A candidate whose ends a cell has connected already isn't computed there again.
-    A document's set goes once to the cell where its candidates' component is, not once a pair. Cells
-    hold a bounded expected number of documents: small components share them by hash, and a larger
-    component is cut into blocks whose pairs are cells of their own.
+    A set goes once to the cell where its candidates' component is, not once a pair. Cells hold a
+    bounded expected number of sets: small components share them by hash, and a larger component is
+    cut into blocks whose pairs are cells of their own.
     """
-    components_of = connected_components(candidates, "candidate-groups").toDF("doc_id", "component")
+    components_of = connected_components(candidates, "candidate-groups").toDF("key", "component")
     sizes = components_of.groupBy("component").agg(F.count("*").alias("n"))
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).drop("n"), "candidate-sizes")
-    places = materialise(components_of.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "candidate-places")
+    places = materialise(components_of.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")), "candidate-places")
     shared = places.count() // CELL + 1
 
     def cell(low, high):
-        own = F.struct(F.col("component").alias("group"), low.alias("low"), high.alias("high"))
+        own = F.struct(F.xxhash64("component").alias("group"), low.alias("low"), high.alias("high"))
         common = F.struct(F.pmod(F.xxhash64("component"), F.lit(shared)).alias("group"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
         return F.when(F.col("blocks") == 1, common).otherwise(own)
 
-    at = places.select(F.col("doc_id").alias("a"), "component", "blocks", F.col("block").alias("block_a"))
-    pairs = candidates.join(at, "a").join(places.select(F.col("doc_id").alias("b"), F.col("block").alias("block_b")), "b")
+    at = places.select(F.col("key").alias("a"), "component", "blocks", F.col("block").alias("block_a"))
+    pairs = candidates.join(at, "a").join(places.select(F.col("key").alias("b"), F.col("block").alias("block_b")), "b")
     pairs = materialise(pairs.select("a", "b", cell(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")), "placed")
-    sent = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "cell").distinct()
-    texts = docs.join(places.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    sent = pairs.select(F.explode(F.array("a", "b")).alias("key"), "cell").distinct()
+    needed = sets.select("key", F.col("doc_id").alias("of_id"), F.col("print").alias("of_print")).join(places.select("key"), "key", "left_semi")
+    texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.md5("text") == F.col("of_print"))).select("key", "text")
 
     def make():
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -372,11 +469,11 @@ def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float
 
         return apply
 
-    sets = append_columns(texts, make, [T.StructField("shingles", T.BinaryType())]).select("doc_id", "shingles")
-    sets = materialise(sets.dropDuplicates(["doc_id"]), "shingles").join(sent, "doc_id")
+    found = append_columns(texts, make, [T.StructField("shingles", T.BinaryType())]).select("key", "shingles")
+    found = materialise(found.dropDuplicates(["key"]), "shingles")
 
     def judge(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        known = {d: np.frombuffer(x, np.int64) for d, x in zip(own["doc_id"], own["shingles"], strict=True)}
+        known = {d: np.frombuffer(x, np.int64) for d, x in zip(own["key"], own["shingles"], strict=True)}
         kept, up = [], {d: d for d in known}
 
         def root(d):
@@ -388,22 +485,37 @@ def verify(docs: DataFrame, candidates: DataFrame, words: int, similarity: float
             x, y = known[a], known[b]
             if root(a) == root(b):
                 continue
-            least = similarity * max(len(x), len(y))  # the common part can't be larger than the smaller set
-            if min(len(x), len(y)) < least or not len(x):
-                continue
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= similarity * (len(x) + len(y) - common):
                 kept.append((a, b))
                 up[root(a)] = root(b)
-        return pd.DataFrame(kept, columns=["a", "b"]).astype(np.int64)
+        return pd.DataFrame(kept, columns=["a", "b"])
 
     keys = [F.col("cell.group").alias("g"), F.col("cell.low").alias("l"), F.col("cell.high").alias("h")]
-    left = sets.select(*keys, "doc_id", "shingles").groupBy("g", "l", "h")
-    return left.cogroup(pairs.select(*keys, "a", "b").groupBy("g", "l", "h")).applyInPandas(judge, "a long, b long")
+    left = found.join(sent, "key").select(*keys, "key", "shingles").groupBy("g", "l", "h")
+    links_ = materialise(left.cogroup(pairs.select(*keys, "a", "b").groupBy("g", "l", "h")).applyInPandas(judge, "a binary, b binary"), "verified")
+    release(components_of, sizes, places, pairs, found)
+    return links_
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay, whole: of each group of similar documents the one with the smallest id."""
-    joined = connected_components(similar(docs, words, similarity), "similar")
-    gone = materialise(joined.where("node <> component").select(F.col("node").alias("_gone")), "gone")
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs that stay, whole: of each group of similar documents the one with the smallest id.
+
+    Texts with equal sets of shingles are similar; texts without a word, and null ones, are similar to
+    nothing and all stay. Rows are known by id and text: of different texts under one id each is judged
+    by itself, of the smallest id's texts the one with the least MD5 stays. A row that occurs more than once
+    stays once. A null id loses to any other.
+    """
+    rows, sets = distinct_sets(docs, words)
+    joined = connected_components(similar(docs, sets, words, similarity), "similar")
+    placed = rows.where("size > 0").join(joined.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "print", F.coalesce("component", "key").alias("component"))
+    stay = placed.groupBy("component").agg(least_row()).select("first.doc_id", "first.print")
+    of_id, of_print = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("p.print") == F.col("s.print")
+    gone = placed.select("doc_id", "print").distinct().alias("p").join(stay.alias("s"), of_id & of_print, "left_anti")
+    own_id, own_print, gone_id, gone_print = unused(docs, "own_id", "own_print", "gone_id", "gone_print")
+    gone = materialise(gone.toDF(gone_id, gone_print), "gone")
+    marked = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_print, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = marked.join(gone.hint("merge"), F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_print) == F.col(gone_print)), "left_anti")
+    if not rows.groupBy("doc_id", "print").count().where("count > 1").isEmpty():  # the same row more than once
+        out = out.dropDuplicates([own_id, own_print])
+    return out.drop(own_id, own_print)
