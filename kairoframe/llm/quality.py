@@ -1,21 +1,25 @@
 """A quality classifier of supervised subword embeddings.
 
-Words (between white space) and their character n-grams are hashed to rows of an embedding table; of
-word bigrams all that repeat a word share one row and all others another, each counting like a word's
-n-grams together. A document is the average of the vectors of all its features, and a softmax over it
-gives the class.
+Words (between white space), their character n-grams and pairs of neighbouring words are hashed to rows
+of an embedding table, the pairs to rows of their own. A document is the average of the vectors of all
+its features, where a pair counts like a word's n-grams together, and a softmax over it gives the class.
 Table and softmax are trained together by stochastic gradient descent in numpy.
 
-Null and empty texts have the zero vector, whose score is what the bias alone gives. Texts are read
-whole, in batches; a worker remembers the summed vectors of a bounded number of words. Rows whose
-label isn't 0 or 1 teach nothing; with nothing learned, or one class alone, every score is that class
-share (0.5 with none). Repeated rows get equal scores; a column named like an output is replaced.
+Learning reads at most `sample` labelled rows (a parameter, 4,000 by default), chosen by a hash; their
+texts are read whole, on the executors, and reach the driver as counts of hashed features, which the
+size of the table bounds. Rows whose label isn't 0 or 1, or whose text is null, teach nothing; a row
+that occurs more than once is learned from once, rows that share an id and differ are learned from
+each. With nothing learned, or one class alone, every score is that class's share (0.5 with none).
+
+Scoring reads every text whole, in batches; a worker remembers the summed vectors of a bounded number
+of words. Null and empty texts have the zero vector, whose score is what the bias alone gives. Repeated
+rows get equal scores; other columns stay as they are, one named `score` (in any case) is replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialise, plain, small_batches
+from .common import append_columns, materialise, plain
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
-#: Rows for bigrams of equal and of different words, and what each bigram counts.
-SAME, OTHER, BIGRAM = BUCKETS, BUCKETS + 1, 16
+#: What a pair of words counts, as a word and its n-grams do together.
+PAIR = 16
 #: How much larger a table row's step is than its share of the document, up to one.
 GAIN = 100
-#: The most labelled texts that are learned from, chosen by a hash of their id, and the longest.
-SAMPLE, LONGEST = 4_000, 20_000
 #: Words whose vectors a worker remembers; when they are more it starts anew.
 MEMORY = 150_000
+#: Words that are summed at a time.
+SLICE = 100_000
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, ends): the features of all words in order, and where those of each word end."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, ends, hashes): the features of all words in order, where those of each word end, and a hash of each."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sizes = np.array([len(w) + 2 for w in words], np.int64)
     points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -47,7 +56,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(points)) - begin[owner]
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(sizes.max(initial=1)), 0x100000001B3, np.uint64))
-        found = [(np.arange(len(words)), np.add.reduceat(points * powers[place], begin))]
+        whole = np.add.reduceat(points * powers[place], begin)
+        found = [(np.arange(len(words)), whole)]
         for n in GRAMS:
             last = len(points) - n + 1
             if last <= 0:
@@ -58,40 +68,56 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             inside = owner[:last] == owner[n - 1 :]
             found.append((owner[:last][inside], code[inside]))
         rows, codes = (np.concatenate(x) for x in zip(*found, strict=True))
-        codes = (codes ^ (codes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        codes = (codes ^ (codes >> np.uint64(32))) % np.uint64(BUCKETS)
+        codes = mixed(codes) % np.uint64(BUCKETS)
     order = np.argsort(rows, kind="stable")
-    return codes[order].astype(np.int64), np.cumsum(np.bincount(rows, minlength=len(words)))
+    return codes[order].astype(np.int64), np.cumsum(np.bincount(rows, minlength=len(words))), whole
 
 
-def bigrams(words: list[str]) -> tuple[int, int]:
-    """How many neighbours are equal, and how many differ."""
-    same = sum(map(eq, words, words[1:]))
-    return same, max(0, len(words) - 1) - same
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each pair of neighbouring words, from the hashes of the words in order."""
+    with np.errstate(over="ignore"):
+        codes = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] * np.uint64(0xD1B54A32D192ED03))
+    return (codes % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of a whole text's features."""
+    words = text.split()
+    kinds = list(dict.fromkeys(words))
+    place = {w: i for i, w in enumerate(kinds)}
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    times = np.bincount(at, minlength=len(kinds))
+    counts = np.zeros(2 * BUCKETS, np.int64)
+    hashes = np.zeros(len(kinds), np.uint64)
+    for s in range(0, len(kinds), 5_000):
+        found, ends, hashes[s : s + 5_000] = features(kinds[s : s + 5_000])
+        counts += np.bincount(found, np.repeat(times[s : s + 5_000], np.diff(ends, prepend=0)), 2 * BUCKETS).astype(np.int64)
+    counts += PAIR * np.bincount(pairs(hashes[at]), minlength=2 * BUCKETS)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
 
 
 @dataclass
 class Model:
-    table: np.ndarray  # BUCKETS + 2 x WIDTH
+    table: np.ndarray  # 2 BUCKETS x WIDTH
     weights: np.ndarray  # 2 x WIDTH
     bias: np.ndarray  # 2
 
+    @property
+    def learned(self) -> bool:
+        """Were there labels of both classes?"""
+        return bool(self.weights.any())
+
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> Model:
     """Softmax regression over averaged feature vectors, one document a step, the rate falling to 0."""
     rng = np.random.default_rng(seed)
-    model = Model(((rng.random((BUCKETS + 2, WIDTH)) - 0.5) / WIDTH).astype(np.float32), np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32))
+    model = Model(((rng.random((2 * BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32), np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32))
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         model.bias[:] = [0, np.log(share / (1 - share))]
         return model
-    bags = []
-    for text in texts:
-        words = text.split()
-        ids, counts = np.unique(features(words)[0], return_counts=True)
-        pairs = bigrams(words)
-        bags.append((np.append(ids, [SAME, OTHER]), np.append(counts, [BIGRAM * pairs[0], BIGRAM * pairs[1]])))
     steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -112,20 +138,30 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from documents (doc_id, text) and their labels (doc_id, quality).
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4_000) -> Model:
+    """A model from documents (doc_id, text) and their labels (doc_id, quality), of `sample` rows at most.
 
-    Only ids and lengths are joined with the labels; the ids chosen, SAMPLE at most, are broadcast to
-    fetch their texts.
+    Only ids and hashes are joined with the labels; the rows chosen are broadcast to fetch their texts.
     """
     known = plain(labels, "doc_id", "quality").where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     texts = plain(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "quality"]
-    ids = texts.select("doc_id", F.length("text").alias("long")).where(F.col("long") <= LONGEST).select("doc_id").join(known, "doc_id").distinct().orderBy(*order).limit(SAMPLE)
-    chosen = materialise(ids, "quality-sample")
-    fetched = texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= LONGEST)
-    rows = fetched.limit(2 * SAMPLE).toPandas().drop_duplicates().sort_values(["doc_id", "quality", "text"])
-    return train(rows["text"].tolist(), rows["quality"].to_numpy(np.int64))
+    texts = texts.withColumn("print", F.xxhash64("text"))
+    rows = texts.select("doc_id", "print").join(known, "doc_id").distinct()
+    chosen = materialise(rows.orderBy(F.xxhash64(F.lit("quality"), "doc_id", "print"), "doc_id", "print", "quality").limit(sample), "quality-sample")
+    fetched = texts.join(F.broadcast(chosen), ["doc_id", "print"]).select("doc_id", "print", "quality", "text")
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            found = [bag(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            return {"ids": pa.array([i for i, _ in found], pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], pa.list_(pa.int64()))}
+
+        return apply
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))]
+    bags = append_columns(fetched, make, fields).drop("text").dropDuplicates(["doc_id", "print", "quality"])
+    got = bags.toArrow().sort_by([("doc_id", "ascending"), ("print", "ascending"), ("quality", "ascending")])
+    ids, counts = (got.column(n).to_numpy() for n in ("ids", "counts"))
+    return train(list(zip(ids, counts, strict=True)), got.column("quality").to_numpy().astype(np.int64))
 
 
 class Scorer:
@@ -133,20 +169,35 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, WIDTH + 1), np.float32)
+        self.rows, self.hashes = np.zeros((0, WIDTH + 1), np.float32), np.zeros(0, np.uint64)
 
     def learn(self, words: list[str]) -> None:
-        parts = [self.rows]
+        rows, hashes = [self.rows], [self.hashes]
         for at in range(0, len(words), 5_000):
             part = words[at : at + 5_000]
-            buckets, ends = features(part)
+            buckets, ends, own = features(part)
             begin = np.concatenate(([0], ends[:-1]))
             sums = np.add.reduceat(self.model.table[buckets], begin, axis=0)
-            parts.append(np.column_stack([sums, ends - begin]).astype(np.float32))
+            rows.append(np.column_stack([sums, ends - begin]).astype(np.float32))
+            hashes.append(own)
             for word in part:
                 self.known[word] = len(self.known)
-        self.rows = np.concatenate(parts)
+        self.rows, self.hashes = np.concatenate(rows), np.concatenate(hashes)
+
+    def one(self, words: list[str]) -> float:
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        total = np.zeros(WIDTH + 1)
+        for s in range(0, len(at), SLICE):
+            total += self.rows[at[s : s + SLICE]].sum(axis=0, dtype=np.float64)
+            found = pairs(self.hashes[at[s : s + SLICE + 1]])
+            total[:WIDTH] += PAIR * self.model.table[found].sum(axis=0, dtype=np.float64)
+            total[WIDTH] += PAIR * len(found)
+        logits = self.model.weights @ (total[:WIDTH] / max(1.0, total[WIDTH])) + self.model.bias
+        return 1 / (1 + np.exp(np.clip(logits[0] - logits[1], -50, 50)))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -160,24 +211,17 @@ class Scorer:
             new = set().union(*split)
             fresh = new.difference(self.known)
             if len(self.known) + len(fresh) > MEMORY:
-                self.known, self.rows, fresh = {}, self.rows[:0], new
+                self.forget()
+                fresh = new
             if fresh:
                 self.learn(list(fresh))
-            known = self.known.__getitem__
-            for k, words in enumerate(split):
-                total = self.rows[np.fromiter(map(known, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-                same, other = bigrams(words)
-                total[:WIDTH] += BIGRAM * (same * self.model.table[SAME] + other * self.model.table[OTHER])
-                total[WIDTH] += BIGRAM * (same + other)
-                logits = self.model.weights @ (total[:WIDTH] / max(1.0, total[WIDTH])) + self.model.bias
-                out[at + k] = 1 / (1 + np.exp(np.clip(logits[0] - logits[1], -50, 50)))
+            out[at : at + len(split)] = [self.one(words) for words in split]
             at += len(split)
         return out
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
     """Append score, the probability of class 1."""
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
