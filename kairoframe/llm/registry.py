@@ -31,7 +31,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact.assign(table(spark, sf_dir, "documents"), exact.new_index(spark))
+    docs = table(spark, sf_dir, "documents")
+    with exact.new_index(spark) as index:
+        found = exact.assign(docs, index, exact.halves(docs))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -50,25 +52,29 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """Archive records made of pages: each a full response, and a revisit half an hour to a day later.
 
-    Every tenth revisit has an entity tag of its own, and every tenth a date in place of a tag.
+    Every tenth revisit has an entity tag of its own, and every tenth a date in place of a tag. Of
+    every tenth page the response comes twice, of every tenth the revisit; and every tenth revisit has
+    the record id of the one before. Pages without an id make no records.
     """
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 8), F.lit('"'))
     date = F.concat(F.lit("day "), (F.col("page_id") % 7).cast("string"))
     at = F.lit(1_700_000_000) + F.col("page_id") * 60
     kind = F.col("page_id") % 10
+    shared = F.when(kind == 5, F.col("page_id") - 1).otherwise(F.col("page_id"))
+    more = [F.lit("Content-Type"), F.lit("text/plain"), F.lit("Cache-Control"), F.lit("max-age=90")]
     first = F.struct(
         F.col("page_id").alias("record_id"), F.col("url").alias("uri"), at.alias("ts"), F.lit(200).alias("status"),
         F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
         F.col("html").alias("body"),
     )
     again = F.struct(
-        (-F.col("page_id") - 1).alias("record_id"), F.col("url").alias("uri"), (at + 1800 * (1 + F.col("page_id") % 48)).alias("ts"), F.lit(304).alias("status"),
-        F.when(kind == 1, F.create_map(F.lit("last-modified"), date, F.lit("Content-Type"), F.lit("text/plain"), F.lit("Cache-Control"), F.lit("max-age=90")))
-        .when(kind == 0, F.create_map(F.lit("etag"), F.lit('"gone"'), F.lit("Content-Type"), F.lit("text/plain"), F.lit("Cache-Control"), F.lit("max-age=90")))
-        .otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("Content-Type"), F.lit("text/plain"), F.lit("Cache-Control"), F.lit("max-age=90"))).alias("headers"),
+        (-shared - 1).alias("record_id"), F.col("url").alias("uri"), (at + 1800 * (1 + F.col("page_id") % 48)).alias("ts"), F.lit(304).alias("status"),
+        F.when(kind == 1, F.create_map(F.lit("last-modified"), date, *more)).when(kind == 0, F.create_map(F.lit("etag"), F.lit('"gone"'), *more))
+        .otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), *more)).alias("headers"),
         F.lit(None).cast("string").alias("body"),
     )
-    return pages.where("page_id is not null").select(F.explode(F.array(first, again)).alias("r")).select("r.*")
+    records = F.when(kind == 2, F.array(first, first, again)).when(kind == 3, F.array(first, again, again)).otherwise(F.array(first, again))
+    return pages.where("page_id is not null").select(F.explode(records).alias("r")).select("r.*")
 
 
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +90,9 @@ WITH raw AS (
 parts AS (SELECT *, lower(regexp_extract(bare, '^[^/?]*')) AS host, substr(bare, length(regexp_extract(bare, '^[^/?]*')) + 1) AS rest FROM raw),
 full_ AS (SELECT *, regexp_replace(host, ':(80|443)$', '') || regexp_replace(regexp_replace(regexp_replace(rest, '([?&])utm_[a-z]+=[^&]*&', '\1', 'g'),
     '[?&]utm_[a-z]+=[^&]*$', ''), '/$', '') AS url FROM parts),
-revisit AS (SELECT page_id, url, t0 + 1800 * (1 + page_id % 48) AS ts, CASE WHEN page_id % 10 = 1 THEN NULL WHEN page_id % 10 = 0 THEN '"gone"' ELSE tag END AS etag,
-    CASE WHEN page_id % 10 = 1 THEN dat END AS dat, tag AS own FROM full_),
-joined AS (SELECT r.page_id, r.url, r.ts, r.etag, r.dat, max({'t0': f.t0, 'id': f.page_id}) AS m FROM revisit r LEFT JOIN full_ f ON f.url = r.url AND f.t0 < r.ts GROUP BY ALL),
+revisit AS (SELECT row_number() OVER () AS n, CASE WHEN page_id % 10 = 5 THEN page_id - 1 ELSE page_id END AS page_id, url, t0 + 1800 * (1 + page_id % 48) AS ts, CASE WHEN page_id % 10 = 1 THEN NULL WHEN page_id % 10 = 0 THEN '"gone"' ELSE tag END AS etag,
+    CASE WHEN page_id % 10 = 1 THEN dat END AS dat, tag AS own FROM full_, (VALUES (1), (2)) twice(k) WHERE k = 1 OR page_id % 10 = 3),
+joined AS (SELECT r.n, r.page_id, r.url, r.ts, r.etag, r.dat, max({'t0': f.t0, 'id': f.page_id}) AS m FROM revisit r LEFT JOIN full_ f ON f.url = r.url AND f.t0 < r.ts GROUP BY ALL),
 told AS (SELECT j.*, f.page_id AS source_id, f.tag AS stag, f.dat AS sdat, f.html,
     CASE WHEN f.page_id IS NULL THEN 'unmatched' WHEN j.etag IS NOT NULL THEN CASE WHEN j.etag = f.tag THEN 'resolved' ELSE 'mismatch' END
       WHEN j.dat = f.dat THEN 'resolved' ELSE 'mismatch' END AS outcome

@@ -7,12 +7,16 @@ tags by weak comparison where both have one, else last-modified dates where both
 neither pair it isn't validated. A resolved revisit has the response's body, and the response's headers
 updated by those of the revisit that may change (all but the ones that describe a body or a hop).
 
-The as-of join is two windows: one inside each URL's time bucket, and one over the URL's buckets, each
-of them a single row; so a URL with very many captures is spread over its buckets. Only ids go through
-the windows, bodies are joined afterwards. Of responses at the same moment the larger id counts;
-records at exactly the revisit's time aren't earlier. Records with a null URI or time, and revisits
-without an earlier response, are `unmatched`. Header names are lower-cased; of names that differ in
-case only, the last stays. Repeated revisits are each resolved; other columns are not read.
+What a revisit finds depends on its URL and its second alone, so captures are one row for each of those
+before anything is ordered. The as-of join then is two windows: one inside each URL's day, which has
+86,400 seconds at most however many captures, and one over the URL's days, each of them a single row.
+Headers and bodies are joined afterwards, by URL, second and record id.
+
+Every revisit gives one row, repeated ones too, also where records share an id. Of responses in the same
+second the larger id counts, and no id least; of responses that agree in URL, second and id one counts, by
+a hash of headers and body. Records at exactly the revisit's second aren't earlier. Records with a null
+URI or time, and revisits without an earlier response, are `unmatched`. Header names are lower-cased; of
+names that differ in case only, the last stays. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,19 +58,20 @@ def merge_headers(stored: Column, newer: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
-def latest_before(records: DataFrame, bucket_seconds: int) -> DataFrame:
-    """(record_id, source_id) for revisits: the latest full response strictly before, null without one.
+def latest_before(captures: DataFrame, bucket_seconds: int) -> DataFrame:
+    """(url, ts, source) for each second at which a URL was revisited: the latest full response strictly before.
 
-    Records come as (record_id, url, ts, full) with ts in seconds.
+    Captures come as (url, ts, asked, mark), one a URL and second: was it revisited, and the struct
+    (ts, no_id, record_id) of a response there; source is such a struct, and there is no row without one.
     """
-    rows = records.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds)).withColumn("mark", F.when(F.col("full"), F.struct("ts", "record_id")))
-    near = Window.partitionBy("url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("near", F.max("mark").over(near)).where(~F.col("full"))
+    rows = captures.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    near = Window.partitionBy("url", "bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("near", F.max("mark").over(near)).where("asked")
     ends = rows.groupBy("url", "bucket").agg(F.max("mark").alias("mark"))
     far = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = materialise(ends.withColumn("far", F.max("mark").over(far)).select("url", "bucket", "far"), "bucket-ends")
-    joined = inside.join(before, ["url", "bucket"])
-    return joined.select("record_id", F.coalesce("near.record_id", "far.record_id").alias("source_id"))
+    found = inside.join(before, ["url", "bucket"]).select("url", "ts", F.coalesce("near", "far").alias("source"))
+    return found.where("source is not null")
 
 
 def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
@@ -76,13 +81,20 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
         lower_names(F.col("headers").cast("map<string,string>")).alias("headers"), "body",
     )
     full = F.coalesce((F.col("status") == 200) & F.col("body").isNotNull(), F.lit(False))
-    light = rows.where(full | (F.col("status") == 304)).select("record_id", "url", "ts", full.alias("full"))
-    known = light.where("url is not null and ts is not null")
-    found = latest_before(known, bucket_seconds).where("source_id is not null").distinct()
+    known = rows.where(full | (F.col("status") == 304)).where("url is not null and ts is not null")
+    mark = F.struct("ts", F.col("record_id").isNotNull().alias("has_id"), "record_id")
+    captures = known.groupBy("url", "ts").agg(F.max(~full).alias("asked"), F.max(F.when(full, mark)).alias("mark"))
+    found = materialise(latest_before(captures, bucket_seconds), "sources")
+    named = found.select("url", "ts", F.col("source.ts").alias("source_ts"), F.col("source.has_id").alias("has_id"), F.col("source.record_id").alias("source_id"))
+    told = lambda df: df.withColumn("same_id", F.coalesce(F.col("source_id").cast("string"), F.lit("")))
+    stored = rows.where(full).select("url", F.col("ts").alias("source_ts"), F.col("record_id").isNotNull().alias("has_id"), F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "body")
+    keys = ["url", "source_ts", "has_id", "same_id"]
+    needed = told(stored).drop("source_id").join(told(named).select(keys).distinct(), keys, "left_semi")
+    order = F.struct(F.xxhash64(F.array_sort(F.map_entries("stored")), "body"), F.md5("body"))
+    stored = needed.groupBy(keys).agg(F.max_by(F.struct("stored", "body"), order).alias("response"))
     revisits = rows.where("status = 304").select("record_id", "url", "ts", F.col("headers").alias("newer"))
-    matched = materialise(revisits.join(found, "record_id", "left"), "revisits")
-    stored = rows.where(full).select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "body")
-    out = matched.join(stored, "source_id", "left")
+    matched = told(revisits.join(named, ["url", "ts"], "left"))
+    out = matched.join(stored, keys, "left").select("record_id", "url", "ts", "source_id", "newer", "response.stored", "response.body")
     seen = lambda h, k: F.element_at(h, k)
     etags = seen(F.col("newer"), "etag").isNotNull() & seen(F.col("stored"), "etag").isNotNull()
     dates = seen(F.col("newer"), "last-modified").isNotNull() & seen(F.col("stored"), "last-modified").isNotNull()
