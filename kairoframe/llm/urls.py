@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, plain
 
-#: About so many labelled URLs are learned from at most, chosen by a hash.
-SAMPLE = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LEXICAL = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "dots", "longest_label"]
@@ -75,17 +73,30 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(urls: DataFrame) -> DataFrame:
-    """Append, for each suffix, the log of its rows and its smoothed share of blocks (column `label`)."""
+    """Append, for each suffix, the log of its rows and its smoothed share of blocks among the others' labels (column `label`).
+
+    A URL's own label doesn't count in its share, so that training never sees the answer. All is
+    counted by host first, which the suffixes' statistics are joined to, and only then by URL.
+    """
+    own = F.coalesce("label", F.lit(0.0))
+    hosts = urls.groupBy("host", *SUFFIXES).agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.sum(own).alias("blocked"))
+    hosts = materialise(hosts, "hosts")
+    for name in SUFFIXES:
+        stats = hosts.groupBy(name).agg(*[F.sum(c).alias(f"{name}_{c}") for c in ("rows", "labelled", "blocked")])
+        hosts = hosts.join(materialise(stats, name), name)
+    hosts = hosts.select("host", *[f"{name}_{c}" for name in SUFFIXES for c in ("rows", "labelled", "blocked")])
+    urls = urls.join(hosts, "host")
     for name in SUFFIXES:
-        stats = urls.groupBy(name).agg(F.log1p(F.count("*")).alias(f"{name}_rows"), ((F.sum(F.coalesce("label", F.lit(0.0))) + 1) / (F.count("label") + 2)).alias(f"{name}_blocked"))
-        urls = urls.join(materialise(stats, name), name)
+        others = F.col(f"{name}_labelled") - F.col("label").isNotNull().cast("int")
+        urls = urls.withColumn(f"{name}_blocked", (F.col(f"{name}_blocked") - own + 1) / (others + 2)).withColumn(f"{name}_rows", F.log1p(f"{name}_rows"))
     return urls
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, trees: int = 12, depth: int = 4) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, trees: int = 12, depth: int = 4, sample: int = 200_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row; score is the learned chance of a block.
 
-    `labelled` may give (url, label) with 1.0 for URLs to block; else the rules label the pages.
+    `labelled` may give (url, label) with 1.0 for URLs to block; else the rules label the pages. Of the
+    labelled URLs about `sample` are learned from at most, chosen by a hash.
     """
     rows = plain(pages, "page_id", "url").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = apply_rules(rows.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))), rules)
@@ -105,7 +116,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
         only = float(max(counts, default=0.0))
         scored = judged.withColumn("score", F.lit(only))
     else:
-        part = F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 20)) < F.lit((SAMPLE << 20) / total)
+        part = F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 20)) < F.lit((sample << 20) / total)
         assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
         learner = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1)
         model = learner.fit(assemble.transform(rows.where("label is not null").where(part)).select("features", "label"))
