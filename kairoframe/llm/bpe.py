@@ -2,7 +2,8 @@
 
 Texts are split by the vocabulary's pattern; each distinct piece of a batch is encoded once by the
 tokenizers library, over one character for each byte, and remembered in a bounded dictionary.
-Nulls are encoded as empty texts, empty texts give no ids. Rows are independent of each other, so
+Decoding turns ids into their tokens' characters and these, by the reversed table, into bytes; where ids
+cut a character its bytes make U+FFFD. Nulls are encoded as empty texts, empty texts give no ids. Rows are independent of each other, so
 repeated rows, ties and extra columns change nothing; a column named like an output is replaced.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from .common import append_columns, small_batches
+from .common import append_columns
 
 #: Pieces in a worker's younger dictionary (the older one holds as many).
 MEMORY = 400_000
@@ -45,27 +46,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@lru_cache(4)
+def vocabulary(path: str) -> dict[str, int]:
+    """The tokens of the file as characters, one for each byte, with their ids."""
+    table = byte_characters()
+    return {"".join(map(table.__getitem__, token)): rank for token, rank in read_ranks(path).items()}
+
+
 @lru_cache(4)
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id, b"" for ids that the file leaves out."""
-    ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
+    """The bytes of each id, by the reversed byte table; b"" for ids that the file leaves out."""
+    tokens, table = vocabulary(path), character_bytes()
+    out = [b""] * (max(tokens.values()) + 1)
+    for token, rank in tokens.items():
+        out[rank] = bytes(map(table.__getitem__, token))
     return out
 
 
 def rank_tokenizer(path: str) -> Tokenizer:
     """A tokenizer that merges by the ranks of the file: the lower the rank of a pair's union, the sooner."""
-    ranks = read_ranks(path)
-    table = byte_characters()
-    named = {token: "".join(map(table.__getitem__, token)) for token in ranks}
+    tokens = vocabulary(path)
     merges = []
-    for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
+    for token, _ in sorted(tokens.items(), key=lambda x: x[1]):
         for cut in range(1, len(token)):
-            if token[:cut] in ranks and token[cut:] in ranks:
-                merges.append((named[token[:cut]], named[token[cut:]]))
-    return Tokenizer(models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges))
+            if token[:cut] in tokens and token[cut:] in tokens:
+                merges.append((token[:cut], token[cut:]))
+    return Tokenizer(models.BPE(vocab=tokens, merges=merges))
 
 
 class Pieces(dict):
@@ -132,7 +138,6 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
     """Append `ids` (array of int), and with offsets `starts` and `ends` in characters of the text."""
-    small_batches(df.sparkSession)
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), True))]
     if offsets:
         fields += [T.StructField(n, T.ArrayType(T.IntegerType(), True)) for n in ("starts", "ends")]
@@ -161,7 +166,6 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     Bytes that make no whole character, as where ids cut one, come out as U+FFFD in `decoded`; ids
     outside the vocabulary and nulls stand for nothing.
     """
-    small_batches(df.sparkSession)
 
     def make():
         table = token_bytes(ranks_path)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import PieceEncoder
-from .common import materialise, plain, small_batches
+from .common import ROWS, materialise, plain
 
 #: Expected pieces of a group, whatever the input's size.
 GROUP = 2_000
@@ -34,9 +34,32 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class DocumentEncoder:
+    """Texts to ids as the tokenizers library gives them without adding special tokens.
+
+    Texts in which one of the vocabulary's added tokens is written out (`<|endoftext|>`) go to the library
+    itself, which gives that token's id; the others to the encoder that remembers pieces.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.written = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = PieceEncoder(self.tokenizer)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = self.pieces([None if self.special(t) else t for t in texts])
+        for i, text in enumerate(texts):
+            if self.special(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def special(self, text: str | None) -> bool:
+        return bool(text) and any(token in text for token in self.written)
+
+
 @lru_cache(2)
-def _encoder(tokenizer_path: str) -> PieceEncoder:
-    return PieceEncoder(Tokenizer.from_file(tokenizer_path))
+def _encoder(tokenizer_path: str) -> DocumentEncoder:
+    return DocumentEncoder(tokenizer_path)
 
 
 def cuts(tokens: int, window: int) -> list[tuple[int, int]]:
@@ -94,13 +117,12 @@ def windows(sizes: list[int], window: int) -> list[list[int]]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -> DataFrame:
     """One row for each piece of each document, with the CRC of its ids."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         deal = 0
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
                 ids += end
