@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kairoframe.llm import bpe, exact, langid, lines, packing, quality, simhash, urls, vectors, warc
@@ -38,15 +39,48 @@ def test_split_characters_decode_to_replacement(spark):
     assert "�" in bpe.decode(cut, RANKS).head()["decoded"]
 
 
+ALL = "true"
+
+
 def test_exact_dedup_appends_to_its_index(spark, tmp_path):
     index = exact.DigestIndex(spark, str(tmp_path / "index"), 4)
-    got = {r["doc_id"]: r for r in exact.assign(frame(spark, TEXTS), index).collect()}
+    got = {r["doc_id"]: r for r in exact.assign(frame(spark, TEXTS), index, [("one", ALL)]).collect()}
     assert got[1]["keep_id"] == 0 and got[0]["group_size"] == 3 and not got[7]["kept"]
     assert bytes(got[2]["digest"]) == hashlib.sha256(b"").digest() and got[3]["keep_id"] == 2
+    index.close()
     again = exact.DigestIndex(spark, str(tmp_path / "index"), 4)
-    more = spark.createDataFrame([(100, "a b c"), (101, "new")], "doc_id long, text string")
-    assert {r["doc_id"]: r["kept"] for r in exact.assign(more, again).collect()} == {100: False, 101: True}
-    assert again.rows().count() == 6
+    more = spark.createDataFrame([(100, "a b c"), (101, "new"), (-5, "a b c")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in exact.assign(more, again, [("two", ALL)]).collect()}
+    assert {i: r["kept"] for i, r in found.items()} == {100: False, 101: True, -5: False}
+    assert found[100]["keep_id"] == 0 and found[100]["group_size"] == 5
+    assert again.rows().where("founder").count() == 6
+
+
+def test_a_batch_added_again_gets_the_same_verdicts(spark, tmp_path):
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), 4)
+    docs = frame(spark, TEXTS)
+    first = sorted(exact.assign(docs, index, exact.halves(docs)).collect(), key=str)
+    size = index.rows().count()
+    assert sorted(exact.assign(docs, index, exact.halves(docs)).collect(), key=str) == first and index.rows().count() == size
+    # a part of a batch is there already, as after a lost job
+    partial = exact.DigestIndex(spark, str(tmp_path / "partial"), 4)
+    partial.add(exact.digests(docs).where("doc_id in (0, 1, 7)"), "first")
+    assert [r["doc_id"] for r in exact.assign(docs, partial, [("first", ALL)]).where("kept").orderBy("doc_id").collect()] == [0, 2, 4, 5, 6]
+    # two writers at once may both found a digest; readers then see the smallest id, once for each document
+    index.rows().limit(0).count()
+    row = index.rows().where("founder").limit(1).select("digest", F.lit(-9).cast("long").alias("keep_id"), "rows", "founder", F.lit("other").alias("batch"))
+    row = spark.createDataFrame(row.collect(), row.schema)
+    row.write.insertInto(index.table)
+    assert index.verdicts().count() == index.rows().select("digest").distinct().count()
+
+
+def test_exact_stage_keeps_each_text_once_with_its_columns(spark):
+    schema = "doc_id long, text string, digest string, kept boolean, own_digest int, kept_id int, times int, batch string"
+    data = [(1, "a  b", "x", True, 1, 2, 3, "z"), (1, "a  b", "x", True, 1, 2, 3, "z"), (None, "a b", "n", None, 5, 5, 5, "y"), (3, "a b", "w", None, 5, 5, 5, "y"), (1, "other", "v", None, 5, 5, 5, "y"), (4, None, "u", None, 5, 5, 5, "y")]
+    with exact.new_index(spark) as index:
+        docs = spark.createDataFrame(data, schema)
+        out = exact.keep_first(docs, index, exact.halves(docs))
+    assert out.columns == docs.columns and sorted(out.collect(), key=str) == sorted({data[0], data[4], data[5]}, key=str)
 
 
 def test_packing_covers_every_id_once(spark):
@@ -55,7 +89,7 @@ def test_packing_covers_every_id_once(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(frame(spark, TEXTS), path).collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    assert 50256 in tokenizer.encode(TEXTS[4], add_special_tokens=False).ids
     for i, t in enumerate(TEXTS):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
@@ -140,34 +174,136 @@ def template_copies(base, copies, changed, seed):
     return [" ".join(t) for t in [*texts, base]]
 
 
-def kept_by_brute_force(texts, threshold=2):
-    """Who stays if all pairs are tried that a word fingerprint brings within the threshold."""
-    prints = [simhash.word_fingerprints(t, 4) for t in texts]
-    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+def sets_of(texts):
+    return [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+
+
+def kept_by_brute_force(texts, threshold=None):
+    """Who stays if all pairs are tried, or those that a fingerprint brings within the threshold."""
+    prints = [simhash.sketch(t)[0] for t in texts] if threshold is not None else None
+    sets = sets_of(texts)
     least = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
+            if least[i] == least[j] or not sets[i] or not sets[j]:
+                continue
             common = len(sets[i] & sets[j])
-            near = any((p ^ q).bit_count() <= threshold for p, q in zip(prints[i], prints[j], strict=True))
-            if least[i] != least[j] and near and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+            near = prints is None or any((p ^ q).bit_count() <= threshold for p, q in zip(prints[i], prints[j], strict=True))
+            if near and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
                 low, high = sorted((least[i], least[j]))
                 least = [low if x == high else x for x in least]
     return sorted(set(least))
 
 
+def kept_ids(spark, texts):
+    return [r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).orderBy("doc_id").collect()]
+
+
 def test_copies_of_one_fingerprint_are_all_tried(spark):
     rng = random.Random(4)
-    texts = template_copies([rng.choice("abcdefg") * 3 for _ in range(400)], 300, 7, 9)
-    wanted = kept_by_brute_force(texts, 0)
-    assert len(wanted) < 10
-    assert [r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).orderBy("doc_id").collect()] == kept_by_brute_force(texts)
+    texts = template_copies([rng.choice("abcdefg") * 3 for _ in range(400)], 100, 7, 9)
+    assert kept_ids(spark, texts) == kept_by_brute_force(texts, 1)
 
 
 def test_copies_of_linked_fingerprints_are_all_tried(spark):
     rng = random.Random(1)
-    texts = template_copies([f"w{rng.randrange(10**6)}" for _ in range(122)], 500, 2, 1)
-    rows = simhash.keep_one(frame(spark, texts)).orderBy("doc_id").collect()
-    assert [r["doc_id"] for r in rows] == kept_by_brute_force(texts)
+    texts = template_copies([f"w{rng.randrange(10**6)}" for _ in range(122)], 200, 2, 1)
+    kept = kept_ids(spark, texts)
+    assert kept == kept_by_brute_force(texts, 1) and len(kept) < 5
+
+
+def test_members_other_than_the_first_of_a_fingerprint_are_compared(spark):
+    """1 and 2 are similar; 0 has the same words in another order, and the least id."""
+    words = [f"w{i}" for i in range(200)]
+    shuffled = random.Random(2).sample(words, len(words))
+    near = words[:100] + [words[101], words[100]] + words[102:]
+    assert kept_ids(spark, [" ".join(w) for w in (shuffled, words, near)]) == [0, 1]
+
+
+def test_similar_texts_are_found_in_every_length(spark):
+    """Copies with words replaced all over, a passage replaced, appended or cut: nine of ten at least of each length."""
+    rng = random.Random(6)
+    texts, own = [], []
+    for length in (40, 150, 800):
+        for t in range(40):
+            base = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(length)]
+            spread = list(base)
+            for at in rng.sample(range(length), max(1, length // 60)):
+                spread[at] = f"x{t}"
+            at = rng.randrange(length - length // 12)
+            block = base[:at] + [f"y{t}b{i}" for i in range(length // 15)] + base[at + length // 15 :]
+            for other in (base, spread, block, base + [f"z{t}a{i}" for i in range(length // 10)], base[:at] + base[at + length // 12 :]):
+                texts.append(" ".join(other))
+                own.append(length)
+    wanted, kept = set(kept_by_brute_force(texts)), set(kept_ids(spark, texts))
+    assert wanted <= kept
+    for length in (40, 150, 800):
+        of = {i for i, size in enumerate(own) if size == length}
+        assert len(of - kept) >= 0.9 * len(of - wanted), length
+
+
+def test_near_stage_on_odd_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    near = words.replace("w59", "changed")
+    schema = "doc_id long, text string, own_id int, gone_print string, key int, label string"
+    data = [(7, near), (2, words), (2, words), (2, "quite other text under that id, of some length"), (None, words + " "), (None, None), (9, ""), (9, None), (5, " \t"), (1, "two words"), (3, "TWO words"), (3, "three words here")]
+    rows = [(*r, 4, "p", 5, "l") for r in data]
+    out = simhash.keep_one(spark.createDataFrame(rows, schema))
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    # an empty and a null text under one id have equal prints, so one of them stays
+    assert out.columns == ["doc_id", "text", "own_id", "gone_print", "key", "label"]
+    assert sorted(map(str, kept)) == sorted(map(str, [(2, words), data[3], (None, None), kept[[k[0] for k in kept].index(9)], (5, " \t"), (1, "two words"), (3, "three words here")]))
+
+
+def test_fingerprints_by_hand(spark):
+    def naive(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        if not words:
+            return 0
+        runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    texts = [*TEXTS, "ÀB Àb a", "a\u00a0b c\x1cd e", "A b c A b c A b c", "One", "x y"]
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [f"{naive(t):016x}" for t in texts]
+
+
+@pytest.mark.parametrize("threshold,blocks", [(2, simhash.LONG), (1, simhash.LONG), (1, simhash.SHORT), (2, simhash.SHORT)])
+def test_anchors_bring_all_near_words_together(threshold, blocks):
+    """A word within the threshold of a fingerprint is sent to that one's home; anchors are code words."""
+    rng = np.random.default_rng(1)
+    values = rng.integers(-(1 << 63), 1 << 63, 300, dtype=np.int64)
+    width = 64 if blocks == simhash.LONG else 46
+    moved = values.copy()
+    for i in range(len(moved)):
+        for bit in rng.choice(width, rng.integers(0, threshold + 1), replace=False):
+            moved[i] ^= np.int64(np.uint64(1 << int(bit)).view(np.int64))
+    rows, sent = simhash.anchors(moved, threshold, blocks)
+    homes = simhash.homes_of(values, blocks)
+    assert set(zip(range(300), homes.tolist())) <= set(zip(rows.tolist(), sent.tolist()))
+    assert (simhash.homes_of(sent, blocks) == sent).all()
+
+
+def test_vectors_through_several_blocks_and_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "FILED", 24)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(120, 12))
+    rows = np.concatenate([base + 0.04 * rng.normal(size=base.shape) for _ in range(4)])  # doubles, not floats
+    data = [(i, [float(x) for x in v], "one") for i, v in enumerate(rows)]
+    got = {r["vec_id"]: r for r in vectors.components(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string"), probes=3).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert np.mean([got[i]["n_links"] for i in range(len(rows))]) >= 0.98 * linked.mean()
+    assert all(got[i]["n_links"] <= linked[i] for i in range(len(rows)))
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    a, b = [1.0, 0.0], [0.98 + 1e-12, float(np.sqrt(1 - (0.98 + 1e-12) ** 2))]
+    low = [0.98 - 1e-9, float(np.sqrt(1 - (0.98 - 1e-9) ** 2))]
+    rows = spark.createDataFrame([(1, a, 1), (2, b, 1), (3, a, 2), (4, low, 2)], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["n_links"] for r in vectors.components(rows).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 def test_vectors_match_brute_force(spark):
@@ -226,6 +362,148 @@ def test_revisits(spark):
     assert [got[i]["outcome"] for i in (4, 5, 6)] == ["mismatch", "unmatched", "unmatched"] and got[4]["source_id"] == 2
 
 
-@pytest.mark.parametrize("make", [lambda d: bpe.encode(d, RANKS), lambda d: simhash.components(d), lambda d: lines.drop_repeats(d), lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: exact.assign(d, exact.new_index(d.sparkSession))])
+def test_revisits_of_repeated_records(spark):
+    """Against loops: responses that occur twice, revisits that occur twice or share an id, no ids, no rows."""
+    schema = "record_id long, uri string, ts long, status int, headers map<string,string>, body string"
+    rng = random.Random(5)
+    data = []
+    for _ in range(60):
+        url, ts, rid = f"http://h{rng.randrange(3)}.com/", rng.randrange(12), rng.choice([None, *range(4)])
+        if rng.random() < 0.5:
+            data += [(rid, url, ts, 200, {"etag": f"{rid}"}, f"b{rid}{url}{ts}")] * rng.choice([1, 1, 2])
+        else:
+            data += [(rid, url, ts, 304, {"etag": f"{rng.choice([None, 1, 2])}"}, None)] * rng.choice([1, 1, 2])
+    wanted = []
+    for rid, url, ts, status, headers, _ in data:
+        if status == 304:
+            before = [(t, r is not None, r or 0, h["etag"], b) for r, u, t, s, h, b in data if s == 200 and u == url and t < ts]
+            best = max(before, default=None)
+            source = None if best is None or not best[1] else best[2]
+            outcome = "unmatched" if best is None else "resolved" if best[3] == headers["etag"] else "mismatch"
+            wanted.append((rid, ts, source, outcome, best[4] if outcome == "resolved" else None))
+    for days in (86_400, 4):
+        got = warc.resolve(spark.createDataFrame(data, schema), days).collect()
+        assert sorted(map(str, wanted)) == sorted(str((r["record_id"], r["ts"], r["source_id"], r["outcome"], r["body"])) for r in got)
+    assert warc.resolve(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_quality_against_a_naive_trainer(spark):
+    """The bag of a text by loops, and the score as the softmax of the average of its vectors."""
+    text = "the cat the  cat\nzoë 🎉 the cat"
+    ids, counts = quality.bag(text)
+    words = text.split()
+    assert counts.sum() == sum(1 + sum(max(0, len(w) + 2 - n + 1) for n in quality.GRAMS) for w in words) + quality.PAIR * (len(words) - 1)
+    found, ends, hashes = quality.features(["the", "cat"])
+    again = quality.features(["cat"])
+    assert found[ends[0] :].tolist() == again[0].tolist() and hashes[1] == again[2][0]
+    rng = np.random.default_rng(0)
+    model = quality.Model(rng.normal(size=(2 * quality.BUCKETS, quality.WIDTH)).astype(np.float32), rng.normal(size=(2, quality.WIDTH)).astype(np.float32), np.array([0.1, -0.2], np.float32))
+    mean = sum(int(c) * model.table[i].astype(float) for i, c in zip(ids, counts, strict=True)) / counts.sum()
+    logits = model.weights @ mean + model.bias
+    share = 1 / (1 + np.exp(logits[0] - logits[1]))
+    scorer = quality.Scorer(model)
+    assert np.allclose(scorer([text, "", None, text * 3000])[[0, 1]], [share, 1 / (1 + np.exp(0.3))], atol=1e-5)
+    assert np.allclose(scorer([text]), scorer(["other words", text])[1])
+
+
+def test_quality_learns_from_rows_of_any_length(spark):
+    """Only the long texts tell the classes apart; one class alone, no label and an empty table have defined scores."""
+    texts = [("good sense " if i % 2 else "spam junk ") * 4_000 for i in range(12)] + ["the same"] * 4
+    docs = frame(spark, texts).withColumn("Score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)] + [(0, 0), (None, 1), (3, 7)], "doc_id long, quality int")
+    rows = quality.score(docs, quality.learn(docs, labels))
+    scores = {r["doc_id"]: r["score"] for r in rows.collect()}
+    assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
+    assert all((scores[i] > 0.5) == bool(i % 2) for i in range(12))
+    one = quality.learn(docs, labels.where("quality = 1"))
+    assert not one.learned and quality.score(docs, one).where("score < 0.99").isEmpty()
+    none = quality.learn(docs, labels.limit(0))
+    assert quality.score(docs, none).where("score <> 0.5").isEmpty() and quality.score(docs.limit(0), none).isEmpty()
+
+
+def test_language_vectors_by_loops(spark):
+    """A bundle is the sum over trigrams of products of rotated letter vectors, also across slices."""
+    def naive(text):
+        bare = "".join(c.lower() if c.isalpha() else " " for c in text)
+        points = [ord(c) for c in f" {' '.join(bare.split())} "]
+        v = {p: langid.letter_vectors(np.array([p]))[0].astype(int) for p in set(points)}
+        return sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(points, points[1:], points[2:]))
+
+    texts = ["Der Hund, 42 Katzen!", "x", "ab " * 50]
+    found, has = langid.bundles(texts)
+    assert has.all() and all((found[i] == naive(t)).all() for i, t in enumerate(texts))
+    whole = langid.bundles(["der hund " * 90_000])[0][0]  # over two slices
+    assert (whole == naive("der hund der hund ")[None, :] + 89_998 * (naive("der hund der hund der hund ") - naive("der hund der hund "))).all()
+
+
+def test_language_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "clash"), (2, "der hund und die katze", "de", "clash"), (None, "the dog", "en", "x"), (3, "", "en", "x"), (3, "1 2", None, "x")], "doc_id long, text string, lang string, LANG_PRED string")
+    rows = langid.identify(docs, langid.learn(docs))
+    assert rows.columns == ["doc_id", "text", "lang", "lang_pred", "score", "likeness"] and rows.where("text = 'the dog'").head()["lang_pred"] == "en"
+    empty = docs.limit(0)
+    assert langid.learn(empty) == {} and langid.identify(empty, {}).isEmpty()
+
+
+def features_by_hand(url):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    url = url or ""
+    size = max(1, len(url))
+    shares = [url.count(c) / size for c in set(url)]
+    return {
+        "url_length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in url) / size,
+        "entropy": -sum(p * np.log2(p) for p in shares), "parameters": sum(c in "?&;" for c in url), "hyphens": url.count("-"), "dots": url.count("."), "longest_label": max(map(len, host.split("."))),
+    }
+
+
+def test_url_features_by_hand(spark):
+    data = ["http://A-b.Example.com/en/7?x=1&y=2#z", "https://com", "no scheme", "", None, "ftp://x.y.z//a//b?q", "http://h/" + "é1" * 3000]
+    rows = spark.createDataFrame([(u,) for u in data], "url string")
+    rows = urls.lexical(rows.withColumn("host", urls.host(F.col("url"))).withColumn("path", urls.path(F.col("url"))))
+    for r in rows.collect():
+        wanted = features_by_hand(r["url"])
+        assert {k: pytest.approx(v, abs=1e-9) for k, v in wanted.items()} == {k: r[k] for k in wanted}, r["url"]
+
+
+def test_url_shares_leave_the_own_label_out(spark):
+    rows = [("a.com", "com", "a.com", 1.0), ("a.com", "com", "a.com", 0.0), ("b.com", "com", "b.com", None), ("c.org", "org", "c.org", 1.0)]
+    got = urls.suffix_statistics(spark.createDataFrame(rows, "host string, suffix_1 string, suffix_2 string, label double")).collect()
+    shares = {(r["host"], r["label"]): (r["suffix_1_blocked"], r["suffix_2_blocked"], r["suffix_1_rows"]) for r in got}
+    assert shares[("a.com", 1.0)] == (pytest.approx(1 / 3), pytest.approx(1 / 3), pytest.approx(np.log(4)))
+    assert shares[("b.com", None)][:2] == (pytest.approx(1 / 2), pytest.approx(1 / 2)) and shares[("c.org", 1.0)][0] == pytest.approx(1 / 2)
+
+
+def test_trees_learn_and_judge_urls(spark):
+    """Long digit paths are blocked among the labelled URLs, so the trees block others like them; one class alone and no rows."""
+    rng = random.Random(8)
+    make = lambda bad: f"http://h{rng.randrange(50)}.org/{''.join(rng.choice('0123456789' if bad else 'abcdef') for _ in range(40 if bad else 6))}"
+    labelled = spark.createDataFrame([(make(i % 2), float(i % 2)) for i in range(400)], "url string, label double")
+    pages = spark.createDataFrame([(i, make(i % 2), "clash", 1.0) for i in range(60)] + [(None, None, "c", 0.0)], "page_id long, url string, verdict string, label double")
+    got = urls.judge(pages, [("block", "com/x")], labelled).collect()
+    assert len(got) == 61 and all((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got if r["page_id"] is not None)
+    only = urls.judge(pages, [("block", "org/")]).collect()
+    assert {r["verdict"] for r in only} == {"block"} and urls.judge(pages.limit(0), [("block", "org/")]).count() == 0
+    assert {r["verdict"] for r in urls.judge(pages, []).collect()} == {"allow"}
+
+
+def test_decoding_goes_through_the_byte_table():
+    table = bpe.character_bytes()
+    tokens = bpe.vocabulary(RANKS)
+    assert len(table) == 256 and {bytes(map(table.__getitem__, t)): i for t, i in list(tokens.items())[:2000]} == {k: v for k, v in bpe.read_ranks(RANKS).items() if v in set(list(tokens.values())[:2000])}
+
+
+def test_columns_that_clash_come_through(spark):
+    docs = frame(spark, TEXTS).withColumn("IDS", F.lit("x")).withColumn("sequence_id", F.lit("y")).withColumn("n_lines", F.lit("z")).withColumn("_gone", F.lit(1)).withColumn("_lines", F.lit(2))
+    assert bpe.encode(docs, RANKS).columns.count("ids") == 1
+    assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).where("doc_id = 0").count() == 1
+    out = lines.drop_repeats(docs)
+    assert {"_gone", "_lines"} <= set(out.columns) and out.where("_gone = 1 and _lines = 2").count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("make", [lambda d: bpe.encode(d, RANKS), lambda d: simhash.components(d), lambda d: lines.drop_repeats(d), lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")), lambda d: exact.assign(d, exact.new_index(d.sparkSession), exact.halves(d)), simhash.keep_one, lambda d: vectors.components(d.selectExpr('doc_id vec_id', 'array(1.0D) embedding', 'lang label'))])
 def test_empty_tables(spark, make):
     assert make(frame(spark, []).where("doc_id >= 0")).count() == 0
