@@ -90,8 +90,15 @@ def period(day: Column, unit: str, steps: int) -> tuple[Column, Column]:
     return move(steps), move(steps + 1)
 
 
+def leap_year_from(year: Column) -> Column:
+    """The first leap year not before a year."""
+    fourth = F.ceil(year / 4) * 4
+    return F.when((fourth % 100 == 0) & (fourth % 400 != 0), fourth + 4).otherwise(fourth).cast("int")
+
+
 def month_day_next(day: Column, month: int, dom: int) -> Column:
     """The next day of that month on or after a day; a 29 February waits for its year."""
-    years = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.expr("1") * 0 + i)
-    made = F.transform(years, lambda i: F.try_to_date(F.concat_ws("-", (F.year(day) + i).cast("string"), F.lit(f"{month:02d}"), F.lit(f"{dom:02d}")), "yyyy-MM-dd"))
-    return F.array_min(F.filter(made, lambda d: d >= day))
+    leap = (month, dom) == (2, 29)
+    make = lambda year: F.make_date(leap_year_from(year) if leap else year, F.lit(month), F.lit(dom))
+    this = make(F.year(day))
+    return F.when(this >= day, this).otherwise(make(F.year(day) + 1))

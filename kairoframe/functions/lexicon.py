@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import key
-
 # The number words, the units, days, parts of the day and modifiers that the grammar names.
 NUMBERS = {
     "không": 0, "một": 1, "mốt": 1, "hai": 2, "đôi": 2, "ba": 3, "bốn": 4, "tư": 4, "năm": 5, "lăm": 5, "nhăm": 5, "sáu": 6, "bảy": 7,
@@ -82,9 +80,9 @@ LUNAR_HOLIDAYS = {
 HOLIDAY_OF = {alias: name for name, aliases in HOLIDAYS.items() for alias in aliases}
 
 
-def lookup(table: dict, text: Column) -> Column:
-    """The value of a word, null where the table has none."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key(text))
+def lookup(table: dict, word: Column) -> Column:
+    """The value of a word that is a key already (`text.key`), null where the table has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), word)
 
 
 def alternatives(table: dict) -> str:

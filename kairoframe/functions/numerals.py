@@ -11,16 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import NUMBERS, SCALES, lookup
-from .text import key
+from .text import key, let
 
 
-def spelled_number(text: Column) -> Column:
-    words = F.split(key(text), " ")
+NUMERALS = {k: float(v) for k, v in NUMBERS.items()}
+
+
+def spelled_number(text: Column, keyed: bool = False) -> Column:
+    """The number that a text spells; `keyed` where the text is a key already."""
+    return read_key(text) if keyed else let(key(text), read_key)
+
+
+def read_key(text: Column) -> Column:
+    words = F.split(text, " ")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("now"), F.lit(1e18).alias("scale"), F.lit(False).alias("bad"))
 
     def step(a: Column, w: Column) -> Column:
         scale = lookup(SCALES, w).cast("double")
-        value = F.coalesce(lookup({k: float(v) for k, v in NUMBERS.items()}, w), F.when(w.rlike("^[0-9]+$"), w.try_cast("double")))
+        value = F.coalesce(lookup(NUMERALS, w), F.when(w.rlike("^[0-9]+$"), w.try_cast("double")))
         now, total = a["now"], a["sum"]
         group = F.coalesce(now, F.lit(1.0))
         tens = (now >= 10) & (F.pmod(now, F.lit(10.0)) == 0)
@@ -41,7 +49,7 @@ def spelled_number(text: Column) -> Column:
             .otherwise(state(total, now, keep, F.lit(True)))
         )
 
-    one = F.coalesce(lookup({k: float(v) for k, v in NUMBERS.items()}, text), F.when(key(text).rlike("^-?[0-9]+$"), key(text).try_cast("double")))
+    one = F.coalesce(lookup(NUMERALS, text), F.when(text.rlike("^-?[0-9]+$"), text.try_cast("double")))
     end = F.aggregate(words, start, step)
     return F.when(F.size(words) == 1, one).when(~end["bad"], end["sum"] + F.coalesce(end["now"], F.lit(0.0)))
 

@@ -35,14 +35,25 @@ def monthly(anchor: Column, end: Column, month_days: list[int], interval: int =
     return F.filter(days(anchor, end), lambda d: (F.dayofmonth(d).isin(month_days) | from_end(d).isin(month_days)) & (months_between(anchor, d) % interval == 0))
 
 
-def positions(anchor: Column, end: Column, on: list[int], nth: int) -> Column:
-    """The nth (negative: from the end) of the dates of each month that fall on these weekdays."""
+def months(start: Column, end: Column) -> Column:
+    """The firsts of the months from the one of start to the one of end."""
+    return F.when(start <= end, F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).otherwise(F.expr("cast(array() as array<date>)"))
 
-    def place(d: Column) -> Column:
-        first = F.trunc(d, "month")
-        return F.size(F.filter(days(first, d) if nth > 0 else days(d, F.last_day(d)), lambda x: F.weekday(x).isin(on)))
 
-    return F.filter(days(anchor, end), lambda d: F.weekday(d).isin(on) & (place(d) == abs(nth)))
+def nth_on(first: Column, on: list[int], nth: int) -> Column:
+    """The nth (negative: from the end) day of a month, given by its first, that falls on one of these weekdays; null without one."""
+    weeks, place = divmod(abs(nth) - 1, len(on))
+    edge = first if nth > 0 else F.last_day(first)
+    away = lambda d: F.pmod((d - F.weekday(edge)) if nth > 0 else (F.weekday(edge) - d), F.lit(7))
+    steps = F.get(F.array_sort(F.array(*[away(F.lit(d)) for d in sorted(set(on))])), F.lit(place)) + 7 * weeks
+    found = F.date_add(edge, steps if nth > 0 else -steps)
+    return F.when(F.trunc(found, "month") == first, found)
+
+
+def positions(anchor: Column, end: Column, on: list[int], nth: int) -> Column:
+    """The nth (negative: from the end) of the dates of each month that fall on these weekdays."""
+    on = sorted(set(on))
+    return F.filter(F.transform(months(anchor, end), lambda m: nth_on(m, on, nth)), lambda d: (d >= anchor) & (d <= end))
 
 
 def yearly(anchor: Column, end: Column, month: int, day: int) -> Column:
@@ -71,11 +82,17 @@ def without(occ: DataFrame, exclusions: DataFrame) -> DataFrame:
     return o.join(e, (o["_m"] == e["_m"]) & (o["day"] >= e["from_day"]) & (o["day"] < e["to_day"]), "left_anti").drop("_m")
 
 
-def top(occ: DataFrame, by: str, order: list[str], limit: int) -> DataFrame:
-    """The first occurrences of each key, with whether there were more."""
-    w = Window.partitionBy(by).orderBy(*order)
-    ranked = occ.withColumn("rank", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy(by)) > limit)
-    return ranked.where(F.col("rank") <= limit)
+def top(occ: DataFrame, by: str, order: list[str], limit: int, parts: int = 32) -> DataFrame:
+    """The first occurrences of each key, with whether there were more.
+
+    Each key's rows are dealt to parts, of which the first `limit` and one more go on, so no task orders
+    all rows of a key.
+    """
+    rows = occ.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    some = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("_r") <= limit + 1)
+    w = Window.partitionBy(by)
+    ranked = some.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("truncated", F.count("*").over(w) > limit)
+    return ranked.where(F.col("rank") <= limit).drop("_part", "_r")
 
 
 def rrule(start: Column, freq: str, interval: int = 1, by_day: list[str] | None = None, by_month_day: list[int] | None = None, by_set_pos: list[int] | None = None, count: int | None = None, until: Column | None = None) -> Column:

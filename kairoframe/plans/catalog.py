@@ -48,9 +48,9 @@ def token_fnv(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.fnv(F.col("text")).alias("fnv"))
 
 
-@query(f"WITH p AS (SELECT conv_id, turn, ts, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, {SQL_TOKENS} AS ts FROM conversations)) SELECT conv_id, turn, pos::BIGINT AS pos, t, coalesce(sum(length(t)) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p WHERE turn = 0 OR turn = 1")
+@query(f"WITH p AS (SELECT conv_id, turn, ts, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, {SQL_TOKENS} AS ts FROM conversations)) SELECT conv_id, turn, pos::BIGINT AS pos, t, coalesce(sum(length(t)) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p")
 def token_offsets(spark, sf_dir):
-    return turn_offsets(table(spark, sf_dir, "conversations").where("turn in (0, 1)"))
+    return turn_offsets(table(spark, sf_dir, "conversations"))
 
 
 def turn_offsets(turns: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def spelled_numbers(spark, sf_dir):
 
 @query("WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a) SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n FROM b GROUP BY ALL")
 def role_segments(spark, sf_dir):
-    rows = islands.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    rows = islands.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", F.date_trunc("day", "ts"))
     return rows.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -113,9 +113,9 @@ def meridiem_fold(spark, sf_dir):
     return rows.withColumn("f", civil.fold_hour(F.col("h"), F.col("p")).cast("int"))
 
 
-@query("WITH l AS (SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 90 MINUTE * k AS wall FROM orders, (VALUES (1), (2)) v(k) WHERE month(o_orderdate) IN (4, 10)), a AS (SELECT *, timezone('America/New_York', wall) AS ins FROM l) SELECT o_orderkey, wall, CASE WHEN timezone('America/New_York', ins) <> wall THEN 'gap' WHEN timezone('America/New_York', ins + INTERVAL 1 HOUR) = wall OR timezone('America/New_York', ins - INTERVAL 1 HOUR) = wall THEN 'overlap' ELSE 'exact' END AS kind FROM a")
+@query("WITH l AS (SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 90 MINUTE * k AS wall FROM orders, (VALUES (1), (2)) v(k)), a AS (SELECT *, timezone('America/New_York', wall) AS ins FROM l) SELECT o_orderkey, wall, CASE WHEN timezone('America/New_York', ins) <> wall THEN 'gap' WHEN timezone('America/New_York', ins + INTERVAL 1 HOUR) = wall OR timezone('America/New_York', ins - INTERVAL 1 HOUR) = wall THEN 'overlap' ELSE 'exact' END AS kind FROM a")
 def zone_classify(spark, sf_dir):
-    return wall_kinds(table(spark, sf_dir, "orders").where(F.month("o_orderdate").isin(4, 10)), [90, 180])
+    return wall_kinds(table(spark, sf_dir, "orders"), [90, 180])
 
 
 def wall_kinds(orders: DataFrame, minutes: list[int]) -> DataFrame:
@@ -316,9 +316,10 @@ def fingerprint_antijoin(spark, sf_dir):
     return rows.withColumn("h", F.sha2(F.lower("s"), 256)).join(held, "h", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH p AS (SELECT item_id, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT item_id, {SQL_TOKENS} AS ts FROM benchmark)), o AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p), s AS (SELECT item_id, b AS span_start, b + 40 AS span_end FROM benchmark, range(0, 400, 100) r(b)) SELECT item_id, span_start, count(*) AS n FROM o JOIN s USING (item_id) WHERE start >= span_start AND start + length(t) <= span_end GROUP BY ALL")
+@query(f"WITH p AS (SELECT item_id, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT item_id, {SQL_TOKENS} AS ts FROM benchmark)), o AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p), s AS (SELECT item_id, b AS span_start, b + 40 AS span_end FROM (SELECT item_id, unnest(range(0, length(text), 100)) AS b FROM benchmark)) SELECT item_id, span_start, count(*) AS n FROM o JOIN s USING (item_id) WHERE start >= span_start AND start + length(t) <= span_end GROUP BY ALL")
 def span_token_join(spark, sf_dir):
-    return span_counts(table(spark, sf_dir, "benchmark"), F.lit(300))
+    units = text.units(F.col("text"))
+    return span_counts(table(spark, sf_dir, "benchmark"), F.when(units > 0, units - 1))
 
 
 def span_counts(items: DataFrame, last: Column) -> DataFrame:

@@ -28,12 +28,13 @@ def found(text: Column, table: dict) -> Column:
 
 def understand(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Append what the text names: rel_day, dow, modifier, unit, amount, shift_unit, hour, minute, part."""
-    text = key(F.col(text_col))
+    df = df.withColumn("_key", key(F.col(text_col)))
+    text = F.col("_key")
     modifier = lambda lead: lookup(MODIFIERS, F.nullif(F.regexp_extract(text, rf"(?:{lead}) ({alternatives(MODIFIERS)})(?![\p{{L}}])", 1), F.lit("")))
     hour = F.regexp_extract(text, CLOCK, 1)
     minute = F.regexp_extract(text, CLOCK, 2)
     before = F.regexp_extract(minute, r"kém (\d+)", 1).try_cast("int")
-    amount = spelled_number(F.regexp_extract(text, SHIFT, 1))
+    amount = spelled_number(F.regexp_extract(text, SHIFT, 1), keyed=True)
     known = F.regexp_extract(text, SHIFT, 0) != ""
     calendar = r"tuần|tháng|năm"
     return df.withColumns(

@@ -2,7 +2,7 @@
 
 A text splits into a main part, what follows "đến" (an end of a range, or the last day of a rule) and what
 follows "trừ" (weekdays left out). The fields of the parts are patterns over the lexicon; holidays and lunar
-dates meet the small table of named days by one broadcast equality; dates, clocks and rules are array
+dates meet the small table of named days by one equality (Spark broadcasts it where it is small); dates, clocks and rules are array
 expressions on the same row. There is no shuffle, and a text's occurrences are exploded only at the end.
 
 Per occurrence: clause and seq in it (from 1), start, end (exclusive; null for a moment or one whole day), open ("start" or
@@ -26,6 +26,8 @@ from kairoframe.operators import dates, recurrence
 
 from .parse import CLOCK, EDGE, found
 
+#: The zone that rules name where rows have none of their own.
+HOME = "Asia/Ho_Chi_Minh"
 MODS = alternatives(MODIFIERS)
 UNIT = r"giây|phút|giờ|tiếng|ngày|tuần|tháng|năm|h|ph|p"
 AMOUNT = rf"([\p{{L}}\d]+(?: [\p{{L}}\d]+)*?) ?({UNIT})"
@@ -53,17 +55,17 @@ def split(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumn("_l", take(F.col("_said"), cut, 2))
     first = F.when(F.col("_l").isNull(), F.col("_said")).otherwise(F.regexp_extract("_said", cut, 1))
     df = df.withColumn("_f", F.regexp_replace(F.regexp_replace(first, r"(?:^|(?<= ))(?<!kể )từ (?!đó)", ""), r"^cách đây (.+)$", r"$1 trước"))
-    df = df.withColumns({"_n1": spelled_number(take(F.col("_f"), SHIFT, 1)), "_n2": spelled_number(take(F.col("_f"), SHIFT, 3)), "_dir": take(F.col("_f"), SHIFT, 5)})
+    df = df.withColumns({"_n1": spelled_number(take(F.col("_f"), SHIFT, 1), True), "_n2": spelled_number(take(F.col("_f"), SHIFT, 3), True), "_dir": take(F.col("_f"), SHIFT, 5)})
     df = df.withColumns({"_u1": lookup(UNITS, take(F.col("_f"), SHIFT, 2)), "_u2": lookup(UNITS, take(F.col("_f"), SHIFT, 4)), "_rest": take(F.col("_f"), SHIFT, 6)})
     df = df.withColumn("_shift", F.col("_n1").isNotNull() & ~F.col("_rule") & (F.col("_u2").isNull() | F.col("_n2").isNotNull()))
-    df = df.withColumns({"_dn": spelled_number(take(F.col("_f"), rf"^trong (?:vòng )?{AMOUNT}$", 1)), "_du": lookup(UNITS, take(F.col("_f"), rf"^trong (?:vòng )?{AMOUNT}$", 2))})
+    df = df.withColumns({"_dn": spelled_number(take(F.col("_f"), rf"^trong (?:vòng )?{AMOUNT}$", 1), True), "_du": lookup(UNITS, take(F.col("_f"), rf"^trong (?:vòng )?{AMOUNT}$", 2))})
     df = df.withColumn("_bound", F.when(~F.col("_shift"), take(F.col("_f"), r"^(sau|trước) (?=.*\d)", 1)))
     return df.withColumn("_f", F.when(F.col("_shift"), F.coalesce("_rest", F.lit(""))).otherwise(F.col("_f")))
 
 
-def clauses(text: Column) -> Column:
-    """A text cut before each weekday after "và", where both sides have clocks of their own."""
-    said, clock = key(text), r"\d{1,2} ?(?:giờ|h(?![\p{L}])|:)"
+def clauses(said: Column) -> Column:
+    """A text's key cut before each weekday after "và", where both sides have clocks of their own."""
+    clock = r"\d{1,2} ?(?:giờ|h(?![\p{L}])|:)"
     both = said.rlike(rf"{clock}.* và (?:{alternatives(WEEKDAYS)})(?![\p{{L}}]).*{clock}")
     return F.when(both, F.split(said, rf" và (?=(?:{alternatives(WEEKDAYS)})(?![\p{{L}}]))")).otherwise(F.array(said))
 
@@ -181,9 +183,11 @@ def spaced(days: Column) -> Column:
 
 def occurrences_df(df: DataFrame, reference: str, named: DataFrame, text_col: str = "text", zone: str | None = None, limit: int = 30) -> DataFrame:
     """The rows of df, one for each occurrence; `named` is `dates.named_days`, `zone` a column of zone names."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be from 1 to 1000")
     ref, today = F.col("_ref"), F.col("_today")
     kept = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select("*", F.posexplode(clauses(F.col(text_col))).alias("_clause", "_text"))
+    rows = df.withColumn("_whole", key(F.col(text_col))).select("*", F.posexplode(clauses(F.col("_whole"))).alias("_clause", "_text"))
     rows = split(rows.withColumn("_ref", F.col(reference).cast("timestamp_ntz")).withColumn("_today", F.col(reference).cast("date")), F.col("_text"))
     rows = fields(fields(rows, "_f"), "_l")
     ranged = F.col("_l").isNotNull() & ~F.col("_rule")
@@ -193,7 +197,7 @@ def occurrences_df(df: DataFrame, reference: str, named: DataFrame, text_col: st
     day_key = F.when(F.col("_f_hol").isNotNull(), F.col("_f_hol")).when(lunar & F.col("_f_month").isNotNull(), F.concat(F.lit("L:"), F.col("_f_month"), F.lit("-"), F.coalesce("_f_dom", F.lit(1)), leap))
     day_key = day_key.when(lunar & F.col("_f_dom").isNotNull(), F.concat(F.lit("L:*-"), F.col("_f_dom"))).when(F.col("_f_cycle").isNotNull(), "tet")
     year = F.coalesce("_f_year", dates.cycle_year(F.col("_f_cycle"), F.year(today)))
-    rows = rows.withColumn("day_key", day_key).withColumn("_year", year).join(F.broadcast(named), "day_key", "left")
+    rows = rows.withColumn("day_key", day_key).withColumn("_year", year).join(named, "day_key", "left")
     found_day = F.date_add(dates.next_named(F.col("days"), today, F.col("_year")), F.coalesce(F.col("_f_tet_day") - 1, F.lit(0)))
     next_year = dates.next_named(F.col("days"), today, F.col("_year") + 1)
     bare_year = F.col("_f_cycle").isNotNull() & F.col("_f_hol").isNull() & ~lunar
@@ -203,7 +207,7 @@ def occurrences_df(df: DataFrame, reference: str, named: DataFrame, text_col: st
     rows = rows.withColumn("_at", seconds(F.col("_f_hour"), F.col("_f_minute"), F.col("_f_part"), F.col("_f_named")))
     rows = rows.withColumn("_to", F.coalesce(seconds(F.col("_l_hour"), F.col("_l_minute"), F.coalesce("_l_part", "_f_part"), F.col("_l_named")), F.col("_f_until_hour") * 3600))
     rows = _one_off(rows, ref, today, zone)
-    rows = _rules(rows, ref, today, limit)
+    rows = _rules(rows, ref, today, zone)
     bad_clock = (F.col("_f_hour").isNotNull() & F.col("_at").isNull()) | (F.col("_l_hour").isNotNull() & F.col("_to").isNull())
     bad_date = F.coalesce(F.size("_p") == 0, F.lit(False)) | F.coalesce(F.size("_lp") == 0, F.lit(False))
     error = F.when(bad_clock, "invalid-time").when(bad_date, "invalid-date").when(F.coalesce(F.size("_out"), F.lit(0)) == 0, "no-expression")
@@ -268,7 +272,7 @@ def _one_off(rows: DataFrame, ref: Column, today: Column, zone: str | None) -> D
     return rows.withColumn("_events", keep(events.otherwise(F.col("_events"))))
 
 
-def _rules(rows: DataFrame, ref: Column, today: Column, limit: int) -> DataFrame:
+def _rules(rows: DataFrame, ref: Column, today: Column, zone: str | None) -> DataFrame:
     """Append `_out`, all occurrences, and `_rrule`, the iCalendar text of a rule."""
     unit = lookup(UNITS, take(F.col("_f"), rf"(?:mỗi|mọi|hàng|hằng)(?: \d+)? ({UNIT})(?![\p{{L}}])"))
     has_days = F.size("_f_dows") > 0
@@ -292,7 +296,7 @@ def _rules(rows: DataFrame, ref: Column, today: Column, limit: int) -> DataFrame
     first = F.get("_days", F.lit(0))
     at = plus(first, offset)
     names = F.transform("_by_day", lambda w: F.get(F.array(*[F.lit(n) for n in recurrence.DAYS]), w))
-    zone = F.lit("Asia/Ho_Chi_Minh")
+    zone = F.col(zone) if zone else F.lit(HOME)
     start = F.when(timed, F.concat(F.lit("DTSTART;TZID="), zone, F.lit(":"), F.date_format(at, "yyyyMMdd'T'HHmmss"))).otherwise(F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(first, "yyyyMMdd")))
     opt = lambda cond, *x: F.when(cond, F.concat(*x))
     parts = [
