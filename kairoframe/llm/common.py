@@ -83,6 +83,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """What an application over long texts sets for its session, so that Arrow batches take little memory.
+
+    The operators don't; without it Spark's batches hold up to 10,000 rows and 64 MB.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def append_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],

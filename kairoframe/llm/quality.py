@@ -19,6 +19,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,6 +98,16 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts[ids]
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag as a few bytes a feature: the gaps between its buckets and the counts, compressed."""
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), counts]).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, counts = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int32), counts
+
+
 @dataclass
 class Model:
     table: np.ndarray  # 2 BUCKETS x WIDTH
@@ -152,16 +163,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4_000) -> Model:
 
     def make():
         def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            found = [bag(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            return {"ids": pa.array([i for i, _ in found], pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], pa.list_(pa.int64()))}
+            return {"bag": pa.array([packed(*bag(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.binary())}
 
         return apply
 
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))]
-    bags = append_columns(fetched, make, fields).drop("text").dropDuplicates(["doc_id", "print", "quality"])
+    bags = append_columns(fetched, make, [T.StructField("bag", T.BinaryType())]).drop("text").dropDuplicates(["doc_id", "print", "quality"])
     got = bags.toArrow().sort_by([("doc_id", "ascending"), ("print", "ascending"), ("quality", "ascending")])
-    ids, counts = (got.column(n).to_numpy() for n in ("ids", "counts"))
-    return train(list(zip(ids, counts, strict=True)), got.column("quality").to_numpy().astype(np.int64))
+    return train([unpacked(b) for b in got.column("bag").to_pylist()], got.column("quality").to_numpy().astype(np.int64))
 
 
 class Scorer:
