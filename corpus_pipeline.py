@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoframe.llm import exact, langid, packing, quality, simhash
-from kairoframe.llm.common import remove, scratch, scratch_path, unused
+from kairoframe.llm.common import remove, scratch, scratch_path, small_batches, unused
 
 #: The least score of the quality classifier.
 KEEP = 0.7
@@ -32,6 +32,7 @@ def where_judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], added
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts of some length that are like no learned language."""
+    small_batches(spark)
     model = langid.learn(docs)
     return where_judged(docs, lambda d: langid.identify(d, model), ["lang_pred", "score", "likeness"], langid.accepted())
 
