@@ -39,6 +39,24 @@ def iso(at: Column, zone: Column) -> Column:
     )
 
 
+def instant(text: Column) -> Column:
+    """An instant from ISO 8601 text that names its offset (Z or +hh:mm); null without one or for no such moment."""
+    offset = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:[.]\d{1,9})?)?(?:Z|[+-]\d{2}:\d{2})$"
+    return F.when(text.rlike(offset), F.try_to_timestamp(text))
+
+
+def at_time(wall: Column, zone: Column) -> Column:
+    """(at, diagnostic): the instant of a wall clock; where the clock was set forward over it there is none, and the diagnostic says so."""
+    gap = zone_kind(wall, zone) == "gap"
+    return F.struct(F.when(~gap, to_instant(wall, zone)).alias("at"), F.when(gap, "nonexistent-time").alias("diagnostic"))
+
+
+def inherited_part(hour: Column, part: Column, end_hour: Column, end_part: Column) -> Column:
+    """The part of the day of a range's start: its own, else the end's if read so it still is before the end."""
+    borrowed = fold_hour(hour, end_part)
+    return F.coalesce(part, F.when(borrowed < fold_hour(end_hour, end_part), end_part))
+
+
 def fold_hour(hour: Column, part: Column) -> Column:
     """A twelve-hour reading with its part of the day, over 24 hours; hours past twelve stay."""
     return (
@@ -67,11 +85,46 @@ def monday(day: Column) -> Column:
     return F.date_add(day, -F.weekday(day))
 
 
-def weekday_near(day: Column, target: Column, modifier: Column) -> Column:
-    """The weekday (0 Monday): bare the next including today; this, next, last by calendar weeks."""
-    week = F.when(modifier == "next", 7).when(modifier == "last", -7).otherwise(0)
-    inside = F.date_add(monday(day), target + week)
-    return F.when(modifier.isNull(), F.date_add(day, F.pmod(target - F.weekday(day), F.lit(7)))).otherwise(inside)
+def week_start(day: Column, first: str = "MO") -> Column:
+    """The first day of the calendar week: Monday, or Sunday where weeks begin with it (SU)."""
+    return monday(day) if first == "MO" else F.date_add(day, -F.pmod(F.weekday(day) + 1, F.lit(7)))
+
+
+def weekday_near(day: Column, target: Column, modifier: Column, first: str = "MO", bare: str = "next", following: str = "calendar", distance: Column | int = 1) -> Column:
+    """The weekday (0 Monday): bare the next including today; this, next, last by calendar weeks.
+
+    Weeks begin with `first` (MO or SU). A bare weekday may be the one of this week (`bare` thisWeek) or the
+    nearest; `following` immediate makes "next" the first after today; `distance` counts further weeks.
+    """
+    if first not in ("MO", "SU") or bare not in ("next", "thisWeek", "nearest") or following not in ("calendar", "immediate"):
+        raise ValueError("unknown policy for weekdays")
+    ahead = F.pmod(target - F.weekday(day), F.lit(7))
+    place = target if first == "MO" else F.pmod(target + 1, F.lit(7))
+    extra = (distance - 1) * 7 if isinstance(distance, Column) else F.lit((distance - 1) * 7)
+    begin = week_start(day, first)
+    alone = {"next": F.date_add(day, ahead), "thisWeek": F.date_add(begin, place), "nearest": F.date_add(day, F.when(ahead > 3, ahead - 7).otherwise(ahead))}[bare]
+    after = F.date_add(begin, place + 7 + extra) if following == "calendar" else F.date_add(day, F.when(ahead == 0, 7).otherwise(ahead) + extra)
+    return F.when(modifier.isNull(), alone).when(modifier == "next", after).when(modifier == "last", F.date_add(begin, place - 7 - extra)).otherwise(F.date_add(begin, place))
+
+
+def week_of_month(month_start: Column, number: Column) -> tuple[Column, Column]:
+    """Start and exclusive end of a month's nth seven days (1 to 5), clipped to the month; nulls where it has none."""
+    start = F.when(number.between(1, 5), F.date_add(month_start, (number - 1) * 7))
+    start = F.when(F.trunc(start, "month") == month_start, start)
+    return start, F.least(F.date_add(start, 7), F.add_months(month_start, 1))
+
+
+def quarter(day: Column, number: Column) -> tuple[Column, Column]:
+    """Start and exclusive end of a quarter (1 to 4) of a day's year."""
+    start = F.when(number.between(1, 4), F.add_months(F.trunc(day, "year"), (number - 1) * 3))
+    return start, F.add_months(start, 3)
+
+
+def rolled(at: Column, reference: Column, days: int, tries: int = 8) -> Column:
+    """A moment moved on by whole steps of days until it isn't before the reference; null where it takes more tries."""
+    behind = F.unix_timestamp(reference.cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))
+    steps = F.greatest(F.ceil(behind / (86_400 * days)), F.lit(0)).cast("int")
+    return F.when(steps < tries, F.timestamp_add("DAY", steps * days, at))
 
 
 def ordinal_weekday(month_start: Column, target: Column, nth: Column) -> Column:

@@ -49,11 +49,13 @@ DAY_GROUPS = {
     "ngày đi làm": "weekday",
 }
 NAMED_TIMES = {"nửa đêm": 0, "giữa đêm": 0, "giữa trưa": 12, "đúng trưa": 12}
-NAMED_STARTS = {
-    "giờ hành chính": 8, "giờ làm việc": 8, "giờ nghỉ trưa": 12, "đầu giờ": 8, "đầu giờ sáng": 8, "cuối giờ sáng": 11, "đầu giờ chiều": 13,
-    "cuối giờ": 17, "cuối giờ chiều": 17, "cuối giờ làm": 17, "hết giờ làm": 17,
-} | {f"giờ {b}": (23 + 2 * i) % 24 for i, b in enumerate(BRANCHES)}
-NAMED_ENDS = {"giờ hành chính": 17, "giờ làm việc": 17, "giờ nghỉ trưa": 13} | {f"giờ {b}": (1 + 2 * i) % 24 for i, b in enumerate(BRANCHES)}
+NAMED_WINDOWS = {
+    "giờ hành chính": (8, 17), "giờ làm việc": (8, 17), "giờ nghỉ trưa": (12, 13), "đầu giờ": (8, None), "đầu giờ sáng": (8, None),
+    "cuối giờ sáng": (11, None), "đầu giờ chiều": (13, None), "cuối giờ": (17, None), "cuối giờ chiều": (17, None), "cuối giờ làm": (17, None),
+    "hết giờ làm": (17, None),
+} | {f"giờ {b}": ((23 + 2 * i) % 24, (1 + 2 * i) % 24) for i, b in enumerate(BRANCHES)}
+NAMED_STARTS = {name: start for name, (start, _) in NAMED_WINDOWS.items()}
+NAMED_ENDS = {name: end for name, (_, end) in NAMED_WINDOWS.items() if end is not None}
 #: Other spellings of three branches.
 BRANCH_VARIANTS = {"tí": "tý", "mẹo": "mão", "tị": "tỵ"}
 # Holidays by their names; month and day by the solar or the lunar calendar.
@@ -80,6 +82,29 @@ LUNAR_HOLIDAYS = {
 HOLIDAY_OF = {alias: name for name, aliases in HOLIDAYS.items() for alias in aliases}
 
 
+#: Words of the lunar calendar, and further ones that a text about time has.
+LUNAR_WORDS = ["âm lịch", "âm", "âl", "lịch âm", "lịch ta", "mùng", "mồng", "rằm", "nhuận"]
+TIME_CUES = ["thứ", "cn", "hàng", "hằng", "mỗi", "tết", "lịch", "am", "pm", "hôm", "hẹn", "lúc"]
+TIME_PHRASES = sorted({*UNITS, *DAY_PARTS, *RELATIVE_DAYS, *DAY_GROUPS, *HOLIDAY_OF, *NAMED_TIMES, *NAMED_WINDOWS, *NOW_WORDS, *LUNAR_WORDS, *TIME_CUES, *WEEKDAYS})
+
+
+def mentions_time(word_key: Column) -> Column:
+    """Has a key a number, or words in a row that are a phrase of the lexicon?"""
+    words = F.filter(F.split(word_key, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def some(ws: Column) -> Column:
+        out = F.exists(ws, lambda w: w.rlike("[0-9]"))
+        for n in range(1, max(len(p.split()) for p in TIME_PHRASES) + 1):
+            known = F.array(*[F.lit(p) for p in TIME_PHRASES if len(p.split()) == n])
+            out = out | F.arrays_overlap(ngrams(ws, n), known)
+        return out
+
+    def ngrams(ws: Column, n: int) -> Column:
+        return F.transform(ws, lambda w, i: F.array_join(F.slice(ws, i + 1, n), " ")) if n > 1 else ws
+
+    return F.get(F.transform(F.array(words), some), F.lit(0))
+
+
 def lookup(table: dict, word: Column) -> Column:
     """The value of a word that is a key already (`text.key`), null where the table has none."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), word)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import NUMBERS, SCALES, lookup
+from .lexicon import NUMBERS, SCALES, UNITS, lookup
 from .text import key, let
 
 
@@ -63,3 +63,36 @@ def spell(value: Column) -> Column:
     tail = lambda head, w: F.concat_ws(" ", head, F.when(ones > 0, w))
     spoken = F.when(value <= 10, F.get(words, value.cast("int"))).when(tens == 1, tail(F.lit("mười"), after_ten)).otherwise(tail(F.concat(F.get(words, tens), F.lit(" mươi")), after_tens))
     return F.when(value.between(0, 99), spoken).otherwise(value.cast("string"))
+
+
+#: What half a day, month or year is; other fractions of calendar units have no reading.
+HALVES = {"day": (12, "hour"), "month": (15, "day"), "year": (6, "month")}
+CLOCK_UNITS = ["hour", "minute", "second"]
+QUARTERS = {"quý": "month"}
+_UNIT = "|".join(sorted({*UNITS, *QUARTERS}, key=lambda w: (-len(w), w)))
+COMPONENT = rf"([0-9]+[.,][0-9]+|[\p{{L}}0-9]+(?: [\p{{L}}0-9]+)*?) ?({_UNIT})( rưỡi)?(?![\p{{L}}0-9])"
+
+
+def durations(text: Column) -> Column:
+    """The components (amount, unit) of a key that is nothing but quantities: "2 tiếng rưỡi", "1 tiếng 30 phút", "1,5 giờ", "nửa tháng".
+
+    Null where a part has no number above zero, or a fraction that its unit doesn't take.
+    """
+    group = lambda n: F.regexp_extract_all(text, F.lit(COMPONENT), F.lit(n))
+    zipped = F.arrays_zip(group(1).alias("n"), group(2).alias("u"), group(3).alias("h"))
+
+    def one(x: Column) -> Column:
+        value = F.coalesce(F.when(x["n"].rlike("^[0-9]+[.,][0-9]+$"), F.replace(x["n"], F.lit(","), F.lit(".")).try_cast("double")), spelled_number(x["n"], True))
+        amount = value * F.when(x["u"].isin(list(QUARTERS)), 3).otherwise(1) + F.when(x["h"] != "", 0.5).otherwise(0.0)
+        return let(F.struct(amount.alias("amount"), lookup(UNITS | QUARTERS, x["u"]).alias("unit"), (value > 0).alias("some")), sound)
+
+    def sound(d: Column) -> Column:
+        made = lambda a, u: F.struct(F.lit(a).cast("double").alias("amount"), F.lit(u).alias("unit"))
+        out = F.when(~F.coalesce(d["some"], F.lit(False)), None)
+        for unit, (amount, name) in HALVES.items():
+            out = out.when((d["unit"] == unit) & (d["amount"] == 0.5), made(amount, name))
+        whole = (d["amount"] == F.floor(d["amount"])) | d["unit"].isin(CLOCK_UNITS)
+        return out.when(whole, F.struct(d["amount"].alias("amount"), d["unit"].alias("unit")))
+
+    rest = F.trim(F.regexp_replace(text, COMPONENT, ""))
+    return let(F.transform(zipped, one), lambda ds: F.when((F.size(ds) > 0) & (rest == "") & ~F.exists(ds, lambda d: d.isNull()), ds))

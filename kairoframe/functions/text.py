@@ -59,9 +59,14 @@ def starts(parts: Column) -> Column:
 
 def fnv(text: Column) -> Column:
     """FNV-1a over the UTF-16 units of a text."""
-    read = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-    step = lambda a, c: ((a.bitwiseXOR(F.conv(c, 16, 10).cast("long"))) * FNV_PRIME).bitwiseAND(F.lit(MASK))
-    return F.aggregate(read, F.lit(FNV_BASIS).cast("long"), step)
+    mix = lambda a, unit: (a.bitwiseXOR(unit) * FNV_PRIME).bitwiseAND(F.lit(MASK))
+
+    def step(a: Column, c: Column) -> Column:
+        point = F.ascii(c).cast("long")
+        beyond = point - 0x10000  # a pair of surrogates
+        return F.when(point < 0x10000, mix(a, point)).otherwise(mix(mix(a, F.lit(0xD800) + (beyond / 1024).cast("long")), F.lit(0xDC00) + beyond % 1024))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(FNV_BASIS).cast("long"), step)
 
 
 @lru_cache(None)
@@ -100,10 +105,8 @@ def sources(text: Column) -> Column:
 
 
 def length_bucket(token: Column) -> Column:
-    out = F.lit(len(LENGTHS))
-    for i in reversed(range(len(LENGTHS))):
-        out = F.when(units(token) <= LENGTHS[i], i).otherwise(out)
-    return out
+    ends = F.array(*[F.lit(e) for e in LENGTHS])
+    return F.aggregate(ends, F.struct(units(token).alias("v"), F.lit(0).alias("n")), lambda a, e: a.withField("n", a["n"] + (a["v"] > e).cast("int")), lambda a: a["n"])
 
 
 def key(text: Column) -> Column:

@@ -8,6 +8,8 @@ date from the array: no range join.
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,33 @@ def group_days(today: Column, group: Column, modifier: Column) -> Column:
     monday = F.date_add(today, -F.weekday(today))
     bare = F.transform(numbers, lambda i: F.date_add(today, F.pmod(i - F.weekday(today), F.lit(7))))
     return F.array_sort(F.when(modifier.isNull(), bare).otherwise(F.transform(numbers, lambda i: F.date_add(monday, i + week))))
+
+
+def lunar_range(days: DataFrame, year: int, month: int, first: int, last: int) -> DataFrame:
+    """(start, end): the solar days of a span of one lunar month's days, the end exclusive; no row where the month lacks the first.
+
+    `days` is `lunar_days`; a last day that the month lacks is its last.
+    """
+    own = days.where((F.col("year") == year) & (F.col("month") == month) & ~F.col("leap") & F.col("day").between(first, last))
+    out = own.agg(F.min(F.when(F.col("day") == first, F.col("date"))).alias("start"), F.date_add(F.max("date"), 1).alias("end"))
+    return out.where("start is not null")
+
+
+def checked_context(zone: str, limit: int = 30) -> None:
+    """Raises ValueError for a zone that isn't known or a limit that isn't from 1 to 1000."""
+    if zone not in available_timezones():
+        raise ValueError(f"unknown zone {zone}")
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be from 1 to 1000")
+
+
+def horizon(reference: Column, until: Column | None = None, months: int = 12) -> Column:
+    """The exclusive end of a preview: midnight of the day that is given, else so many months on."""
+    return F.timestamp_add("MONTH", F.lit(months), reference) if until is None else F.coalesce(until.cast("timestamp_ntz"), F.timestamp_add("MONTH", F.lit(months), reference))
+
+
+def weekly_if_bare(days: Column, modifier: Column, policy: str) -> Column:
+    """The weekdays of a weekly rule where the policy for bare weekdays is `weekly` and none of them is modified, else null."""
+    if policy not in ("next", "weekly"):
+        raise ValueError("the policy for bare weekdays is next or weekly")
+    return F.when(F.lit(policy == "weekly") & modifier.isNull() & (F.size(days) > 0), F.array_sort(days))

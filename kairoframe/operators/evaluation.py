@@ -13,15 +13,32 @@ def prefix_agrees(expected: Column, actual: Column) -> Column:
     return F.slice(actual, 1, F.size(expected)) == expected
 
 
+def signature(labels: Column) -> Column:
+    """A digest of the pattern that a row's labels make."""
+    return F.sha2(F.array_join(labels.cast("array<string>"), " "), 256)
+
+
+def disjoint(rows: DataFrame, reserved: DataFrame, by: str) -> DataFrame:
+    """The rows whose key no reserved row has."""
+    return rows.join(reserved.select(by).distinct(), by, "left_anti")
+
+
+def best_threshold(scores: DataFrame, threshold: str, score: str, by: str) -> DataFrame:
+    """(threshold, least): the threshold whose least score over all groups is largest, of equal ones the smallest."""
+    least = scores.groupBy(threshold).agg(F.min(score).alias("least"))
+    return least.orderBy(F.desc("least"), threshold).limit(1)
+
+
 def flips(df: DataFrame, before: Column, after: Column, by: list[Column]) -> DataFrame:
     """(by..., fixed, broke): rows that only one of two yes/no judgements has right."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return df.groupBy(*by).agg(n(~before & after).alias("fixed"), n(before & ~after).alias("broke"))
 
 
-def regressed(fixed: Column, broke: Column, alpha: float = 0.05) -> Column:
+def regressed(fixed: Column, broke: Column, alpha: float = 0.05, support: int = 0) -> Column:
     """The one-sided exact sign test: would so many or more of the rows that moved break by chance with less than alpha?
 
+    Where fewer than `support` rows moved nothing is said to have got worse.
     The binomial tail is summed in logarithms, so that it holds for any number of rows.
     """
     n = fixed + broke
@@ -30,4 +47,4 @@ def regressed(fixed: Column, broke: Column, alpha: float = 0.05) -> Column:
         (a["log"] + F.log((n - k + 1) / k)).alias("log"), (a["tail"] + F.when(k >= broke, F.exp(a["log"] + F.log((n - k + 1) / k) - n * math.log(2))).otherwise(0.0)).alias("tail")
     )
     tail = F.aggregate(F.sequence(F.lit(1).cast("long"), n.cast("long")), start, step)["tail"]
-    return F.when((n == 0) | (broke <= fixed), False).otherwise(tail < alpha)
+    return F.when((n == 0) | (n < support) | (broke <= fixed), False).otherwise(tail < alpha)

@@ -59,6 +59,30 @@ def hopping(count: Column, keep: int = 96, context: int = 16) -> Column:
     )
 
 
+def length_batch(tokens: Column, ends: tuple[int, ...] = (32, 64, 128)) -> Column:
+    """The bucket of a text's length that it is batched in, by the bucket's end; null beyond the last."""
+    out = F.lit(None).cast("int")
+    for end in sorted(ends, reverse=True):
+        out = F.when(tokens <= end, end).otherwise(out)
+    return out
+
+
+def slices(tokens: Column, flag_of: str = "context", first: int = 10, last: int = 11) -> Column:
+    """The tokens that each hopping window sees, with the bits for the first and the last of a text as they are in the window.
+
+    Tokens are structs with the field `flag_of`, a long whose bits `first` and `last` say so.
+    """
+    clear = ~((1 << first) | (1 << last))
+
+    def seen(w: Column) -> Column:
+        n = w["see_end"] - w["see_start"]
+        bits = lambda i: F.when(i == 0, 1 << first).otherwise(0) + F.when(i == n - 1, 1 << last).otherwise(0)
+        own = lambda t, i: t.withField(flag_of, t[flag_of].bitwiseAND(F.lit(clear)).bitwiseOR(bits(i).cast("long")))
+        return F.struct(w["keep_start"].alias("keep_start"), w["keep_end"].alias("keep_end"), F.transform(F.slice(tokens, w["see_start"] + 1, n), own).alias("tokens"))
+
+    return F.transform(hopping(F.size(tokens)), seen)
+
+
 def within(tokens: DataFrame, spans: DataFrame, by: str, bucket: int = 256) -> DataFrame:
     """Tokens [start, end) inside spans [span_start, span_end): an interval join by buckets of positions."""
     t = tokens.withColumn("_b", F.floor(F.col("start") / bucket))
