@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairoframe.functions import civil, features, lexicon, numerals, text
-from kairoframe.operators import dates, evaluation, expressions, islands, recurrence
+from kairoframe.operators import dates, evaluation, expressions, islands, recurrence, schedule
 
+from . import generate
 from .catalog import FIRST_DAYS, QUERIES, SQL, SQL_BUCKET, SQL_FLAGS, SQL_KIND, SQL_TOKENS, first_days, order_days, query, table
+from .parse import parse_df
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -292,3 +294,65 @@ def weekly_spans(spark, sf_dir):
     d = F.col("d")
     kept = F.filter(recurrence.days(d, F.date_add(d, 6)), lambda x: F.datediff(x, d).isin(recurrence.excluded_weekdays(1, 3)))
     return order_days(spark, sf_dir).select("o_orderkey", F.array_min(kept).alias("first"), F.array_max(kept).alias("last"))
+
+
+#: For each specification: kind, its fields, and (start, end) in SQL at nine o'clock of day d with parameter k; NULL starts give no row.
+SPECS = [
+    (dict(kind="now"), "t", "NULL"),
+    (dict(kind="relativeDay", offset="k % 9 - 4"), "d + (k % 9 - 4)::INT", "NULL"),
+    (dict(kind="weekdayRange", weekday="k % 7", until_weekday="k % 5"), "d + ((k % 7 - isodow(d) + 8) % 7)::INT", "d + ((k % 7 - isodow(d) + 8) % 7)::INT + ((k % 5 - k % 7 + 7) % 7)::INT + 1"),
+    (dict(kind="calendar", month="k % 12 + 1", day="k % 28 + 1"), "CASE WHEN make_date(year(d), (k % 12 + 1)::INT, (k % 28 + 1)::INT) < d THEN make_date(year(d) + 1, (k % 12 + 1)::INT, (k % 28 + 1)::INT) ELSE make_date(year(d), (k % 12 + 1)::INT, (k % 28 + 1)::INT) END", "NULL"),
+    (dict(kind="calendar", year="k % 5 + 1990", month="2", day="k % 3 + 27"), "try_cast((k % 5 + 1990) || '-02-' || (k % 3 + 27) AS DATE)", "NULL"),
+    (dict(kind="calendarPeriod", month="k % 12 + 1", week="k % 6 + 1"), "CASE WHEN k % 6 < 5 AND month(m + (7 * (k % 6))::INT) = month(m) THEN m + (7 * (k % 6))::INT END", "least(m + (7 * (k % 6) + 7)::INT, (m + INTERVAL 1 MONTH)::DATE)"),
+    (dict(kind="calendarPeriod", month="k % 12 + 1", modifier="'next'", edge="'end'"), "last_day(make_date(year(d) + CASE WHEN k % 12 + 1 <= month(d) THEN 1 ELSE 0 END, (k % 12 + 1)::INT, 1))", "NULL"),
+    (dict(kind="relativeUnit", unit="'month'", modifier="'last'", distance="k % 3 + 1"), "date_trunc('month', d) - INTERVAL 1 MONTH * (k % 3 + 1)::INT", "date_trunc('month', d) - INTERVAL 1 MONTH * (k % 3)::INT"),
+    (dict(kind="relativeUnit", unit="'hour'", modifier="'next'", edge="'end'"), "t + INTERVAL 2 HOUR - INTERVAL 1 SECOND", "NULL"),
+    (dict(kind="ordinalWeekday", ordinal="k % 5 + 1", weekday="k % 7"), "CASE WHEN month(o) = month(d) THEN o END", "NULL"),
+    (dict(kind="calendarRange", month="11", day="k % 30 + 1", to_month="2", to_day="k % 28 + 1"), "make_date(year(d), 11, (k % 30 + 1)::INT)", "make_date(year(d) + 1, 2, (k % 28 + 1)::INT) + 1"),
+]
+
+
+def sql_specs() -> str:
+    month = "CASE WHEN make_date(year(d), (k % 12 + 1)::INT, 1) + INTERVAL 1 MONTH <= d THEN make_date(year(d) + 1, (k % 12 + 1)::INT, 1) ELSE make_date(year(d), (k % 12 + 1)::INT, 1) END"
+    ordinal = "date_trunc('month', d)::DATE + ((k % 7 - isodow(date_trunc('month', d)) + 8) % 7)::INT + (7 * (k % 5))::INT"
+    rows = f"WITH o AS (SELECT *, {month} AS m, {ordinal} AS o FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS d, o_orderdate::DATE + INTERVAL 9 HOUR AS t FROM orders)) "
+    one = lambda i, s: f"SELECT k, {i} AS spec, ({s[1]})::TIMESTAMP AS start, ({s[2]})::TIMESTAMP AS \"end\" FROM o WHERE ({s[1]}) IS NOT NULL"
+    return rows + " UNION ALL ".join(one(i, s) for i, s in enumerate(SPECS))
+
+
+@query(sql_specs())
+def resolved_specs(spark, sf_dir):
+    """Every kind of date specification with parameters from each order, at nine o'clock of its day."""
+    made = [schedule.spec(**{n: F.lit(v) if n == "kind" else F.expr(v) for n, v in fields.items()}) for fields, *_ in SPECS]
+    rows = order_days(spark, sf_dir).withColumnRenamed("o_orderkey", "k").withColumn("ref", F.timestamp_add("HOUR", F.lit(9), F.col("d").cast("timestamp_ntz")))
+    rows = rows.select("k", "ref", F.posexplode(F.array(*made)).alias("spec", "s"))
+    return rows.select("k", "spec", F.inline(schedule.resolve_dates(F.col("s"), F.col("ref"))))
+
+
+def sql_generated() -> str:
+    """What the generator says, by its rule."""
+    g = generate
+    listed = lambda values: "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
+    pick = lambda values, at: f"list_extract({listed(values)}, (({at}) % {len(values)} + 1)::INT)"
+    day = "TIMESTAMP '2026-09-17 00:00:00'"
+    ref = "TIMESTAMP '2026-09-17 09:00:00'"
+    words = "string_split('không một hai ba bốn năm sáu bảy tám chín mười', ' ')"
+    amount = f"CASE WHEN n <= 10 THEN {words}[n + 1] WHEN n = 20 THEN 'hai mươi' WHEN n = 15 THEN 'mười lăm' ELSE 'mười ' || {words}[n - 9] END"
+    families = {
+        "relative_day": (pick([w for w, _ in g.DAYS], "k"), f"{day} + INTERVAL 1 DAY * {pick([n for _, n in g.DAYS], 'k')}"),
+        "weekday": (f"{pick(g.WEEKDAYS, 'k')} || ' tuần ' || {pick([w for w, *_ in g.STEPS], 'k // 7')}", f"TIMESTAMP '2026-09-14' + INTERVAL 1 DAY * (k % 7 + 7 * {pick([n for *_, n in g.STEPS], 'k // 7')})::INT"),
+        "clock": (f"(k % 10 + 1) || ' giờ ' || {pick([w for w, _ in g.PARTS], 'k // 10')} || ' mai'", f"{day} + INTERVAL 1 DAY + INTERVAL 1 HOUR * CASE WHEN (k // 10) % 3 = 0 THEN k % 10 + 1 ELSE k % 10 + 13 END"),
+        "shift": (f"{amount} || ' ' || {pick([w for w, _ in g.SHIFTS], 'k // 20')} || ' nữa'", f"CASE (k // 20) % 4 WHEN 0 THEN {ref} + INTERVAL 1 MINUTE * n WHEN 1 THEN {ref} + INTERVAL 1 HOUR * n WHEN 2 THEN {ref} + INTERVAL 1 DAY * n ELSE {ref} + INTERVAL 7 DAY * n END"),
+        "unit": (f"{pick([w for w, _ in g.UNITS], 'k')} || ' ' || {pick([w for w, *_ in g.STEPS], 'k // 3')}", "CASE k % 3 " + " ".join(f"WHEN {i} THEN date_trunc('{u}', {day}) + INTERVAL 1 {u} * {pick([n for *_, n in g.STEPS], 'k // 3')}" for i, (_, u) in enumerate(g.UNITS)) + " END"),
+        "part": (f"{pick([w for w, _ in g.PARTS], 'k')} || ' mai'", f"{day} + INTERVAL 1 DAY + INTERVAL 1 HOUR * {pick([civil.PART_HOURS[p][0] for _, p in g.PARTS], 'k')}"),
+    }
+    rows = f"WITH i AS (SELECT range AS id, {pick(g.FAMILIES, 'range')} AS family, range // {len(g.FAMILIES)} AS k, (range // {len(g.FAMILIES)}) % 20 + 1 AS n FROM range(6000)) "
+    return rows + " UNION ALL ".join(f"SELECT id, family, {text} AS text, ({start})::TIMESTAMP AS start, TRUE AS agrees FROM i WHERE family = '{name}'" for name, (text, start) in families.items())
+
+
+@query(sql_generated())
+def generated_phrases(spark, sf_dir):
+    """Phrases by rule, each parsed again: does the parser give what the rule meant?"""
+    rows = generate.phrases(spark, 6000, F.lit("2026-09-17 09:00:00")).withColumnRenamed("start", "meant")
+    found = parse_df(rows, "ref")
+    return found.select("id", "family", "text", F.col("meant").alias("start"), F.col("start").eqNullSafe(F.col("meant")).alias("agrees"))

@@ -32,7 +32,8 @@ MODS = alternatives(MODIFIERS)
 UNIT = r"giây|phút|giờ|tiếng|ngày|tuần|tháng|năm|h|ph|p"
 AMOUNT = rf"([\p{{L}}\d]+(?: [\p{{L}}\d]+)*?) ?({UNIT})"
 SHIFT = rf"^{AMOUNT}(?: {AMOUNT})? (nữa|sau|trước|kể từ bây giờ)(?: (.+))?$"
-NUMERIC = r"(?<![\d/])(\d{1,2})[/.-](\d{1,2})(?:[/.-](\d{4}))?(?![\d/])"
+NUMERIC = r"(?<![\d/.-])(\d{1,2})[/.-](\d{1,2})(?:[/.-](\d{4}))?(?![\d/])"
+YEAR_FIRST = r"(?<![\d/.-])(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})(?![\d/])"
 PAIR = rf"({'|'.join(STEMS)}) ({'|'.join([*BRANCHES, *BRANCH_VARIANTS])})(?![\p{{L}}])"
 
 
@@ -70,11 +71,12 @@ def clauses(said: Column) -> Column:
     return F.when(both, F.split(said, rf" và (?=(?:{alternatives(WEEKDAYS)})(?![\p{{L}}]))")).otherwise(F.array(said))
 
 
-def fields(df: DataFrame, p: str) -> DataFrame:
-    """Append what part `p` names, each under the part's prefix."""
+def fields(df: DataFrame, p: str, order: str = "DMY") -> DataFrame:
+    """Append what part `p` names, each under the part's prefix; numeric dates without a number over 12 read in this order."""
     x = F.col(p)
     df = df.withColumns({f"{p}_a": number(x, NUMERIC, 1), f"{p}_b": number(x, NUMERIC, 2), f"{p}_pair": take(x, PAIR, 0)})
-    swap = (F.col(f"{p}_b") > 12) & (F.col(f"{p}_a") <= 12)
+    month_first = F.col(f"{p}_a") <= 12 if order == "MDY" else F.lit(False)
+    swap = ((F.col(f"{p}_b") > 12) & (F.col(f"{p}_a") <= 12)) | (month_first & (F.col(f"{p}_b") <= 12))
     a, b = F.when(swap, F.col(f"{p}_b")).otherwise(F.col(f"{p}_a")), F.when(swap, F.col(f"{p}_a")).otherwise(F.col(f"{p}_b"))
     cycle = sexagenary(take(x, PAIR, 1), take(x, PAIR, 2))
     hour, minute = number(x, CLOCK, 1), F.regexp_extract(x, CLOCK, 2)
@@ -86,9 +88,9 @@ def fields(df: DataFrame, p: str) -> DataFrame:
         {
             f"{p}_hol": lookup(HOLIDAY_OF, found(x, HOLIDAY_OF)),
             f"{p}_tet_day": number(x, r"(?:mùng|mồng) (\d{1,2}) tết"),
-            f"{p}_dom": F.coalesce(a, number(x, r"(?<![\p{L}])(?:ngày|mùng|mồng) (\d{1,2})(?![\d/])"), F.when(x.rlike(EDGE % "rằm"), 15)),
-            f"{p}_month": F.coalesce(b, lookup(MONTHS, take(x, rf"(?<![\p{{L}}])tháng ({alternatives(MONTHS)})(?![\p{{L}}\d])"))),
-            f"{p}_year": F.coalesce(number(x, NUMERIC, 3), number(x, r"(?<![\p{L}])năm (\d{4})(?!\d)"), number(x, r"(?<![\d/])(\d{4})$")),
+            f"{p}_dom": F.coalesce(number(x, YEAR_FIRST, 3), a, number(x, r"(?<![\p{L}])(?:ngày|mùng|mồng) (\d{1,2})(?![\d/])"), F.when(x.rlike(EDGE % "rằm"), 15)),
+            f"{p}_month": F.coalesce(number(x, YEAR_FIRST, 2), b, lookup(MONTHS, take(x, rf"(?<![\p{{L}}])tháng ({alternatives(MONTHS)})(?![\p{{L}}\d])"))),
+            f"{p}_year": F.coalesce(number(x, YEAR_FIRST, 1), number(x, NUMERIC, 3), number(x, r"(?<![\p{L}])năm (\d{4})(?!\d)"), number(x, r"(?<![\d/])(\d{4})$")),
             f"{p}_cycle": F.when(~x.rlike(r"(?<![\p{L}])giờ " + PAIR), cycle),
             f"{p}_lunar": x.rlike(EDGE % "âm lịch|lịch âm|lịch ta|âl|âm|mùng|mồng|rằm|nhuận|giêng|chạp"),
             f"{p}_leap": x.rlike(EDGE % "nhuận"),
@@ -181,15 +183,20 @@ def spaced(days: Column) -> Column:
     return F.when(n > 1, F.filter(days, lambda x: gap(x) % n == 0)).otherwise(days)
 
 
-def occurrences_df(df: DataFrame, reference: str, named: DataFrame, text_col: str = "text", zone: str | None = None, limit: int = 30) -> DataFrame:
-    """The rows of df, one for each occurrence; `named` is `dates.named_days`, `zone` a column of zone names."""
+def occurrences_df(df: DataFrame, reference: str, named: DataFrame, text_col: str = "text", zone: str | None = None, limit: int = 30, order: str = "DMY") -> DataFrame:
+    """The rows of df, one for each occurrence; `named` is `dates.named_days`, `zone` a column of zone names.
+
+    `order` (DMY or MDY) is how numeric dates read where neither number is over 12; a year first is followed by the month.
+    """
+    if order not in ("DMY", "MDY"):
+        raise ValueError("order must be DMY or MDY")
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be from 1 to 1000")
     ref, today = F.col("_ref"), F.col("_today")
     kept = [F.col(f"`{c}`") for c in df.columns]
     rows = df.withColumn("_whole", key(F.col(text_col))).select("*", F.posexplode(clauses(F.col("_whole"))).alias("_clause", "_text"))
     rows = split(rows.withColumn("_ref", F.col(reference).cast("timestamp_ntz")).withColumn("_today", F.col(reference).cast("date")), F.col("_text"))
-    rows = fields(fields(rows, "_f"), "_l")
+    rows = fields(fields(rows, "_f", order), "_l", order)
     ranged = F.col("_l").isNotNull() & ~F.col("_rule")
     rows = rows.withColumn("_f_month", F.when(ranged & F.col("_f_dom").isNotNull(), F.coalesce("_f_month", "_l_month")).otherwise(F.col("_f_month")))
     lunar = F.col("_f_lunar")
