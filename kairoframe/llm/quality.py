@@ -120,10 +120,13 @@ class Model:
         return bool(self.weights.any())
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> Model:
-    """Softmax regression over averaged feature vectors, one document a step, the rate falling to 0."""
+def train(bags: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> Model:
+    """Softmax regression over averaged feature vectors, one document a step, the rate falling to 0.
+
+    The bags stay packed, so that little memory holds them; each is unpacked for its step.
+    """
     rng = np.random.default_rng(seed)
-    model = Model(((rng.random((2 * BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32), np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32))
+    model = Model((rng.random((2 * BUCKETS, WIDTH), dtype=np.float32) - np.float32(0.5)) / np.float32(WIDTH), np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32))
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -134,7 +137,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
         for i in rng.permutation(len(bags)):
             lr = rate * (1 - steps / total)
             steps += 1
-            ids, counts = bags[i]
+            ids, counts = unpacked(bags[i])
             share = (counts / max(1, counts.sum())).astype(np.float32)
             hidden = share @ model.table[ids]
             logits = model.weights @ hidden + model.bias
@@ -169,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4_000) -> Model:
 
     bags = append_columns(fetched, make, [T.StructField("bag", T.BinaryType())]).drop("text").dropDuplicates(["doc_id", "print", "quality"])
     got = bags.toArrow().sort_by([("doc_id", "ascending"), ("print", "ascending"), ("quality", "ascending")])
-    return train([unpacked(b) for b in got.column("bag").to_pylist()], got.column("quality").to_numpy().astype(np.int64))
+    return train(got.column("bag").to_pylist(), got.column("quality").to_numpy().astype(np.int64))
 
 
 class Scorer:

@@ -10,7 +10,7 @@ fingerprint at home at an anchor is thus sent there. Of two such fingerprints ea
 other's home, and one meeting is enough: so of the anchors that a fingerprint is sent to, those after
 its own home (by number) are left out. At an anchor its visitors are compared with those at home.
 
-Where an anchor has very many visitors (a group of near copies) the code there is refined to the finest
+Where very many are at home at one anchor (a group of near copies) the code there is refined to the finest
 one, whose anchors are all 64-bit words: its covering radius is 0, and a fingerprint is sent to the words
 within one bit. Two fingerprints are within two bits if and only if they meet at such a word, and at most
 65 different ones do, so the work follows the number of fingerprints there and not its square.
@@ -40,7 +40,7 @@ from .common import append_columns, connected_components, materialise, plain, re
 GOLAY, HAMMING = (23, 3, 0b110001110101), (15, 1, 0b10011)
 #: The blocks of a 64-bit fingerprint from its low end, and those of the 46-bit ones that the pipeline's stage searches.
 LONG, SHORT = (GOLAY, GOLAY, HAMMING), (GOLAY, GOLAY)
-#: Visitors of an anchor beyond which the code is refined there.
+#: Fingerprints at home at an anchor beyond which the code is refined there.
 CROWD = 64
 #: Expected documents of a cell in which candidates are verified.
 CELL = 500
@@ -191,12 +191,10 @@ def links(values: DataFrame, threshold: int = 2, star: bool = True, blocks: tupl
     apart, place = F.expr("bit_count(a ^ b)"), ["search", "anchor"]
     values = values.select(F.col("search").cast("int").alias("search"), "fingerprint")
     homes = materialise(_homes(values, blocks).withColumnRenamed("fingerprint", "a"), "homes")
-    sent = _sent(values, threshold, blocks).withColumnRenamed("fingerprint", "b")
-    visits = materialise(sent.join(homes.select(place).distinct(), place, "left_semi"), "visits")
-    counted = materialise(visits.groupBy(place).agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    quiet = homes.join(counted.where(F.col("n") <= CROWD).select(place), place)
-    near = visits.join(quiet, place).where(F.col("a") != F.col("b")).where(apart <= threshold)
-    many = visits.join(counted.where(F.col("n") > CROWD).select(place), place, "left_semi").select("search", F.col("b").alias("a")).distinct()
+    visits = materialise(_sent(values, threshold, blocks).withColumnRenamed("fingerprint", "b"), "visits")
+    crowded = materialise(homes.groupBy(place).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(place), "crowded")
+    near = visits.join(homes.join(crowded, place, "left_anti"), place).where(F.col("a") != F.col("b")).where(apart <= threshold)
+    many = visits.join(crowded, place, "left_semi").select("search", F.col("b").alias("a")).distinct()
     width = 64 if blocks == LONG else sum(bits for bits, _, _ in blocks)
     changed = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.expr("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     if threshold == 1:  # to be within one bit is to be one of the other's words
