@@ -14,46 +14,48 @@ from kairoframe.plans.phrases import occurrences_df
 REF = "2026-09-17 09:00:00"  # a Thursday
 
 
-def resolve(spark, ref=REF, **fields):
-    policy = {k: fields.pop(k) for k in ("week_start", "bare", "following") if k in fields}
-    made = schedule.spec(**{n: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v) for n, v in fields.items()})
-    found = spark.range(1).select(schedule.resolve_dates(made, F.lit(ref), **policy)).head()[0]
+POLICIES = ("week_start", "bare", "following")
+CASES = [
+    (dict(), [("2026-09-17", None)]),
+    (dict(kind="now"), [("2026-09-17 09:00:00", None)]),
+    (dict(kind="weekday", days=[0, 3]), [("2026-09-21", None), ("2026-09-17", None)]),
+    (dict(kind="weekday", days=[0], modifier="next"), [("2026-09-21", None)]),
+    (dict(kind="weekday", days=[0], modifier="next", distance=2), [("2026-09-28", None)]),
+    (dict(kind="weekday", days=[6], modifier="this", week_start="SU"), [("2026-09-13", None)]),
+    (dict(kind="weekdayRange", weekday=4, until_weekday=0), [("2026-09-18", "2026-09-22")]),
+    (dict(kind="dayGroup", group="weekend"), [("2026-09-19", None), ("2026-09-20", None)]),
+    (dict(kind="dayGroup", group="weekend", modifier="next"), [("2026-09-26", None), ("2026-09-27", None)]),
+    (dict(kind="dayGroup", group="weekend", modifier="next", following="immediate"), [("2026-09-19", None), ("2026-09-20", None)]),
+    (dict(kind="calendar", day=10), [("2026-10-10", None)]),
+    (dict(kind="calendar", month=2, day=29), []),
+    (dict(kind="calendar", year=2026), [("2026-09-01", None)]),
+    (dict(kind="calendarPeriod", month=3), [("2027-03-01", "2027-04-01")]),
+    (dict(kind="calendarPeriod", month=2, year=2027, week=4), [("2027-02-22", "2027-03-01")]),
+    (dict(kind="calendarPeriod", month=2, year=2027, week=5), []),
+    (dict(kind="calendarPeriod", month=9, modifier="last"), [("2025-09-01", "2025-10-01")]),
+    (dict(kind="relativeUnit", unit="week", modifier="next"), [("2026-09-21", "2026-09-28")]),
+    (dict(kind="relativeUnit", unit="month", modifier="this", edge="end"), [("2026-09-30", None)]),
+    (dict(kind="ordinalWeekday", ordinal=-1, weekday=4, unit="month", modifier="next"), [("2026-10-30", None)]),
+    (dict(kind="ordinalWeekday", ordinal=5, weekday=4, month=9), []),
+    (dict(kind="calendarRange", day=16, to_day=20), [("2026-09-16", "2026-09-21")]),
+    (dict(kind="calendarRange", month=11, day=20, to_month=1, to_day=5), [("2026-11-20", "2027-01-06")]),
+    (dict(kind="calendarRange", month=3, day=20, to_month=3, to_day=25), [("2027-03-20", "2027-03-26")]),
+    (dict(kind="calendarRange", day=20, to_day=16), []),
+]
+
+
+def test_specifications(spark):
+    """All cases of one policy in one plan."""
     short = lambda t: t and (t.date().isoformat() if t.time() == datetime.min.time() else t.isoformat(" "))
-    return [(short(p["start"]), short(p["end"])) for p in found]
-
-
-@pytest.mark.parametrize(
-    "fields,periods",
-    [
-        (dict(), [("2026-09-17", None)]),
-        (dict(kind="now"), [("2026-09-17 09:00:00", None)]),
-        (dict(kind="weekday", days=[0, 3]), [("2026-09-21", None), ("2026-09-17", None)]),
-        (dict(kind="weekday", days=[0], modifier="next"), [("2026-09-21", None)]),
-        (dict(kind="weekday", days=[0], modifier="next", distance=2), [("2026-09-28", None)]),
-        (dict(kind="weekday", days=[6], modifier="this", week_start="SU"), [("2026-09-13", None)]),
-        (dict(kind="weekdayRange", weekday=4, until_weekday=0), [("2026-09-18", "2026-09-22")]),
-        (dict(kind="dayGroup", group="weekend"), [("2026-09-19", None), ("2026-09-20", None)]),
-        (dict(kind="dayGroup", group="weekend", modifier="next"), [("2026-09-26", None), ("2026-09-27", None)]),
-        (dict(kind="dayGroup", group="weekend", modifier="next", following="immediate"), [("2026-09-19", None), ("2026-09-20", None)]),
-        (dict(kind="calendar", day=10), [("2026-10-10", None)]),
-        (dict(kind="calendar", month=2, day=29), []),
-        (dict(kind="calendar", year=2026), [("2026-09-01", None)]),
-        (dict(kind="calendarPeriod", month=3), [("2027-03-01", "2027-04-01")]),
-        (dict(kind="calendarPeriod", month=2, year=2027, week=4), [("2027-02-22", "2027-03-01")]),
-        (dict(kind="calendarPeriod", month=2, year=2027, week=5), []),
-        (dict(kind="calendarPeriod", month=9, modifier="last"), [("2025-09-01", "2025-10-01")]),
-        (dict(kind="relativeUnit", unit="week", modifier="next"), [("2026-09-21", "2026-09-28")]),
-        (dict(kind="relativeUnit", unit="month", modifier="this", edge="end"), [("2026-09-30", None)]),
-        (dict(kind="ordinalWeekday", ordinal=-1, weekday=4, unit="month", modifier="next"), [("2026-10-30", None)]),
-        (dict(kind="ordinalWeekday", ordinal=5, weekday=4, month=9), []),
-        (dict(kind="calendarRange", day=16, to_day=20), [("2026-09-16", "2026-09-21")]),
-        (dict(kind="calendarRange", month=11, day=20, to_month=1, to_day=5), [("2026-11-20", "2027-01-06")]),
-        (dict(kind="calendarRange", month=3, day=20, to_month=3, to_day=25), [("2027-03-20", "2027-03-26")]),
-        (dict(kind="calendarRange", day=20, to_day=16), []),
-    ],
-)
-def test_specifications(spark, fields, periods):
-    assert resolve(spark, **fields) == periods
+    lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    by: dict = {}
+    for fields, periods in CASES:
+        policy = tuple(sorted((k, v) for k, v in fields.items() if k in POLICIES))
+        by.setdefault(policy, []).append(({k: lit(v) for k, v in fields.items() if k not in POLICIES}, periods))
+    for policy, cases in by.items():
+        rows = spark.range(1).select(F.posexplode(F.array(*[schedule.spec(**fields) for fields, _ in cases])).alias("i", "s"))
+        got = rows.select("i", schedule.resolve_dates(F.col("s"), F.lit(REF), **dict(policy))).collect()
+        assert {r[0]: [(short(p["start"]), short(p["end"])) for p in r[1]] for r in got} == {i: periods for i, (_, periods) in enumerate(cases)}
 
 
 def test_named_specifications_and_unknown_fields(spark):
