@@ -13,9 +13,21 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Series of the mean and true new moon (from 1900) and of the sun's longitude, by Meeus;
-# terms are (coefficient, multiples of the sun's anomaly, the moon's anomaly and its latitude argument).
-SYNODIC = 29.530588853
+# Series of the mean and true new moon (Jean Meeus, Astronomical Formulae for Calculators, on the
+# phases of the moon; lunations from 1900) and of the sun's longitude (Astronomical Algorithms, low accuracy).
+# Polynomials are their coefficients by rising powers of the centuries; those of lunations have the one of the
+# lunation's number apart. Terms are (coefficient, multiples of the sun's anomaly, the moon's and its latitude argument).
+LUNATION_YEARS = 1236.85
+MEAN_MOON, MEAN_MOON_EACH = (2415020.75933, 0, 0.0001178, -0.000000155), 29.53058868
+MEAN_MOON_WAVE, MEAN_MOON_ANGLE = 0.00033, (166.56, 132.87, -0.009173)
+SUN_ANOMALY, SUN_ANOMALY_EACH = (359.2242, 0, -0.0000333, -0.00000347), 29.10535608
+MOON_ANOMALY, MOON_ANOMALY_EACH = (306.0253, 0, 0.0107306, 0.00001236), 385.81691806
+LATITUDE, LATITUDE_EACH = (21.2964, 0, -0.0016528, -0.00000239), 390.67050646
+SUN_TERM = (0.1734, -0.000393)
+CLOCK_BEFORE_800, CLOCK_AFTER = (0.001, 0.000839, 0.0002261, -0.00000845, -0.000000081), (-0.000278, 0.000265, 0.000262)
+SUN_EPOCH, CENTURY = 2451545, 36525
+SUN_MEAN, SUN_MEAN_ANOMALY = (280.46645, 36000.76983, 0.0003032), (357.5291, 35999.0503, -0.0001559, -0.00000048)
+SUN_CENTRE = [(1.9146, -0.004817, -0.000014), (0.019993, -0.000101), (0.00029,)]
 MOON_TERMS = [
     (0.0021, 2, 0, 0), (-0.4068, 0, 1, 0), (0.0161, 0, 2, 0), (-0.0004, 0, 3, 0), (0.0104, 0, 0, 2), (-0.0051, 1, 1, 0), (-0.0074, 1, -1, 0),
     (0.0004, 1, 0, 2), (-0.0004, -1, 0, 2), (-0.0006, 0, 1, 2), (0.0010, 0, -1, 2), (0.0005, 1, 2, 0),
@@ -30,28 +42,28 @@ def julian_day(day: Column) -> Column:
     return F.unix_date(day) + 2440588
 
 
+def polynomial(coefficients: tuple, t: Column) -> Column:
+    return sum(((F.lit(c) * t**i if i else F.lit(c)) for i, c in enumerate(coefficients) if c), F.lit(0.0))
+
+
 def new_moon(k: Column) -> Column:
     """The Julian date of the k-th new moon after 1900."""
-    t = k / 1236.85
-    poly = lambda *c: sum((F.lit(c[i]) * t**i if i else F.lit(c[0])) for i in range(len(c)))
-    mean = 2415020.75933 + 29.53058868 * k + 0.0001178 * t**2 - 0.000000155 * t**3 + 0.00033 * F.sin(poly(166.56, 132.87, -0.009173) * RAD)
-    sun = 359.2242 + 29.10535608 * k - 0.0000333 * t**2 - 0.00000347 * t**3
-    moon = 306.0253 + 385.81691806 * k + 0.0107306 * t**2 + 0.00001236 * t**3
-    lat = 21.2964 + 390.67050646 * k - 0.0016528 * t**2 - 0.00000239 * t**3
-    shift = (0.1734 - 0.000393 * t) * F.sin(sun * RAD)
+    t = k / LUNATION_YEARS
+    at = lambda series, each: polynomial(series, t) + each * k
+    mean = at(MEAN_MOON, MEAN_MOON_EACH) + MEAN_MOON_WAVE * F.sin(polynomial(MEAN_MOON_ANGLE, t) * RAD)
+    sun, moon, lat = at(SUN_ANOMALY, SUN_ANOMALY_EACH), at(MOON_ANOMALY, MOON_ANOMALY_EACH), at(LATITUDE, LATITUDE_EACH)
+    shift = polynomial(SUN_TERM, t) * F.sin(sun * RAD)
     for c, a, b, d in MOON_TERMS:
         shift = shift + c * F.sin(RAD * (a * sun + b * moon + d * lat))
-    delta = F.when(t < -11, poly(0.001, 0.000839, 0.0002261, -0.00000845, -0.000000081)).otherwise(poly(-0.000278, 0.000265, 0.000262))
-    return mean + shift - delta
+    return mean + shift - F.when(t < -11, polynomial(CLOCK_BEFORE_800, t)).otherwise(polynomial(CLOCK_AFTER, t))
 
 
 def sun_sector(jdn: Column) -> Column:
     """Which twelfth of its course the sun is in at local midnight of a day."""
-    t = (jdn - 0.5 - ZONE / 24 - 2451545) / 36525
-    m = 357.5291 + 35999.0503 * t - 0.0001559 * t**2 - 0.00000048 * t**3
-    mean = 280.46645 + 36000.76983 * t + 0.0003032 * t**2
-    true = mean + (1.9146 - 0.004817 * t - 0.000014 * t**2) * F.sin(RAD * m) + (0.019993 - 0.000101 * t) * F.sin(RAD * 2 * m) + 0.00029 * F.sin(RAD * 3 * m)
-    return F.floor(F.pmod(true, F.lit(360.0)) / 30).cast("int")
+    t = (jdn - 0.5 - ZONE / 24 - SUN_EPOCH) / CENTURY
+    anomaly = polynomial(SUN_MEAN_ANOMALY, t)
+    centre = sum((polynomial(c, t) * F.sin(RAD * n * anomaly) for n, c in enumerate(SUN_CENTRE, 1)), F.lit(0.0))
+    return F.floor(F.pmod(polynomial(SUN_MEAN, t) + centre, F.lit(360.0)) / 30).cast("int")
 
 
 def lunar_months(spark: SparkSession, first: int = 1900, last: int = 2100) -> DataFrame:

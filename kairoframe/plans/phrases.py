@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kairoframe.functions import civil
 from kairoframe.functions.lexicon import (
-    BRANCH_VARIANTS, BRANCHES, DAY_GROUPS, DAY_PARTS, EDGES, HOLIDAY_OF, MODIFIERS, MONTHS, NAMED_ENDS, NAMED_STARTS, NAMED_TIMES, RELATIVE_DAYS,
+    BRANCH_VARIANTS, BRANCHES, DAY_GROUPS, DAY_PARTS, EDGES, HOLIDAY_OF, MODIFIERS, MONTHS, NAMED_ENDS, NAMED_STARTS, NAMED_TIMES, NOW_WORDS, RELATIVE_DAYS,
     STEMS, UNITS, WEEKDAYS, alternatives, lookup, sexagenary,
 )
 from kairoframe.functions.numerals import spelled_number
@@ -99,6 +99,8 @@ def fields(df: DataFrame, p: str, order: str = "DMY") -> DataFrame:
             f"{p}_unit": lookup(UNITS, take(x, rf"(?<![\p{{L}}])(tuần|tháng|năm) (?:{MODS})(?![\p{{L}}])")),
             f"{p}_unit_mod": lookup(MODIFIERS, take(x, rf"(?<![\p{{L}}])(?:tuần|tháng|năm) ({MODS})(?![\p{{L}}])")),
             f"{p}_more": F.when(x.rlike(rf"(?:{MODS}) nữa(?![\p{{L}}])"), 1).otherwise(0),
+            f"{p}_week_no": number(x, r"(?<![\p{L}])tuần (?:thứ )?(\d)(?: của)? tháng"),
+            f"{p}_quarter": number(x, r"(?<![\p{L}])quý ([1-4])(?!\d)"),
             f"{p}_edge": lookup(EDGES, take(x, r"(?<![\p{L}])(đầu|giữa|cuối) (?:tháng|năm)(?![\p{L}])")),
             f"{p}_edge_of": lookup(UNITS, take(x, r"(?<![\p{L}])(?:đầu|giữa|cuối) (tháng|năm)(?![\p{L}])")),
             f"{p}_group": lookup(DAY_GROUPS, found(x, DAY_GROUPS)),
@@ -142,6 +144,10 @@ def periods(p: str, today: Column, base: Column) -> Column:
     listed = lambda days: F.array_sort(F.transform(days, lambda d: span(d, F.date_add(d, 1))))
     calendar = dates.calendar_day(today, c("year"), c("month"), c("dom"))
     out = F.when(c("dom").isNotNull(), single(calendar)).when(F.size(c("dows")) > 0, listed(weekdays)).when(c("group").isNotNull(), listed(dates.group_days(today, c("group"), c("group_mod"))))
+    week_s, week_e = civil.week_of_month(month_start, c("week_no"))
+    quarter_s, quarter_e = civil.quarter(F.coalesce(F.make_date(c("year"), F.lit(1), F.lit(1)), today), c("quarter"))
+    past = F.when(c("year").isNull() & (quarter_e <= today), 12).otherwise(0)
+    out = out.when(c("week_no").isNotNull() & c("month").isNotNull(), one(week_s, week_e)).when(c("quarter").isNotNull(), one(F.add_months(quarter_s, past), F.add_months(quarter_e, past)))
     out = out.when(c("edge").isNotNull(), single(edge)).when(c("month").isNotNull(), one(month_start, month_end)).when(c("unit").isNotNull(), one(unit_start, unit_end))
     return out.when(c("rel").isNotNull(), single(F.date_add(today, c("rel"))))
 
@@ -265,7 +271,7 @@ def _one_off(rows: DataFrame, ref: Column, today: Column, zone: str | None) -> D
     now = F.array(F.struct(today.alias("s"), F.date_add(today, 1).alias("e")))
     days = F.coalesce("_p", now)
     anchored = F.when(clock, F.transform(days, timed)).when(F.col("_f_part").isNotNull(), F.transform(days, parted)).when(dated, F.transform(days, whole))
-    rows = rows.withColumn("_events", anchored)
+    rows = rows.withColumn("_events", F.when(F.col("_f").isin(NOW_WORDS), F.array(_occurrence(ref, none, nothing, F.lit(False)))).otherwise(anchored))
     sign = F.when(F.col("_dir") == "trước", -1.0).otherwise(1.0)
     zone_name = F.col(zone) if zone else None
     from_ = F.when(F.col("_rest").isNull(), ref).otherwise(F.get("_events", F.lit(0))["start"])

@@ -55,6 +55,11 @@ def test_all_occurrences_of_a_text(spark):
         "mỗi 2 tuần thứ ba, 2 lần": [(datetime(2026, 9, 22), None, None, True), (datetime(2026, 10, 6), None, None, True)],
         "trước 10h": [(datetime(2026, 9, 17), datetime(2026, 9, 17, 10), "start", False)],
         "29/2/2027": [(None, None, None, None)],
+        "tuần 2 tháng 3": [(datetime(2027, 3, 8), datetime(2027, 3, 15), None, True)],
+        "tuần 5 tháng 2": [(None, None, None, None)],
+        "quý 4": [(datetime(2026, 10, 1), datetime(2027, 1, 1), None, True)],
+        "quý 1": [(datetime(2027, 1, 1), datetime(2027, 4, 1), None, True)],
+        "bây giờ": [(datetime(2026, 9, 17, 9), None, None, False)],
         "": [(None, None, None, None)],
     }
     rows = spark.createDataFrame([(t, "clash") for t in [*wanted, None]], "text string, start_x string").withColumn("ref", F.lit("2026-09-17 09:00:00").cast("timestamp_ntz"))
