@@ -10,6 +10,7 @@ from kairoframe.operators import dates, evaluation, expressions, islands, recurr
 from . import generate
 from .catalog import FIRST_DAYS, QUERIES, SQL, SQL_BUCKET, SQL_FLAGS, SQL_KIND, SQL_TOKENS, first_days, order_days, query, table
 from .parse import parse_df
+from .texts import texts_df
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -356,3 +357,12 @@ def generated_phrases(spark, sf_dir):
     rows = generate.phrases(spark, 6000, F.lit("2026-09-17 09:00:00")).withColumnRenamed("start", "meant")
     found = parse_df(rows, "ref")
     return found.select("id", "family", "text", F.col("meant").alias("start"), F.col("start").eqNullSafe(F.col("meant")).alias("agrees"))
+
+
+@query(sql_generated().replace("range(6000)", "range(1200)").replace("SELECT id, family, ", "SELECT id // 2 AS id, ").replace(" AS text, ", " AS said, ").replace(", TRUE AS agrees", ""))
+def text_expressions(spark, sf_dir):
+    """Two generated phrases in each text, found again with their beginnings."""
+    one = generate.phrases(spark, 1200, F.lit("2026-09-17 09:00:00"))
+    said = one.groupBy(F.floor(F.col("id") / 2).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("n"), "text"))).alias("ts"), F.first("ref").alias("ref"))
+    rows = said.select("id", "ref", F.concat(F.lit("nhớ "), F.array_join("ts.text", ", hoặc "), F.lit(" nhé")).alias("text"))
+    return texts_df(rows, "id", "ref").select("id", "said", "start")

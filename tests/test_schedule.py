@@ -10,6 +10,7 @@ from kairoframe.operators import dates, schedule
 from kairoframe.plans import generate
 from kairoframe.plans.parse import parse_df
 from kairoframe.plans.phrases import occurrences_df
+from kairoframe.plans.texts import texts_df
 
 REF = "2026-09-17 09:00:00"  # a Thursday
 
@@ -98,3 +99,25 @@ def test_orders_of_numeric_dates(spark):
         occurrences_df(rows, "ref", named, order="YMD")
     with pytest.raises(ValueError):
         occurrences_df(rows, "ref", named, limit=0)
+
+
+def test_all_expressions_of_a_text_with_their_spans(spark):
+    texts = {
+        1: "🎉 họp 8h sáng mai, rồi ăn trưa lúc 12h thứ hai tuần sau nhé",
+        2: "không có gì",
+        3: None,
+        4: "",
+        5: "gọi lại hai tiếng nữa hoặc ngày mai, đừng 25h",
+        6: "hôm nay " * 40,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "id int, text string").withColumn("ref", F.lit(REF).cast("timestamp_ntz"))
+    got: dict = {}
+    for r in texts_df(rows, "id", "ref").orderBy("id", "seq").collect():
+        got.setdefault(r["id"], []).append(r)
+    said = {i: [(r["said"], r["start"], r["diagnostic"]) for r in rs] for i, rs in got.items()}
+    assert said[1] == [("8h sáng mai", datetime(2026, 9, 18, 8), None), ("lúc 12h thứ hai tuần sau", datetime(2026, 9, 21, 12), None)]
+    assert said[2] == said[3] == said[4] == [(None, None, "no-expression")]
+    assert said[5] == [("hai tiếng nữa", datetime(2026, 9, 17, 11), None), ("ngày mai", datetime(2026, 9, 18), None), ("25h", None, "invalid-time")]
+    assert len(got[6]) <= 30
+    cut = lambda t, r: t.encode("utf-16-le")[2 * r["span_start"] : 2 * r["span_end"]].decode("utf-16-le")
+    assert all(cut(texts[i], r).strip() == r["said"] for i in (1, 5) for r in got[i])
