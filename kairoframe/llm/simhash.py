@@ -48,6 +48,8 @@ CELL = 500
 BLOCK = 256
 #: Searches of the pipeline's stage: by parts of a text, and by the whole of it.
 PARTS, WHOLES = 18, 4
+#: The searches from this one on give the first candidates, which connect most of a large group of copies.
+FIRST = 14
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -346,22 +348,24 @@ def similar(docs: DataFrame, sets: DataFrame, words: int = 5, similarity: float
     A few changed words change many shingles, and with them more bits of a shingle fingerprint than
     can be searched for. So candidates come from several fingerprints of words (see `sketch`), each
     searched by anchor points within the threshold. Sizes and parities of the sets rule out candidates
-    that cannot be similar, and the similarity of the others is computed exactly. The first sets of
-    fingerprints are held against their own and each other; then all sets of one fingerprint, and of
-    two linked ones, that this has left apart (`beyond_first`). No link without the similarity; what is
-    missed are pairs that no fingerprint brings within the threshold.
+    that cannot be similar, and the similarity of the others is computed exactly. First, in some of the
+    searches, the first set of each fingerprint is held against the others of it and against the first of
+    the least fingerprint nearby: as many pairs as there are sets. Then, in all, the first sets of all
+    linked fingerprints and of their own, and all sets of one fingerprint and of two linked ones
+    (`beyond_first`), where this has left them apart. No link without the similarity; what is missed are
+    pairs that no fingerprint brings within the threshold.
     """
     rows = sets.select("key", F.posexplode("fingerprints").alias("search", "fingerprint"))
     values = materialise(rows.groupBy("search", "fingerprint").agg(F.min("key").alias("least")), "values")
     linked = materialise(links(values, threshold, star=False, blocks=SHORT), "fingerprint-links")
-    near = linked.join(values.toDF("search", "a", "key_a"), ["search", "a"]).join(values.toDF("search", "b", "key_b"), ["search", "b"]).select("key_a", "key_b")
-    same = rows.join(values, ["search", "fingerprint"]).where("key <> least").select(F.col("least").alias("key_a"), F.col("key").alias("key_b"))
-    candidates = near.union(same).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
-    candidates = materialise(candidates.where("a <> b").distinct(), "found")
+    ordered = lambda df: df.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).where("a <> b").distinct()
+    named = lambda pairs: pairs.join(values.toDF("search", "a", "key_a"), ["search", "a"]).join(values.toDF("search", "b", "key_b"), ["search", "b"]).select("key_a", "key_b")
+    same = rows.join(values, ["search", "fingerprint"]).where("key <> least").select("search", F.col("least").alias("key_a"), F.col("key").alias("key_b"))
+    either = linked.select("search", "a", "b").union(linked.select("search", F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("search") >= FIRST)
+    nearest = either.groupBy("search", "a").agg(F.min("b").alias("b")).where("b < a")
+    candidates = materialise(ordered(named(nearest).union(same.where(F.col("search") >= FIRST).select("key_a", "key_b"))), "found")
     # the common part is the smaller set at most, and similar sets differ in few elements
     set_a, set_b = (sets.select(F.col("key").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
-    sized = candidates.join(set_a, "a").join(set_b, "b")
-    sized = sized.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b"))
     most = (1 - similarity) / (1 + similarity)
 
     def close(frames):
@@ -369,24 +373,31 @@ def similar(docs: DataFrame, sets: DataFrame, words: int = 5, similarity: float
             apart = np.array([least_apart(x, y) for x, y in zip(frame["parity_a"], frame["parity_b"], strict=True)], np.int64)
             yield frame.loc[apart <= most * (frame["size_a"] + frame["size_b"]) + 1e-6, ["a", "b"]]
 
-    near = sized.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInPandas(close, "a binary, b binary")
-    near = materialise(near.distinct(), "candidates")
+    def bounded(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(set_a, "a").join(set_b, "b").where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b"))
+        return sized.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInPandas(close, "a binary, b binary")
+
+    near = materialise(bounded(candidates), "candidates")
     first = materialise(verify(docs, sets, near, words, similarity), "first-links")
-    more = materialise(beyond_first(sets, linked, first, similarity).join(candidates, ["a", "b"], "left_anti"), "candidates")
+    labels = materialise(connected_components(first, "first-groups").toDF("key", "label"), "first-labels")
+    label_a, label_b = (labels.select(F.col("key").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    rest = ordered(named(linked).union(same.select("key_a", "key_b"))).join(label_a, "a", "left").join(label_b, "b", "left")
+    rest = rest.where(~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))).select("a", "b")
+    more = bounded(rest.join(candidates, ["a", "b"], "left_anti")).union(beyond_first(sets, linked, labels, similarity).join(candidates, ["a", "b"], "left_anti"))
+    more = materialise(more.distinct(), "candidates")
     found = materialise(first.union(verify(docs, sets, more, words, similarity)), "similar-links")
-    release(values, linked, candidates, near, first, more)
+    release(values, linked, candidates, near, first, labels, more)
     return found
 
 
-def beyond_first(sets: DataFrame, linked: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one fingerprint or of two linked ones that `first` leaves apart and that may be similar.
+def beyond_first(sets: DataFrame, linked: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one fingerprint or of two linked ones that labels (key, label) leave apart and that may be similar.
 
     Similarity isn't transitive, so a first set that is similar to neither says nothing of two others.
     The sets of a fingerprint are cut into blocks of bounded expected size, and a task holds one block
     against another; where all have one component already, none are sent.
     """
-    joined = connected_components(first, "first-groups").toDF("key", "label")
-    rows = sets.join(joined, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     rows = rows.select("key", "label", "size", "parity", F.posexplode("fingerprints").alias("search", "fingerprint"))
     place = ["search", "fingerprint"]
     groups = materialise(rows.groupBy(place).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")), "groups")
