@@ -254,6 +254,13 @@ def test_readers_and_the_manifest(spark, tmp_path):
     assert [tuple(r) for r in files.read_sentences(spark, str(tmp_path / "s.tsv.bz2"), "vie").collect()] == [(1, "vie", 'Một "câu')]
     out = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "text string, family string")
     manifest = files.write_corpus(out, str(tmp_path / "corpus"), "family")
+    told = files.write_corpus(out.withColumn("sign", F.lit("s")), str(tmp_path / "signed"), "family", "sign")
+    assert {r["family"]: (r["count"], r["signatures"]) for r in told.collect()} == {"x": (2, 1), "y": (1, 1)}
+    shards = spark.createDataFrame([(1, 32), (2, 64), (3, 128)], "n int, bucket int")
+    files.append_features(shards, str(tmp_path / "shards"))
+    files.append_features(shards.limit(1), str(tmp_path / "shards"))
+    read = files.scan_features(spark, str(tmp_path / "shards"), 64)
+    assert sorted(r["n"] for r in read.collect()) == [1, 1, 2]
     assert {r["family"]: r["count"] for r in manifest.collect()} == {"x": 2, "y": 1} and spark.read.json(str(tmp_path / "corpus")).count() == 3
 
 
