@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, lines, packing, quality, simhash, urls, vectors, warc
+from . import bpe, collocations, exact, langid, lines, mixing, packing, quality, simhash, urls, vectors, warc, whitening
 from .common import small_batches
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -148,6 +148,72 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM cut, range(1, 6) sizes(m) WHERE len(w) >= m),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+parts AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+inner_ AS (SELECT lang, f, m, unnest(list_transform(range(2, m), lambda size: list_transform(range(1, m - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' ')))) AS inside FROM parts WHERE m > 2),
+gone AS (SELECT DISTINCT f.lang, f.phrase FROM (SELECT lang, f, unnest(inside) AS phrase FROM inner_) longer JOIN f USING (lang, phrase) WHERE 100 * longer.f >= 100 * f.f),
+cuts AS (SELECT lang, phrase, f AS a, w, m, unnest(range(1, m)) AS k FROM parts ANTI JOIN gone USING (lang, phrase)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, h.f AS l, t.f AS r, n, ((1000::HUGEINT * c.a * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(w[1:k], ' ') JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(w[k + 1:c.m], ' ') JOIN total ON total.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+WITH doc AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS drawn FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM doc GROUP BY source),
+weighed AS (SELECT *, [1, 2, 3][(place - 1) % 3 + 1] AS weight, sum(source_size) OVER ()::BIGINT AS total FROM by_source),
+ratio AS (SELECT *, 3 * source_size / weight AS ratio FROM weighed),
+filled AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM ratio WINDOW w AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (SELECT *, least((3 * source_size)::DOUBLE, (max(level) FILTER (ratio >= level) OVER ()) * weight) AS target FROM filled),
+sized AS (SELECT *, greatest(1, least(1024, coalesce(floor(min(target) FILTER (target > 0) OVER () / 256), 1)))::BIGINT AS block FROM goal),
+seated AS (SELECT *, round(total / block)::BIGINT AS seats, greatest(1, ceil(source_size / 4194304))::BIGINT AS shards FROM sized),
+offered AS (SELECT place, seats, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, place, seat) AS nth FROM (SELECT *, unnest(range(1, seats + 1)) AS seat FROM seated WHERE target > 0)),
+won AS (SELECT place, count(*) AS quota FROM offered WHERE nth <= seats GROUP BY place),
+sharded AS (SELECT d.*, s.place, s.source_size, s.target, s.block, coalesce(won.quota, 0) AS source_quota, drawn % shards AS shard
+  FROM doc d JOIN seated s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN won USING (place)),
+shard AS (SELECT place, shard, sum(size)::BIGINT AS words, any_value(block) AS block, any_value(source_quota) AS source_quota FROM sharded GROUP BY place, shard),
+shard_offered AS (SELECT place, shard, source_quota, row_number() OVER (PARTITION BY place ORDER BY words / (2 * seat - 1) DESC, shard, seat) AS nth
+  FROM (SELECT *, unnest(range(1, source_quota + 1)) AS seat FROM shard WHERE words > 0)),
+shard_won AS (SELECT place, shard, count(*) AS quota FROM shard_offered WHERE nth <= source_quota GROUP BY place, shard),
+wanted AS (SELECT s.*, coalesce(quota, 0) * block AS wanted FROM shard s LEFT JOIN shard_won USING (place, shard)),
+rounds AS (SELECT *, CASE WHEN words > 0 THEN least(3, wanted // words) ELSE 0 END AS rounds, words // block AS blocks FROM wanted),
+rest AS (SELECT *, CASE WHEN rounds < 3 THEN wanted - rounds * words ELSE 0 END AS rest FROM rounds),
+picked AS (SELECT *, least(blocks, rest // block) AS picked FROM rest),
+ready AS (SELECT *, least(words - blocks * block, rest - picked * block) AS short,
+    CASE WHEN blocks > 0 THEN ('0x' || substr(md5('mix|' || place || '|' || shard), 1, 8))::BIGINT % blocks ELSE 0 END AS start FROM picked),
+block_ AS (SELECT place, shard, k * block AS b, (k + 1) * block AS e FROM (SELECT *, unnest(range(0, blocks)) AS k FROM ready) WHERE ((k + 1) * picked + start) // blocks > (k * picked + start) // blocks
+  UNION ALL SELECT place, shard, blocks * block, blocks * block + short FROM ready WHERE short > 0),
+laid AS (SELECT *, row_number() OVER () AS row, sum(size) OVER (PARTITION BY place, shard ORDER BY drawn, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS first FROM sharded),
+part AS (SELECT row, sum(least(e, laid.first + size) - greatest(b, laid.first)) AS words FROM laid JOIN block_ USING (place, shard) WHERE e > laid.first AND b < laid.first + size GROUP BY row)
+SELECT doc_id, size, source_size, target, (rounds * size + coalesce(part.words, 0))::BIGINT AS taken
+FROM laid JOIN ready USING (place, shard) LEFT JOIN part USING (row)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -156,7 +222,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_exact_dedup, op3_packing, op4_simhash, op5_url_filter, op6_revisits, op7_language, op8_line_dedup, op9_vectors, op10_byte_bpe]
+    found = [op1_quality, op2_exact_dedup, op3_packing, op4_simhash, op5_url_filter, op6_revisits, op7_language, op8_line_dedup, op9_vectors, op10_byte_bpe, op11_collocations, op12_source_mix, op13_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -175,4 +241,4 @@ FROM v JOIN k ON k.id = v.vec_id LEFT JOIN d ON d.a = v.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_revisits": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_vectors": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_revisits": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_vectors": OP9_SQL, "op11_collocations": OP11_SQL, "op12_source_mix": OP12_SQL}
