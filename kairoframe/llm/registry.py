@@ -120,19 +120,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-line AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM split),
-bare AS (SELECT doc_id, pos, trim(l, ' ' || chr(9) || chr(13)) AS l FROM line),
-win AS (SELECT doc_id, pos, l || chr(10) || lead(l, 1) OVER w || chr(10) || lead(l, 2) OVER w AS passage FROM bare WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-good AS (SELECT doc_id, pos, md5(passage) AS h FROM win WHERE passage IS NOT NULL AND length(passage) > 2),
-firsts AS (SELECT h, min({'d': doc_id, 'p': pos}) AS f FROM good GROUP BY h HAVING count(*) > 1),
-later AS (SELECT g.doc_id, CASE WHEN g.doc_id = f.d THEN greatest(g.pos, f.p + 3) ELSE g.pos END AS b, g.pos + 2 AS e
-  FROM good g JOIN firsts USING (h) WHERE g.doc_id <> f.d OR g.pos <> f.p),
-gone AS (SELECT DISTINCT doc_id, unnest(range(b, e + 1)) AS pos FROM later WHERE b <= e),
-kept AS (SELECT line.doc_id, string_agg(l, chr(10) ORDER BY pos) AS t FROM line ANTI JOIN gone USING (doc_id, pos) GROUP BY line.doc_id),
-lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS text_sha256
-FROM split s LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+WITH split AS (SELECT doc_id, md5(text) AS own, row_number() OVER () AS row, string_split(text, chr(10)) AS ls FROM documents),
+line AS (SELECT row, doc_id, own, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM split),
+bare AS (SELECT row, doc_id, own, pos, trim(l, ' ' || chr(9) || chr(13)) AS l FROM line),
+win AS (SELECT doc_id, own, pos, l || chr(10) || lead(l, 1) OVER w || chr(10) || lead(l, 2) OVER w AS passage FROM bare WINDOW w AS (PARTITION BY row ORDER BY pos)),
+good AS (SELECT doc_id, own, pos, md5(passage) AS h FROM win WHERE passage IS NOT NULL AND length(passage) > 2 AND doc_id IS NOT NULL),
+firsts AS (SELECT h, min({'d': doc_id, 'o': own, 'p': pos}) AS f FROM good GROUP BY h HAVING count(*) > 1),
+later AS (SELECT g.doc_id, g.own, CASE WHEN g.doc_id = f.d AND g.own = f.o THEN greatest(g.pos, f.p + 3) ELSE g.pos END AS b, g.pos + 2 AS e
+  FROM good g JOIN firsts USING (h) WHERE g.doc_id <> f.d OR g.own <> f.o OR g.pos <> f.p),
+gone AS (SELECT DISTINCT doc_id, own, unnest(range(b, e + 1)) AS pos FROM later WHERE b <= e),
+kept AS (SELECT line.row, string_agg(l, chr(10) ORDER BY pos) AS t FROM line ANTI JOIN gone USING (doc_id, own, pos) GROUP BY line.row),
+lost AS (SELECT doc_id, own, count(*) AS n FROM gone GROUP BY ALL)
+SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, CASE WHEN ls IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
+FROM split s LEFT JOIN kept USING (row) LEFT JOIN lost ON lost.doc_id = s.doc_id AND lost.own = s.own
 """
 
 

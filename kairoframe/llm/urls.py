@@ -3,6 +3,9 @@
 Everything is DataFrame expressions and Spark's own boosted trees. The features of a URL are lengths,
 depth, digit ratio, entropy of its characters, counts of parameters, hyphens and dots, and statistics
 of its host's suffixes: how frequent they are, and how often they are blocked among labelled URLs.
+Hosts are dealt to folds by hash, and a labelled URL gets the shares of the other folds, so neither its
+own label nor its host's is in them; URLs without a label get those of all. The rarer class weighs as
+much as the other when trees are grown.
 
 A rule is a host with a path prefix; it fits the host and all subdomains where the URL's path starts
 with the prefix, and the longest that fits decides. URLs that rules decide are the labelled ones when
@@ -26,6 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LEXICAL = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "dots", "longest_label"]
 SUFFIXES = ["suffix_1", "suffix_2"]
+FOLDS = 5
 
 
 def host(url: Column) -> Column:
@@ -72,23 +76,26 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(urls: DataFrame) -> DataFrame:
-    """Append, for each suffix, the log of its rows and its smoothed share of blocks among the others' labels (column `label`).
+def suffix_statistics(urls: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Append, for each suffix, the log of its rows and its smoothed share of blocks (column `label`).
 
-    A URL's own label doesn't count in its share, so that training never sees the answer. All is
-    counted by host first, which the suffixes' statistics are joined to, and only then by URL.
+    A labelled URL's share counts the hosts of other folds alone, so all labelled URLs of a fold and
+    suffix have the same; a URL without a label has that of all hosts. All is counted by host first,
+    which the suffixes' statistics are joined to, and only then by URL.
     """
     own = F.coalesce("label", F.lit(0.0))
     hosts = urls.groupBy("host", *SUFFIXES).agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.sum(own).alias("blocked"))
-    hosts = materialise(hosts, "hosts")
+    hosts = materialise(hosts.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(folds))), "hosts")
     for name in SUFFIXES:
-        stats = hosts.groupBy(name).agg(*[F.sum(c).alias(f"{name}_{c}") for c in ("rows", "labelled", "blocked")])
-        hosts = hosts.join(materialise(stats, name), name)
-    hosts = hosts.select("host", *[f"{name}_{c}" for name in SUFFIXES for c in ("rows", "labelled", "blocked")])
+        parts = hosts.groupBy(name, "fold").agg(*[F.sum(c).alias(f"{name}_{c}_fold") for c in ("labelled", "blocked")], F.sum("rows").alias(f"{name}_rows"))
+        parts = materialise(parts, name)
+        whole = parts.groupBy(name).agg(F.sum(f"{name}_rows").alias(f"{name}_rows"), *[F.sum(f"{name}_{c}_fold").alias(f"{name}_{c}") for c in ("labelled", "blocked")])
+        hosts = hosts.join(parts.drop(f"{name}_rows"), [name, "fold"]).join(materialise(whole, name), name)
+    hosts = hosts.select("host", *[f"{name}_{c}" for name in SUFFIXES for c in ("rows", "labelled", "blocked", "labelled_fold", "blocked_fold")])
     urls = urls.join(hosts, "host")
     for name in SUFFIXES:
-        others = F.col(f"{name}_labelled") - F.col("label").isNotNull().cast("int")
-        urls = urls.withColumn(f"{name}_blocked", (F.col(f"{name}_blocked") - own + 1) / (others + 2)).withColumn(f"{name}_rows", F.log1p(f"{name}_rows"))
+        among = lambda c: F.col(f"{name}_{c}") - F.when(F.col("label").isNotNull(), F.col(f"{name}_{c}_fold")).otherwise(0)  # noqa: B023, E731
+        urls = urls.withColumn(f"{name}_blocked", (among("blocked") + 1) / (among("labelled") + 2)).withColumn(f"{name}_rows", F.log1p(f"{name}_rows"))
     return urls
 
 
@@ -118,8 +125,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
     else:
         part = F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 20)) < F.lit((sample << 20) / total)
         assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-        learner = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1)
-        model = learner.fit(assemble.transform(rows.where("label is not null").where(part)).select("features", "label"))
+        learner = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=1)
+        weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
+        model = learner.fit(assemble.transform(rows.where("label is not null").where(part)).select("features", "label", weight.alias("weight")))
         scored = model.transform(assemble.transform(judged)).withColumn("score", vector_to_array("probability")[1])
     learned = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")

@@ -363,6 +363,14 @@ def test_line_dedup_keeps_first_occurrences(spark):
     assert got == {0: "a\nb\nc\nd", 1: "x\ny", 2: None, 3: "", 4: "q\nq\nq", 5: "\n\n\n\n"}
 
 
+def test_line_dedup_tells_texts_under_one_id_apart(spark):
+    texts = [(1, "p\nq\nr\nown"), (2, "unique one\nunique two\nunique three\nunique four"), (2, "a\np\nq\nr"), (2, "a\np\nq\nr"), (3, "own\nx\ny\nz"), (3, "x\ny\nz\nown"), (None, "p\nq\nr"), (4, "line\n" * 50_000)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.drop_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    first, second = sorted(["own\nx\ny\nz", "x\ny\nz\nown"], key=lambda t: hashlib.md5(t.encode()).digest())
+    wanted = [(0, "p\nq\nr"), (1, "p\nq\nr\nown"), (2, "unique one\nunique two\nunique three\nunique four"), (2, "a"), (2, "a"), (3, first), (3, "own"), (4, "line\nline\nline\n")]
+    assert got == sorted(wanted)
+
+
 def test_revisits(spark):
     schema = "record_id long, uri string, ts long, status int, headers map<string,string>, body string"
     data = [
@@ -485,12 +493,38 @@ def test_url_features_by_hand(spark):
         assert {k: pytest.approx(v, abs=1e-9) for k, v in wanted.items()} == {k: r[k] for k in wanted}, r["url"]
 
 
-def test_url_shares_leave_the_own_label_out(spark):
-    rows = [("a.com", "com", "a.com", 1.0), ("a.com", "com", "a.com", 0.0), ("b.com", "com", "b.com", None), ("c.org", "org", "c.org", 1.0)]
-    got = urls.suffix_statistics(spark.createDataFrame(rows, "host string, suffix_1 string, suffix_2 string, label double")).collect()
-    shares = {(r["host"], r["label"]): (r["suffix_1_blocked"], r["suffix_2_blocked"], r["suffix_1_rows"]) for r in got}
-    assert shares[("a.com", 1.0)] == (pytest.approx(1 / 3), pytest.approx(1 / 3), pytest.approx(np.log(4)))
-    assert shares[("b.com", None)][:2] == (pytest.approx(1 / 2), pytest.approx(1 / 2)) and shares[("c.org", 1.0)][0] == pytest.approx(1 / 2)
+def test_url_shares_leave_the_own_fold_out(spark):
+    schema = "host string, suffix_1 string, suffix_2 string, label double"
+    rows = [(f"h{i % 30}.com", "com", f"h{i % 30}.com", [1.0, 0.0, None][i % 7 % 3]) for i in range(200)] + [("c.org", "org", "c.org", 1.0)]
+    fold = {r["host"]: r["fold"] for r in spark.createDataFrame(rows, schema).selectExpr("host", f"pmod(xxhash64('fold', host), {urls.FOLDS}) fold").collect()}
+    for turned in (rows, [(*r[:3], None if r[3] is None else 1 - r[3]) if i == 1 else r for i, r in enumerate(rows)]):
+        for r in urls.suffix_statistics(spark.createDataFrame(turned, schema)).collect():
+            seen = [x[3] for x in turned if x[1] == r["suffix_1"] and x[3] is not None and (r["label"] is None or fold[x[0]] != fold[r["host"]])]
+            assert r["suffix_1_blocked"] == pytest.approx((sum(seen) + 1) / (len(seen) + 2))
+            assert r["suffix_1_rows"] == pytest.approx(np.log1p(sum(x[1] == r["suffix_1"] for x in turned)))
+
+
+def area(scored):
+    """The chance that a row of label 1 scores above one of label 0, ties counting half."""
+    ones, zeros = [s for s, y in scored if y], [s for s, y in scored if not y]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+def test_hosts_held_out_are_told_apart(spark):
+    rng = random.Random(8)
+
+    def url(kind, host):
+        if kind:
+            return f"http://{host}.{rng.choice(['biz', 'biz', 'com'])}/" + "".join(rng.choice("0123456789abc-") for _ in range(rng.randrange(10, 40))) + "?a=1&b=2"[: rng.choice([0, 4, 8])]
+        return f"http://{host}.{rng.choice(['org', 'org', 'com'])}/" + "/".join(rng.choice(["news", "about", "team", "2024"]) for _ in range(rng.randrange(1, 5)))
+
+    data = [(i, i % 10 < 9, f"host{i % 40}") for i in range(600)]
+    data = [(i, kind, url(kind, host), i % 40 < 30) for i, kind, host in data]
+    labelled = spark.createDataFrame([(u, float(k)) for _, k, u, known in data if known], "url string, label double")
+    pages = spark.createDataFrame([(i, u) for i, _, u, known in data if not known], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages, [], labelled).collect()}
+    assert area([(got[i]["score"], k) for i, k, _, known in data if not known]) > 0.95
+    assert len({r["score"] for r in got.values()}) > 10 and {r["verdict"] for r in got.values()} == {"allow", "block"}
 
 
 def test_trees_learn_and_judge_urls(spark):
