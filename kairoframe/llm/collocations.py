@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import materialise, plain
 
 #: Words of a shard.
-SHARD = 1 << 20
+SHARD = 1 << 19
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
