@@ -6,9 +6,11 @@ candidate.
 
 1. Texts are encoded into shards of about `SHARD` words of one language: the distinct words, and their
    numbers in order with zeros between pieces. They are written once; all later passes read them.
-2. A phrase can only occur `least` times if each of its neighbouring pairs does. Pairs are counted by
-   hash over all shards (a collision lets a pair through, never keeps one out), and each shard gets
-   back the pairs of its own that passed, by a join; nothing that grows with the corpus is broadcast.
+2. A phrase can only occur `least` times if its words and its neighbouring pairs do. Words are counted;
+   a bitmap of fixed size (`SLOTS` bits, whatever the corpus) of the hashes of those that pass is sent to
+   all tasks. Pairs of such words are counted by hash over all shards in one exchange, and each shard
+   gets back the pairs of its own that passed. A collision lets a word or pair through, never keeps one
+   out; a corpus with very many words fills the bitmap, which then spares less work.
 3. In a shard the longest stretches of passing pairs, each distinct one once with how often it occurs,
    go into a generalised suffix automaton. A state stands for the substrings that end at the same
    places; their number is summed along the suffix links from the longest state down. A state gives its
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, plain
 
-#: Words of a shard.
-SHARD = 1 << 19
+#: Words of a shard; bits of the words' bitmap.
+SHARD, SLOTS = 1 << 19, 1 << 24
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -117,34 +119,58 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(names)), pa.array(names, pa.string()), pa.array(n.astype(np.int64))], names=["lang", "phrase", "f"])
 
 
-def pair_hashes(lang: str, known: list[str], first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64 bits for each pair of word numbers (from 1), by language and words alone."""
+def word_hashes(lang: str, known: list[str]) -> np.ndarray:
+    """64 bits for each word number (from 1; none is 0)."""
     seed = xxhash.xxh3_64_intdigest(lang)
-    own = np.array([0] + [xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64)
-    mixed = own[first] * np.uint64(0x9E3779B97F4A7C15) + own[second]
+    return np.array([0] + [xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64)
+
+
+def pair_hashes(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of word numbers, by the words' hashes alone."""
+    mixed = own[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + own[pairs & 0xFFFFFFFF]
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
 
+def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bitmap of the hashes of (lang, phrase)."""
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for batch in batches:
+        for lang, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            slot = int(word_hashes(lang, [name])[1]) % SLOTS
+            bits[slot >> 3] |= 1 << (slot & 7)
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], names=["bits"])
+
+
 def pairs_of(sequence: np.ndarray) -> np.ndarray:
     """For each place its word and the next as one number, zero where there is no pair."""
     here, after = sequence[:-1].astype(np.int64), sequence[1:].astype(np.int64)
     return np.where((here > 0) & (after > 0), here << 32 | after, 0)
 
 
-def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, pair, times) of each distinct pair of a shard."""
-    for batch in batches:
-        for shard, lang, known, sequence in zip(*batch.columns, strict=True):
-            found, times = np.unique(pairs_of(np.frombuffer(sequence.as_py(), np.int32)), return_counts=True)
-            found, times = found[found > 0], times[found > 0]
-            hashes = pair_hashes(lang.as_py(), vocabulary(known.as_py()), found >> 32, found & 0xFFFFFFFF)
-            for at in range(0, len(hashes), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(shard, len(hashes[part])), pa.array(hashes[part]), pa.array(times[part].astype(np.int32))], names=["shard", "pair", "times"]
-                )
+def pair_counts(common):
+    """(shard, pair, times) of each distinct pair of a shard whose words are in the broadcast bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(common.value, np.uint8)
+        for batch in batches:
+            for shard, lang, known, sequence in zip(*batch.columns, strict=True):
+                own = word_hashes(lang.as_py(), vocabulary(known.as_py()))
+                slot = (own % np.uint64(SLOTS)).astype(np.int64)
+                passes = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+                passes[0] = 0
+                numbers = np.frombuffer(sequence.as_py(), np.int32)
+                found, times = np.unique(pairs_of(np.where(passes[numbers], numbers, 0)), return_counts=True)
+                found, times = found[found > 0], times[found > 0]
+                hashes = pair_hashes(own, found)
+                for at in range(0, len(hashes), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(shard, len(hashes[part])), pa.array(hashes[part]), pa.array(times[part].astype(np.int32))], names=["shard", "pair", "times"]
+                    )
+
+    return run
 
 
 class SuffixAutomaton:
@@ -211,7 +237,7 @@ def phrase_counts(longest: int):
                 names, numbers = vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32)
                 pairs = pairs_of(numbers)
                 distinct, which = np.unique(pairs, return_inverse=True)
-                hashes = pair_hashes(lang.as_py(), names, distinct >> 32, distinct & 0xFFFFFFFF)
+                hashes = pair_hashes(word_hashes(lang.as_py(), names), distinct)
                 passes = (np.isin(hashes, np.asarray(passing.values)) & (distinct > 0))[which]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], passes.astype(np.int8), [0]])))
                 stretches: dict[bytes, int] = {}
@@ -240,10 +266,12 @@ def counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFr
     totals = materialise(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     table = "lang string, phrase string, f long"
     single = shards.select("lang", "vocabulary", "counts").mapInArrow(word_counts, table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    pairs = shards.select("shard", "lang", "vocabulary", "sequence").mapInArrow(pair_counts, "shard long, pair long, times int")
-    pairs = materialise(pairs, "pairs")
-    passing = materialise(pairs.groupBy("pair").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("pair"), "passing")
-    own = materialise(pairs.join(passing, "pair", "left_semi").groupBy("shard").agg(F.collect_list("pair").alias("pairs")), "own-pairs")
+    single = materialise(single, "words")
+    bits = [r["bits"] for r in single.select("lang", "phrase").repartition(16).mapInArrow(bitmap, "bits binary").collect()]
+    common = docs.sparkSession.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits]).tobytes() if bits else bytes(SLOTS // 8))
+    pairs = shards.select("shard", "lang", "vocabulary", "sequence").mapInArrow(pair_counts(common), "shard long, pair long, times int")
+    pairs = pairs.withColumn("everywhere", F.sum("times").over(Window.partitionBy("pair"))).where(F.col("everywhere") >= least)
+    own = materialise(pairs.groupBy("shard").agg(F.collect_list("pair").alias("pairs")), "own-pairs")
     held = shards.join(own, "shard").select("lang", "vocabulary", "sequence", "pairs")
     several = held.mapInArrow(phrase_counts(longest), table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return materialise(single.union(several), "phrases"), totals
