@@ -1,38 +1,85 @@
-"""Spans of a text that patterns claim: ordered patterns, of which an earlier one keeps what it has."""
+"""What a preview marks in a text: the neighbours among its labelled tokens that are of one kind."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, running, units
-
-SPANS = "array<struct<start:int,end:int,kind:string>>"
-_CLOCK = r"(?:\d{1,2}\s*(?:giờ|h|:)\s*(?:\d{1,2}|rưỡi)?)(?:\s*(?:sáng|trưa|chiều|tối|đêm))?"
-_END = r"(?![\p{L}\d])"
-#: What a preview marks, in order of claim: repetitions, lengths, clocks, days.
-KINDS = [
-    ("repeat", rf"(?<![\p{{L}}])(?:mỗi|hàng|hằng)\s+[\p{{L}}\d]+(?:\s+(?:hai|ba|tư|năm|sáu|bảy|nhật)){{0,1}}{_END}|\d+\s+lần{_END}|trừ\s+[\p{{L}}\d]+"),
-    ("duration", rf"(?:trong(?: vòng)?|kéo dài|suốt)\s+[\p{{L}}\d]+\s*(?:tiếng|giờ|phút|ngày|tuần|tháng)(?:\s+rưỡi)?{_END}"),
-    ("time", rf"(?:từ\s+)?{_CLOCK}\s*(?:-|–|đến|tới)\s*{_CLOCK}|(?:lúc\s+)?{_CLOCK}|(?:nửa đêm|giữa trưa|buổi (?:sáng|trưa|chiều|tối)){_END}"),
-    ("date", rf"(?:thứ (?:hai|ba|tư|năm|sáu|bảy)|chủ nhật|t[2-7]|cn)(?:\s+(?:tuần\s+)?(?:sau|tới|này|trước))?{_END}|\d{{1,2}}/\d{{1,2}}(?:/\d{{4}})?|ngày\s+\d{{1,2}}(?:\s+tháng\s+\d{{1,2}}(?:\s+năm\s+\d{{4}})?)?"),
-    ("date", rf"(?:hôm nay|ngày mai|ngày kia|ngày mốt|hôm qua|hôm kia|mai|mốt){_END}|(?:tuần|tháng|năm)\s+(?:sau|tới|này|trước|ngoái|nay){_END}|cuối tuần{_END}"),
-]
-
-
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """The spans of a pattern's matches, in UTF-16 units: the text is cut at them, and lengths are summed."""
-    found = F.regexp_extract_all(text, F.lit(f"(?i)(?<![\\p{{L}}\\d])(?:{pattern})"), F.lit(0))
-    between = F.split(text, f"(?i)(?<![\\p{{L}}\\d])(?:{pattern})", -1)
-    sizes = lambda fs, bs: F.flatten(F.transform(bs, lambda b, i: F.array(units(b), F.coalesce(units(F.get(fs, i)), F.lit(0)))))
-    at = lambda ss: F.transform(found, lambda f, i: F.struct(F.get(ss, 2 * i + 1).alias("start"), (F.get(ss, 2 * i + 1) + units(f)).alias("end"), F.lit(kind).alias("kind")))
-    return let(running(sizes(found, between)), at)
-
-
-def highlight(text: Column, kinds: list[tuple[str, str]] = KINDS) -> Column:
-    """The spans (start, end, kind) that the patterns claim, in order of the text; what an earlier pattern has a later one leaves whole."""
-    claims = F.expr(f"cast(array() as {SPANS})")
-    for kind, pattern in kinds:
-        new = matches(text, pattern, kind)
-        claims = let(F.struct(claims.alias("old"), new.alias("new")), lambda x: F.concat(x["old"], F.filter(x["new"], lambda n: ~F.exists(x["old"], lambda o: (n["start"] < o["end"]) & (n["end"] > o["start"])))))
-    return F.when(text.isNotNull(), F.array_sort(claims))
+from kairoframe.operators.expressions import positions, spoken
+
+from .labels import LABELS
+from .text import key, let
+
+#: Kinds by the labels that decide them; a run has the first kind that any of its tokens has, in this order.
+KINDS = {
+    "repeat": ["RECUR", "FREQ", "TIMES", "COUNT", "EXCEPT", "BOUND_START", "BOUND_END"],
+    "duration": ["DUR"],
+    "shift": ["DIR_BEFORE", "DIR_AFTER"],
+    "time": ["HOUR", "MINUTE", "SECOND", "MERIDIEM", "TIME_NAMED", "DAYPART", "CLOCK_OFFSET"],
+    "date": ["NOW", "REL_DAY", "DEICTIC", "WEEKDAY", "DAYGROUP", "MONTH", "DOM", "YEAR", "HOLIDAY", "EDGE", "LUNAR", "ORD"],
+}
+#: A word that a time takes with it.
+AT = "lúc"
+#: Joining words of days.
+DAY_WORDS = ["ngày", "tháng", "năm", "lễ"]
+
+
+def codes(kind: str) -> list[int]:
+    return [LABELS.index(name) for name in KINDS[kind]]
+
+
+def runs(tokens: Column, begins, lasts) -> Column:
+    """(start, end) from each token that begins something to the next one that ends it; both conditions take the tokens and a place."""
+    return let(spoken(tokens), lambda ts: let(F.struct(positions(ts, lambda t, i: begins(ts, i)).alias("a"), positions(ts, lambda t, i: lasts(ts, i)).alias("b")), lambda p: F.transform(p["a"], lambda a, k: F.struct(
+        F.get(ts, a)["start"].alias("start"), F.get(ts, F.get(p["b"], k))["end"].alias("end"), F.slice(ts, a + 1, F.get(p["b"], k) - a + 1).alias("tokens")
+    ))))
+
+
+def at(ts: Column, i: Column) -> Column:
+    return F.when(i >= 0, F.get(ts, i))
+
+
+def says(ts: Column, i: Column) -> Column:
+    """Is a token labelled as more than a joining word, or an "at" before such a one?"""
+    labelled = lambda t: F.coalesce(~t["label"].isin(0, LABELS.index("JOIN")), F.lit(False))
+    return labelled(at(ts, i)) | (F.coalesce(key(at(ts, i)["text"]) == AT, F.lit(False)) & labelled(at(ts, i + 1)))
+
+
+def neighbours(tokens: Column) -> Column:
+    """(start, end, tokens) of the longest rows of labelled tokens with nothing but spaces between them."""
+    return runs(tokens, lambda ts, i: says(ts, i) & ~says(ts, i - 1), lambda ts, i: says(ts, i) & ~says(ts, i + 1))
+
+
+def clocked(ts: Column, i: Column) -> Column:
+    """Does a token belong to a clock: by its label, as a joining word inside one, or as what leads to one?"""
+    label = lambda j: at(ts, j)["label"]
+    clock = lambda j: F.coalesce(label(j).isin(*codes("time")), F.lit(False))
+    inside = (label(i) == LABELS.index("GLUE")) & ~key(at(ts, i)["text"]).isin(DAY_WORDS) & clock(i - 1)
+    leads = label(i).isin(0, LABELS.index("RANGE_START"), LABELS.index("RANGE_END")) & clock(i + 1)
+    return clock(i) | F.coalesce(inside | leads, F.lit(False))
+
+
+def highlight(tokens: Column) -> Column:
+    """The spans (start, end, kind) of labelled tokens (`labels.label_df`), in order of the text.
+
+    Clocks and days side by side are spans of their own, and what repeats or lasts begins one.
+    """
+
+    def parted(ts: Column, i: Column) -> Column:
+        """Does a span begin here, inside of a row of labelled tokens?"""
+        label = lambda j: at(ts, j)["label"]
+        begins = label(i).isin(*[LABELS.index(n) for n in ("RECUR", "DUR", "EXCEPT", "RANGE_START")]) & (label(i) != label(i - 1)) & (label(i - 1) != LABELS.index("TIMES"))
+        counted = label(i).isin(*codes("date")) & (label(i - 1) == LABELS.index("UNIT")) & (label(i - 2) == LABELS.index("NUM"))
+        return F.coalesce(begins | counted, F.lit(False)) | (clocked(ts, i) != clocked(ts, i - 1))
+
+    def kind(ts: Column) -> Column:
+        has = lambda name: F.exists(ts, lambda t: t["label"].isin(*codes(name)))
+        out = F.lit("date")
+        for name in reversed(KINDS):
+            out = F.when(has(name), name).otherwise(out)
+        return out
+
+    begin = lambda ts, i: says(ts, i) & (~says(ts, i - 1) | parted(ts, i))
+    last = lambda ts, i: says(ts, i) & (~says(ts, i + 1) | parted(ts, i + 1))
+    found = F.transform(runs(tokens, begin, last), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), kind(r["tokens"]).alias("kind")))
+    return F.when(tokens.isNotNull(), found)

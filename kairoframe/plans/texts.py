@@ -1,10 +1,10 @@
 """Whole texts to all they say about time: expressions with their spans, each resolved, merged by text.
 
-Patterns claim spans (`functions.spans`); neighbours with a space between them are one expression, a connecting
-word or anything else parts them. Every expression is resolved by itself, so one that names nothing sound leaves
-the others as they are. Rows come with the place of the expression in the text and, for each text, in the order
-of their beginnings; at most `limit` of them, with whether there were more. Null and empty texts, and those in
-which nothing is claimed, give one row with nulls and the diagnostic no-expression.
+Tokens are labelled (`functions.labels`); neighbours with a space between them are one expression, a joining
+word or anything unlabelled parts them. Every expression is resolved by itself, so one that names nothing sound
+leaves the others as they are. Rows come with the place of the expression in the text as it was given and, for
+each text, in the order of their beginnings; at most `limit` of them, with whether there were more. Null and
+empty texts, and those without a label, give one row with nulls and the diagnostic no-expression.
 """
 
 from __future__ import annotations
@@ -12,44 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairoframe.functions.lexicon import alternatives
-from kairoframe.functions.spans import KINDS, highlight
-from kairoframe.functions.text import composed, let
-from kairoframe.operators.expressions import pieces, positions
+from kairoframe.functions.labels import label_df
+from kairoframe.functions.spans import neighbours
 
 from .parse import parse_df
 
-def patterns() -> list[tuple[str, str]]:
-    """What a preview marks, and before it quantities before or after now and parts of a named day."""
-    units = alternatives(["giây", "phút", "giờ", "tiếng", "ngày", "tuần", "tháng", "năm"])
-    number = r"(?:\d+|(?:một|hai|ba|bốn|năm|sáu|bảy|tám|chín|mười|mươi|mốt|lăm|tư)(?:\s+(?:mươi|mốt|lăm|tư|một|hai|ba|bốn|năm|sáu|bảy|tám|chín))*)"
-    part = r"(?:sáng|trưa|chiều|tối|đêm)\s+(?:nay|mai|qua)(?![\p{L}\d])"
-    shift = lambda word: ("shift", rf"{number}\s+(?:{units})\s+(?:{word})(?![\p{{L}}\d])")
-    # "2 giờ nữa" is no clock, and "thứ hai tuần sau" no two weeks
-    return [shift("nữa"), *KINDS[:3], ("time", part), KINDS[3], shift("trước|sau"), *KINDS[4:]]
 
-
-def expressions(text: Column) -> Column:
-    """(start, end, said) of each expression of a text, in UTF-16 units."""
+def expressions(tokens: Column, text: Column) -> Column:
+    """(start, end, said) of each expression of a text with labelled tokens, in UTF-16 units."""
     unit = F.encode(text, "UTF-16BE")
     said = lambda a, b: F.decode(F.substring(unit, 2 * a + 1, 2 * (b - a)), "UTF-16BE")
-
-    def merged(spans: Column) -> Column:
-        before = lambda i: F.get(spans, i - 1)["end"]
-        joined = lambda s, i: (s["start"] == before(i)) | said(before(i), s["start"]).rlike(r"^\s+$")
-        begins = positions(spans, lambda s, i: (i == 0) | ~F.coalesce(joined(s, i), F.lit(False)))
-        ends = lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.element_at(p, -1)["end"].alias("end"))
-        whole = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), said(e["start"], e["end"]).alias("said"))
-        return let(begins, lambda b: F.transform(F.transform(pieces(spans, b), ends), whole))
-
-    return let(highlight(text, patterns()), merged)
+    return F.transform(neighbours(tokens), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), said(r["start"], r["end"]).alias("said")))
 
 
 def texts_df(df: DataFrame, key: str, reference: str, text_col: str = "text", limit: int = 30) -> DataFrame:
     """(key, seq, span_start, span_end, said, start, end, all_day, diagnostic, truncated) for each text of df, whose keys are unique."""
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be from 1 to 1000")
-    rows = df.select(F.col(key).alias("key"), F.col(reference).alias("ref"), F.explode_outer(expressions(composed(F.col(text_col)))).alias("e"))
+    rows = label_df(df.select(F.col(key).alias("key"), F.col(reference).alias("ref"), F.col(text_col).alias("text")), "text")
+    rows = rows.select("key", "ref", F.explode_outer(expressions(F.col("tokens"), F.col("text"))).alias("e"))
     rows = rows.select("key", "ref", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"), F.trim("e.said").alias("said"))
     found = parse_df(rows, "ref", "said")
     order = Window.partitionBy("key").orderBy(F.col("start").asc_nulls_last(), F.col("span_start"))

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from kairoframe.functions import spans
+from kairoframe.functions import labels, spans
 from kairoframe.operators import dates, schedule
 from kairoframe.plans import generate
 from kairoframe.plans.parse import parse_df
@@ -80,7 +80,7 @@ def test_generated_phrases_in_sentences_are_understood(spark, tmp_path):
 
 def test_highlights_claim_in_order(spark):
     texts = ["🎉 họp lúc 8h sáng thứ hai tuần sau", "mỗi thứ hai từ 8h đến 10h", "xin chào", "", None, "trong 2 tiếng ngày mai"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.highlight(F.col("t")).alias("s")).collect()
+    rows = labels.label_df(spark.createDataFrame([(t,) for t in texts], "t string"), "t").select("t", spans.highlight(F.col("tokens")).alias("s")).collect()
     cut = lambda t, s: t.encode("utf-16-le")[2 * s["start"] : 2 * s["end"]].decode("utf-16-le")
     found = {r["t"]: r["s"] and [(s["kind"], cut(r["t"], s).strip()) for s in r["s"]] for r in rows}
     assert found[texts[0]] == [("time", "lúc 8h sáng"), ("date", "thứ hai tuần sau")]
