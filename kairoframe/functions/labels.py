@@ -172,7 +172,7 @@ b+=BOUND_START (?=[dWwtyVcCaR])=O
 E+=BOUND_END (?=[dWwtVcCB])=O
 n=BOUND_END (?=W)=O
 F=BOUND_START [aR]=REL_DAY E=BOUND_END
-x+=EXCEPT (?=[WGBwdyt])=O
+x+=EXCEPT (?=[WGBwdytcCRV])=O
 A+=TIME_NAMED
 A+=TIME_NAMED [raq]=REL_DAY
 r=REL_DAY (?=[WA])=O
