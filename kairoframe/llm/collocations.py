@@ -4,17 +4,17 @@ A-Z are lower-cased, `[.,;:!?\\x0A-\\x0D]` cut a text into pieces and `[^\\x20\\
 per language (null: "und"). A phrase of 2 to `longest` words that occurs `least` times or more is a
 candidate.
 
-1. Texts are encoded into shards of about `SHARD` words of one language: the distinct words, and their
+1. Texts are encoded into shards of about `shard` words of one language: the distinct words, and their
    numbers in order with zeros between pieces. They are written once; all later passes read them.
-2. A phrase can only occur `least` times if its words and its neighbouring pairs do. Words are counted;
-   a bitmap of fixed size (`SLOTS` bits, whatever the corpus) of the hashes of those that pass is sent to
-   all tasks. Pairs of such words are counted by hash over all shards in one exchange, and each shard
-   gets back the pairs of its own that passed. A collision lets a word or pair through, never keeps one
-   out; a corpus with very many words fills the bitmap, which then spares less work.
-3. In a shard the longest stretches of passing pairs, each distinct one once with how often it occurs,
-   go into a generalised suffix automaton. A state stands for the substrings that end at the same
-   places; their number is summed along the suffix links from the longest state down. A state gives its
-   substrings between its link's length and its own, up to `longest` words, with that number.
+2. A phrase can only occur `least` times if its words, its pairs and its triples of words do. Words, then
+   pairs of passing words, then triples of passing pairs are counted by hash over all shards, each in one
+   exchange; of those that pass, a bitmap of fixed size (`slots` bits, whatever the corpus) goes to all
+   tasks. A collision lets something through, never keeps it out, and nothing else is decided by hash. A
+   corpus with very many passing pairs fills the bitmap, which then spares less work: raise `slots` with it.
+3. In a shard the longest stretches of passing triples, and the passing pairs outside of them, each distinct
+   one once with how often it occurs, go into a generalised suffix automaton. A state stands for the
+   substrings that end at the same places; their number is summed along the suffix links from the longest
+   state down. A state gives its substrings between its link's length and its own, up to `longest` words.
 4. The counts are added over shards by the phrase itself, so that they are exact.
 5. A candidate drops out when a longer one contains it as often as it occurs at all. Then one that is
    longer by one word does, so every candidate tells its suffix link (itself without its first word) and
@@ -36,14 +36,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, plain
 
-#: Words of a shard; bits of the words' bitmap.
-SHARD, SLOTS = 1 << 19, 1 << 24
+#: Words of a shard; bits of a bitmap.
+SHARD, SLOTS = 1 << 19, 1 << 26
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -71,41 +70,42 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found, np.concatenate([[True], np.diff(pieces) > 0])[: len(starts)]
 
 
-def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of (lang, text): (shard, lang, n, vocabulary, counts, sequence)."""
-    task, made = TaskContext.get().partitionId(), 0
-    pending: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal made
-        for lang, parts in pending.items():
-            coded = pa.chunked_array([p[0] for p in parts]).combine_chunks().dictionary_encode()
-            numbers, first = np.asarray(coded.indices).astype(np.int32), np.concatenate([p[1] for p in parts])
-            sequence = np.zeros(len(numbers) + int(first.sum()), np.int32)
-            sequence[np.arange(len(numbers)) + np.cumsum(first)] = numbers + 1
-            counts = np.bincount(numbers, minlength=len(coded.dictionary)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(task << 32) + made]), pa.array([lang]), pa.array([len(numbers)], pa.int64()), pa.array(["\n".join(coded.dictionary.to_pylist())]),
-                    pa.array([counts.tobytes()]), pa.array([sequence.tobytes()]),
-                ],
-                names=["shard", "lang", "n", "vocabulary", "counts", "sequence"],
-            )
-            made += 1
-        pending.clear()
+def encode(shard: int):
+    """Shards of (lang, text): (lang, n, vocabulary, counts, sequence)."""
 
-    for batch in batches:
-        langs = batch.column(0).fill_null("und")
-        for lang in langs.unique():
-            found, first = words(batch.column(1).filter(pc.equal(langs, lang)))
-            if len(found):
-                pending.setdefault(lang.as_py(), []).append((found, first))
-                size += len(found)
-        if size >= SHARD:
-            yield from flush()
-            size = 0
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in pending.items():
+                coded = pa.chunked_array([p[0] for p in parts]).combine_chunks().dictionary_encode()
+                numbers, first = np.asarray(coded.indices).astype(np.int32), np.concatenate([p[1] for p in parts])
+                sequence = np.zeros(len(numbers) + int(first.sum()), np.int32)
+                sequence[np.arange(len(numbers)) + np.cumsum(first)] = numbers + 1
+                counts = np.bincount(numbers, minlength=len(coded.dictionary)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang]), pa.array([len(numbers)], pa.int64()), pa.array(["\n".join(coded.dictionary.to_pylist())]),
+                        pa.array([counts.tobytes()]), pa.array([sequence.tobytes()]),
+                    ],
+                    names=["lang", "n", "vocabulary", "counts", "sequence"],
+                )
+            pending.clear()
+
+        for batch in batches:
+            langs = batch.column(0).fill_null("und")
+            for lang in langs.unique():
+                found, first = words(batch.column(1).filter(pc.equal(langs, lang)))
+                if len(found):
+                    pending.setdefault(lang.as_py(), []).append((found, first))
+                    size += len(found)
+            if size >= shard:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return run
 
 
 def vocabulary(shard: str) -> list[str]:
@@ -125,54 +125,91 @@ def word_hashes(lang: str, known: list[str]) -> np.ndarray:
     return np.array([0] + [xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64)
 
 
-def pair_hashes(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """64 bits for each pair of word numbers, by the words' hashes alone."""
-    mixed = own[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + own[pairs & 0xFFFFFFFF]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of (lang, word)."""
+    for batch in batches:
+        found = [int(word_hashes(lang, [name])[1]) for lang, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], names=["gram"])
 
 
-def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bitmap of the hashes of (lang, phrase)."""
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for batch in batches:
-        for lang, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            slot = int(word_hashes(lang, [name])[1]) % SLOTS
-            bits[slot >> 3] |= 1 << (slot & 7)
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], names=["bits"])
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64 bits for each two hashes in order."""
+    out = first * np.uint64(0x9E3779B97F4A7C15) + second
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of these hashes are set."""
+    slot = (hashes % np.uint64(8 * len(bits))).astype(np.int64)
+    return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def pairs_of(sequence: np.ndarray) -> np.ndarray:
-    """For each place its word and the next as one number, zero where there is no pair."""
-    here, after = sequence[:-1].astype(np.int64), sequence[1:].astype(np.int64)
-    return np.where((here > 0) & (after > 0), here << 32 | after, 0)
+def bitmap(slots: int):
+    """One bitmap of a column of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(slots // 8, np.uint8)
+        for batch in batches:
+            slot = (np.asarray(batch.column(0)).view(np.uint64) % np.uint64(slots)).astype(np.int64)
+            np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], names=["bits"])
+
+    return run
 
 
-def pair_counts(common):
-    """(shard, pair, times) of each distinct pair of a shard whose words are in the broadcast bitmap."""
+def chains(lang: str, names: list[str], numbers: np.ndarray, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of words (no bitmap), pairs of passing words (one) or triples of passing pairs (two): the place of each, and its hash.
+
+    Places are of the first word. With a third bitmap: the places of the passing triples.
+    """
+    own = word_hashes(lang, names)
+    places, hashes = np.flatnonzero(numbers), own[numbers[numbers > 0]]
+    for size, bits in enumerate(bitmaps, 1):
+        kept = inside(bits, hashes)
+        places, hashes = places[kept], hashes[kept]
+        if size == 3:
+            break
+        followed = np.zeros(len(numbers) + 1, bool)
+        followed[places] = True
+        longer = followed[places + 1]  # what begins one word further on has passed as well
+        places, hashes = places[longer], mixed(hashes[longer], own[numbers[places[longer] + size]])
+    return places, hashes
+
+
+def chain_counts(bitmaps):
+    """(gram, times) of each distinct word, pair or triple of a shard, by the number of broadcast bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(common.value, np.uint8)
+        bits = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
         for batch in batches:
-            for shard, lang, known, sequence in zip(*batch.columns, strict=True):
-                own = word_hashes(lang.as_py(), vocabulary(known.as_py()))
-                slot = (own % np.uint64(SLOTS)).astype(np.int64)
-                passes = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                passes[0] = 0
-                numbers = np.frombuffer(sequence.as_py(), np.int32)
-                found, times = np.unique(pairs_of(np.where(passes[numbers], numbers, 0)), return_counts=True)
-                found, times = found[found > 0], times[found > 0]
-                hashes = pair_hashes(own, found)
-                for at in range(0, len(hashes), 1 << 16):
+            for lang, known, sequence in zip(*batch.columns, strict=True):
+                _, hashes = chains(lang.as_py(), vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32), bits)
+                found, times = np.unique(hashes.view(np.int64), return_counts=True)
+                for at in range(0, len(found), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(shard, len(hashes[part])), pa.array(hashes[part]), pa.array(times[part].astype(np.int32))], names=["shard", "pair", "times"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(times[part].astype(np.int32))], names=["gram", "times"])
 
     return run
 
 
+def stretches(numbers: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> dict[bytes, int]:
+    """The distinct stretches of a shard with their numbers: of passing triples, and the passing pairs outside of them."""
+    out: dict[bytes, int] = {}
+    passes, covered = np.zeros(len(numbers) + 1, bool), np.zeros(len(numbers) + 1, bool)
+    passes[triples] = covered[triples] = covered[triples + 1] = True
+    alone = pairs[~covered[pairs]]
+    found, times = np.unique(numbers[alone].astype(np.int64) << 32 | numbers[alone + 1], return_counts=True)
+    for pair, n in zip(found.tolist(), times.tolist(), strict=True):
+        out[np.array([pair >> 32, pair & 0xFFFFFFFF], np.int32).tobytes()] = n
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], passes.astype(np.int8), [0]])))
+    for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        key = numbers[start : stop + 2].tobytes()
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
 class SuffixAutomaton:
     """A generalised suffix automaton of weighted sequences; state 0 is the empty string."""
 
@@ -230,25 +267,22 @@ class SuffixAutomaton:
             yield size, end[have], counted[have]
 
 
-def phrase_counts(longest: int):
+def phrase_counts(bitmaps, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
         for batch in batches:
-            for lang, known, sequence, passing in zip(*batch.columns, strict=True):
+            for lang, known, sequence in zip(*batch.columns, strict=True):
                 names, numbers = vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32)
-                pairs = pairs_of(numbers)
-                distinct, which = np.unique(pairs, return_inverse=True)
-                hashes = pair_hashes(word_hashes(lang.as_py(), names), distinct)
-                passes = (np.isin(hashes, np.asarray(passing.values)) & (distinct > 0))[which]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], passes.astype(np.int8), [0]])))
-                stretches: dict[bytes, int] = {}
-                for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    key = numbers[start : stop + 1].tobytes()
-                    stretches[key] = stretches.get(key, 0) + 1
+                pairs, hashes = chains(lang.as_py(), names, numbers, bits[:1])
+                triples, _ = chains(lang.as_py(), names, numbers, bits)
+                found = stretches(numbers, pairs[inside(bits[1], hashes)], triples)
+                if not found:
+                    continue
                 automaton, at = SuffixAutomaton(), 0
-                for key, weight in stretches.items():
+                for key, weight in found.items():
                     automaton.add(np.frombuffer(key, np.int32).tolist(), at, weight)
                     at += len(key) // 4
-                text = np.frombuffer(b"".join(stretches), np.int32) - 1
+                text = np.frombuffer(b"".join(found), np.int32) - 1
                 dictionary = pa.array(names, pa.string())
                 for size, ends, times in automaton.substrings(longest):
                     for part in np.array_split(np.arange(len(ends)), len(ends) // 65_536 + 1):
@@ -259,27 +293,31 @@ def phrase_counts(longest: int):
     return run
 
 
-def counts(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, least: int, longest: int, shard: int, slots: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to `longest` words that occur `least` times, and (lang, n)."""
     texts = plain(docs, "lang", "text").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shards = materialise(texts.mapInArrow(encode, "shard long, lang string, n long, vocabulary string, counts binary, sequence binary"), "shards")
+    shards = materialise(texts.mapInArrow(encode(shard), "lang string, n long, vocabulary string, counts binary, sequence binary"), "shards")
     totals = materialise(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     table = "lang string, phrase string, f long"
     single = shards.select("lang", "vocabulary", "counts").mapInArrow(word_counts, table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     single = materialise(single, "words")
-    bits = [r["bits"] for r in single.select("lang", "phrase").repartition(16).mapInArrow(bitmap, "bits binary").collect()]
-    common = docs.sparkSession.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits]).tobytes() if bits else bytes(SLOTS // 8))
-    pairs = shards.select("shard", "lang", "vocabulary", "sequence").mapInArrow(pair_counts(common), "shard long, pair long, times int")
-    pairs = pairs.withColumn("everywhere", F.sum("times").over(Window.partitionBy("pair"))).where(F.col("everywhere") >= least)
-    own = materialise(pairs.groupBy("shard").agg(F.collect_list("pair").alias("pairs")), "own-pairs")
-    held = shards.join(own, "shard").select("lang", "vocabulary", "sequence", "pairs")
-    several = held.mapInArrow(phrase_counts(longest), table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    whole, bitmaps = shards.select("lang", "vocabulary", "sequence"), []
+    for size in (1, 2, 3):
+        if size == 1:
+            grams = single.select("lang", "phrase").mapInArrow(hashed, "gram long")
+        else:
+            counted = whole.mapInArrow(chain_counts(list(bitmaps)), "gram long, times int")
+            grams = counted.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("gram")
+        found = materialise(grams, "passing").coalesce(4).mapInArrow(bitmap(slots), "bits binary").collect()
+        parts = [np.frombuffer(r["bits"], np.uint8) for r in found]
+        bitmaps.append(docs.sparkSession.sparkContext.broadcast(np.bitwise_or.reduce([*parts, np.zeros(slots // 8, np.uint8)]).tobytes()))
+    several = whole.mapInArrow(phrase_counts(bitmaps, longest), table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return materialise(single.union(several), "phrases"), totals
 
 
-def mine(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2_000) -> DataFrame:
+def mine(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2_000, shard: int = SHARD, slots: int = SLOTS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first candidates of each language, by score, then a, then phrase."""
-    known, totals = counts(docs, least, longest)
+    known, totals = counts(docs, least, longest, shard, slots)
     many = known.withColumn("parts", F.split("phrase", " ")).where(F.size("parts") > 1)
     join = lambda begin, size: F.array_join(F.slice("parts", begin, size), " ")
     longer = many.where(F.size("parts") > 2)

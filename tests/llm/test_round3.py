@@ -36,14 +36,13 @@ def phrases_by_hand(rows, least, longest, first):
     return {(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang in out for i, (s, a, p, left, right) in enumerate(sorted(out[lang])[:first])}
 
 
-def test_collocations_are_those_of_brute_force(spark, monkeypatch):
+def test_collocations_are_those_of_brute_force(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["en", "de", None, "und"]), " ".join(rng.choice(["a", "B", "c.", "é", "d,e", "f\n", "\t"]) for _ in range(rng.randrange(60)))) for _ in range(80)]
     rows += [("en", "New York City is new york city. a a a a a a a")] * 9 + [("en", None), ("en", ""), ("x", "!?"), ("de", "b " * 5_000)]
     docs = spark.createDataFrame([(l, t, "n") for l, t in rows], "lang string, text string, n string")
-    for shard, least, first in ((50, 3, 2_000), (1 << 20, 10, 7)):
-        monkeypatch.setattr(collocations, "SHARD", shard)
-        got = {tuple(r) for r in collocations.mine(docs, least, 5, first).collect()}
+    for shard, slots, least, first in ((50, 8, 3, 2_000), (1 << 20, 1 << 16, 10, 7)):  # a full bitmap lets all through
+        got = {tuple(r) for r in collocations.mine(docs, least, 5, first, shard, slots).collect()}
         assert got == phrases_by_hand(rows, least, 5, first)
     assert collocations.mine(docs.limit(0)).count() == 0
 
