@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialise, plain
 
 #: Words of a shard; bits of a bitmap.
-SHARD, SLOTS = 1 << 19, 1 << 26
+SHARD, SLOTS = 1 << 18, 1 << 26
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -92,6 +92,7 @@ def encode(shard: int):
                     names=["lang", "n", "vocabulary", "counts", "sequence"],
                 )
             pending.clear()
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             langs = batch.column(0).fill_null("und")
@@ -190,6 +191,7 @@ def chain_counts(bitmaps):
                 for at in range(0, len(found), 1 << 16):
                     part = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(times[part].astype(np.int32))], names=["gram", "times"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -289,6 +291,7 @@ def phrase_counts(bitmaps, longest: int):
                         columns = [dictionary.take(pa.array(text[ends[part] - back])) for back in range(size - 1, -1, -1)]
                         phrase = pc.binary_join_element_wise(*columns, " ")
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), phrase, pa.array(times[part].astype(np.int64))], names=["lang", "phrase", "f"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
