@@ -15,7 +15,7 @@ candidate.
    one once with how often it occurs, go into a generalised suffix automaton. A state stands for the
    substrings that end at the same places; their number is summed along the suffix links from the longest
    state down. A state gives its substrings between its link's length and its own, up to `longest` words.
-4. The counts are added over shards by the phrase itself, so that they are exact.
+4. The counts are added over a task's shards and then over all by the phrase itself, so that they are exact.
 5. A candidate drops out when a longer one contains it as often as it occurs at all. Then one that is
    longer by one word does, so every candidate tells its suffix link (itself without its first word) and
    its counterpart without its last word how often it occurs.
@@ -43,6 +43,8 @@ from .common import materialise, plain
 
 #: Words of a shard; bits of a bitmap.
 SHARD, SLOTS = 1 << 18, 1 << 26
+#: Phrases that a task adds up before it hands them on.
+HELD = 200_000
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -272,6 +274,13 @@ class SuffixAutomaton:
 def phrase_counts(bitmaps, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
+        held: dict[tuple[str, str], int] = {}
+
+        def handed() -> pa.RecordBatch:
+            out = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(held.values(), pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, names=["lang", "phrase", "f"])
+
         for batch in batches:
             for lang, known, sequence in zip(*batch.columns, strict=True):
                 names, numbers = vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32)
@@ -290,8 +299,13 @@ def phrase_counts(bitmaps, longest: int):
                     for part in np.array_split(np.arange(len(ends)), len(ends) // 65_536 + 1):
                         columns = [dictionary.take(pa.array(text[ends[part] - back])) for back in range(size - 1, -1, -1)]
                         phrase = pc.binary_join_element_wise(*columns, " ")
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), phrase, pa.array(times[part].astype(np.int64))], names=["lang", "phrase", "f"])
+                        own = lang.as_py()
+                        for said, n in zip(phrase.to_pylist(), times[part].tolist(), strict=True):
+                            held[own, said] = held.get((own, said), 0) + n
+                if len(held) >= HELD:
+                    yield handed()
             pa.default_memory_pool().release_unused()
+        yield handed()
 
     return run
 
