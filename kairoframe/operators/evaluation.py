@@ -23,6 +23,29 @@ def disjoint(rows: DataFrame, reserved: DataFrame, by: str) -> DataFrame:
     return rows.join(reserved.select(by).distinct(), by, "left_anti")
 
 
+def threshold_scores(rows: DataFrame, truth: Column, value: Column, thresholds: list[float], by: list[Column]) -> DataFrame:
+    """(by..., threshold, tp, fp, fn, f1) of "value above the threshold" as a guess of the truth, for every threshold of the list.
+
+    A row falls into one bin between thresholds and is counted there once; what lies above each threshold is
+    summed over the bins, of which a group has one more than there are thresholds. Null values lie above
+    none; rows whose truth is null count for neither side. f1 is null where nothing is true or guessed.
+    """
+    cuts = sorted(thresholds)
+    names = [f"_by{i}" for i in range(len(by))]
+    bin_ = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.coalesce(c < F.col("_value"), F.lit(False))))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    counted = rows.select(*[c.alias(name) for c, name in zip(by, names, strict=True)], truth.alias("_truth"), value.alias("_value"))
+    counted = counted.groupBy(*names, bin_.alias("bin")).agg(n(F.col("_truth")).alias("true"), n(~F.col("_truth")).alias("false"))
+    bins = counted.groupBy(*names).agg(F.collect_list(F.struct("bin", "true", "false")).alias("bins"))
+    cut = bins.select(*names, "bins", F.posexplode(F.array(*[F.lit(c) for c in cuts])).alias("k", "threshold"))
+    total = lambda side, keep: F.aggregate(F.filter("bins", keep), F.lit(0).cast("long"), lambda a, b: a + b[side])
+    above, below = lambda b: b["bin"] > F.col("k"), lambda b: b["bin"] <= F.col("k")
+    out = cut.withColumns({"tp": total("true", above), "fp": total("false", above), "fn": total("true", below)})
+    whole = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    shown = [F.col(name).alias(rows.select(c).columns[0]) for c, name in zip(by, names, strict=True)]
+    return out.select(*shown, "threshold", "tp", "fp", "fn", F.when(whole > 0, 2 * F.col("tp") / whole).alias("f1"))
+
+
 def best_threshold(scores: DataFrame, threshold: str, score: str, by: str) -> DataFrame:
     """(threshold, least): the threshold whose least score over all groups is largest, of equal ones the smallest."""
     least = scores.groupBy(threshold).agg(F.min(score).alias("least"))

@@ -345,8 +345,16 @@ def label_metrics(spark, sf_dir):
 @query("WITH j AS (SELECT quality = 1 AS t, n_chars FROM labels JOIN documents USING (doc_id)), c AS (SELECT x AS threshold, count(*) FILTER (t AND n_chars > x) AS tp, count(*) FILTER (NOT t AND n_chars > x) AS fp, count(*) FILTER (t AND n_chars <= x) AS fn FROM j, range(0, 5001, 500) r(x) GROUP BY x) SELECT threshold, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c")
 def threshold_grid(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    rows = rows.withColumn("threshold", F.explode(F.sequence(F.lit(0), F.lit(5000), F.lit(500)))).withColumn("threshold", F.col("threshold").cast("long"))
-    return islands.scores(rows, F.col("quality") == 1, F.col("n_chars") > F.col("threshold"), [F.col("threshold")]).select("threshold", "f1")
+    found = evaluation.threshold_scores(rows, F.col("quality") == 1, F.col("n_chars"), list(range(0, 5001, 500)), [])
+    return found.select(F.col("threshold").cast("long").alias("threshold"), "f1")
+
+
+@query("WITH j AS (SELECT lang, quality = 1 AS t, n_chars FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, x AS threshold, count(*) FILTER (t AND n_chars > x) AS tp, count(*) FILTER (NOT t AND n_chars > x) AS fp, count(*) FILTER (t AND n_chars <= x) AS fn FROM j, range(0, 5001, 250) r(x) GROUP BY lang, x), m AS (SELECT threshold, min(2 * tp / (2 * tp + fp + fn)) AS least FROM c GROUP BY threshold) SELECT threshold, least FROM m ORDER BY least DESC, threshold LIMIT 1")
+def threshold_maximin(spark, sf_dir):
+    """The length whose worst score over the languages is best."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    found = evaluation.threshold_scores(rows, F.col("quality") == 1, F.col("n_chars"), list(range(0, 5001, 250)), [F.col("lang")])
+    return evaluation.best_threshold(found.withColumn("threshold", F.col("threshold").cast("long")), "threshold", "f1", "lang")
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")

@@ -273,3 +273,13 @@ def test_phrases_over_a_stream(spark, tmp_path):
     run.awaitTermination(60)
     found = {r["text"]: (r["start"], r["diagnostic"]) for r in spark.table("parsed").collect()}
     assert found == {"ngày mai": (datetime(2026, 9, 18), None), "25h": (None, "invalid-time")}
+
+
+def test_scores_of_all_thresholds_at_once(spark):
+    data = [("a", i % 3 == 0, float(i % 7)) for i in range(50)] + [("b", True, None), ("b", False, 2.0), ("b", None, 3.0)]
+    rows = spark.createDataFrame(data, "g string, t boolean, v double")
+    for r in evaluation.threshold_scores(rows, F.col("t"), F.col("v"), [4.0, 0.0, 2.5], [F.col("g")]).collect():
+        mine = [(t, v is not None and v > r["threshold"]) for g, t, v in data if g == r["g"] and t is not None]
+        tp, fp, fn = sum(t and p for t, p in mine), sum(not t and p for t, p in mine), sum(t and not p for t, p in mine)
+        assert (r["tp"], r["fp"], r["fn"]) == (tp, fp, fn) and r["f1"] == pytest.approx(2 * tp / (2 * tp + fp + fn))
+    assert evaluation.threshold_scores(rows.limit(0), F.col("t"), F.col("v"), [1.0], [F.col("g")]).count() == 0
