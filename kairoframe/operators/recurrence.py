@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from kairoframe.functions.civil import monday
 
+from .periods import outside
+
 DAYS = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 
 
@@ -118,11 +120,8 @@ def occurrences(df: DataFrame, key: str, dates: Column, limit: int, count: int |
 
 
 def without(occ: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Occurrences that lie in no period [from_day, to_day) of exclusions: an anti join by month."""
-    o = occ.withColumn("_m", F.trunc("day", "month"))
-    months = F.sequence(F.trunc("from_day", "month"), F.trunc(F.date_sub("to_day", 1), "month"), F.expr("interval 1 month"))
-    e = exclusions.where("from_day < to_day").withColumn("_m", F.explode(months))
-    return o.join(e, (o["_m"] == e["_m"]) & (o["day"] >= e["from_day"]) & (o["day"] < e["to_day"]), "left_anti").drop("_m")
+    """Occurrences that lie in no period [from_day, to_day) of exclusions, which may overlap."""
+    return outside(occ, exclusions, [])
 
 
 def top(occ: DataFrame, by: str, order: list[str], limit: int, parts: int = 32) -> DataFrame:
