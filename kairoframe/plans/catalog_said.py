@@ -8,6 +8,7 @@ from kairoframe.functions import labels
 from kairoframe.operators.compile import compile_df
 
 from .catalog import query, table
+from .resolve import resolve_df
 
 #: Sentences that are put behind a turn of a conversation, and the labels of their words by number.
 PLANTED = [
@@ -62,3 +63,25 @@ def compiled_clauses(spark, sf_dir):
         F.col("c.time.start.hour").alias("hour"), F.col("c.time.start.minute").alias("minute"), F.col("c.recurrence.freq").alias("freq"), F.col("c.recurrence.interval").alias("interval"), F.array_join("c.recurrence.by_day", ",").alias("by_day"),
         F.col("c.recurrence.count").alias("times"), F.col("c.shift.amount").alias("amount"), F.col("c.shift.direction").alias("direction"), F.get("diagnostics", F.lit(0)).alias("code"),
     )
+
+
+#: What is said of each order by number, the last without a time.
+SAID = ["8h tối mai", "thứ năm lúc 8 giờ sáng", "thứ hai tuần sau", "từ 10h đến 11h30 sáng mai", "3 ngày nữa", "tháng sau", "mỗi thứ tư lúc 9 giờ sáng, 2 lần", "cuối tuần", "2 tiếng 15 phút nữa", "trời hôm đó rất đẹp"]
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey, date_trunc('day', o_orderdate) AS d, isodow(o_orderdate) - 1 AS w, o_orderkey % {len(SAID)} AS f FROM orders), "
+    "x(o_orderkey, s, e, a) AS (SELECT o_orderkey, d + INTERVAL 44 HOUR, NULL, false FROM o WHERE f = 0 UNION ALL SELECT o_orderkey, d + INTERVAL 1 DAY * ((2 - w + 7) % 7 + 1) + INTERVAL 8 HOUR, NULL, false FROM o WHERE f = 1 "
+    "UNION ALL SELECT o_orderkey, d + INTERVAL 1 DAY * (7 - w), NULL, true FROM o WHERE f = 2 UNION ALL SELECT o_orderkey, d + INTERVAL 34 HOUR, d + INTERVAL 2130 MINUTE, false FROM o WHERE f = 3 "
+    "UNION ALL SELECT o_orderkey, d + INTERVAL 81 HOUR, NULL, false FROM o WHERE f = 4 UNION ALL SELECT o_orderkey, date_trunc('month', d) + INTERVAL 1 MONTH, date_trunc('month', d) + INTERVAL 2 MONTH, true FROM o WHERE f = 5 "
+    "UNION ALL SELECT o_orderkey, d + INTERVAL 1 DAY * ((2 - w + 7) % 7 + 7 * i) + INTERVAL 9 HOUR, NULL, false FROM o, (VALUES (0), (1)) v(i) WHERE f = 6 "
+    "UNION ALL SELECT o_orderkey, d + INTERVAL 1 DAY * ((i - w + 7) % 7), NULL, true FROM o, (VALUES (5), (6)) v(i) WHERE f = 7 UNION ALL SELECT o_orderkey, d + INTERVAL 675 MINUTE, NULL, false FROM o WHERE f = 8) "
+    'SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderkey ORDER BY s) - 1)::INT AS seq, s::TIMESTAMP AS start, e::TIMESTAMP AS "end", a AS all_day FROM x'
+)
+def resolved_clauses(spark, sf_dir):
+    """What is said of each order, through labels and clauses to when that is from nine o'clock of the order's day on."""
+    said = F.get(F.array(*[F.lit(s) for s in SAID]), F.pmod("o_orderkey", F.lit(len(SAID))).cast("int"))
+    nine = F.timestamp_add("HOUR", F.lit(9), F.date_trunc("day", F.col("o_orderdate").cast("timestamp_ntz"))).cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", nine.alias("ref"), said.alias("text"))
+    found = resolve_df(compile_df(labels.label_df(rows, "text")), "ref")
+    return found.select("o_orderkey", F.posexplode("occurrences").alias("seq", "o")).select("o_orderkey", "seq", "o.start", "o.end", "o.all_day")

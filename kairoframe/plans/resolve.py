@@ -59,15 +59,22 @@ def moved(at: Column, quantity: Column, sign: Column | int, zone: Column | None)
     return F.aggregate(parts, at, lambda a, q: shifted(a, q["amount"] * sign, q["unit"], zone))
 
 
-def exclusions(rule: Column, reference: Column, week_start: str) -> Column:
-    """What a rule leaves out: bare weekdays and day groups, nth weekdays, and the periods of other dates."""
-    pattern = lambda e: e["kind"].isin("weekday", "dayGroup") & e["modifier"].isNull()
+def is_pattern(e: Column) -> Column:
+    """Is what a rule leaves out a bare weekday or day group?"""
+    return e["kind"].isin("weekday", "dayGroup") & e["modifier"].isNull()
+
+
+def dated_exceptions(rule: Column) -> Column:
+    """What a rule leaves out that has to be resolved to periods first."""
+    return F.filter(rule["except"], lambda e: ~is_pattern(e) & ~e["kind"].isin("ordinalWeekday", "holiday", "lunar"))
+
+
+def exclusions(rule: Column, found: Column) -> Column:
+    """What a rule leaves out: bare weekdays and day groups, nth weekdays, and the periods found for other dates."""
     group = lambda e: F.when(e["group"] == "weekend", F.array(F.lit(5), F.lit(6))).when(e["group"] == "weekday", F.array(*[F.lit(i) for i in range(5)]))
-    weekdays = F.flatten(F.transform(F.filter(rule["except"], pattern), lambda e: F.coalesce(group(e), rules.weekday_numbers(e["days"]))))
+    weekdays = F.flatten(F.transform(F.filter(rule["except"], is_pattern), lambda e: F.coalesce(group(e), rules.weekday_numbers(e["days"]))))
     nth = F.transform(F.filter(rule["except"], lambda e: e["kind"] == "ordinalWeekday"), lambda e: F.struct(F.get(rules.weekday_numbers(e["days"]), F.lit(0)).alias("weekday"), e["ordinal"].alias("ordinal")))
-    rest = F.filter(rule["except"], lambda e: ~pattern(e) & ~e["kind"].isin("ordinalWeekday", "holiday", "lunar"))
-    periods = F.flatten(F.transform(F.transform(rest, lambda e: spec_of(e, reference)), lambda s: schedule.resolve_dates(s, reference, week_start=week_start)))
-    periods = F.transform(periods, lambda p: F.struct(p["start"].cast("date").alias("start"), p["end"].cast("date").alias("end")))
+    periods = F.transform(F.flatten(found), lambda p: F.struct(p["start"].cast("date").alias("start"), p["end"].cast("date").alias("end")))
     return rules.struct_of(rules.EXCLUDED, weekdays=weekdays, periods=periods, nth=nth)
 
 
@@ -89,22 +96,26 @@ def resolve_df(df: DataFrame, reference: str, limit: int = 30, zone: Column | No
     rows = rows.join(F.broadcast(named.withColumnRenamed("day_key", "_key").withColumnRenamed("days", "_days")), "_key", "left")
     r, t, d = F.col("rule"), c["time"], c["date"]
     one_day = lambda p: F.coalesce(p["end"], F.timestamp_add("DAY", F.lit(1), p["start"]))
-    first = lambda s: F.get(schedule.resolve_dates(s, ref, week_start=week_start), F.lit(0))
-    for name, date in (("_date", d), ("_rule_start", r["start"]), ("_rule_until", r["until"]), ("_end", c["end_date"])):
-        rows = rows.withColumn(name, spec_of(date, ref))  # a column each, so that what reads its fields doesn't repeat how they were made
-    rows = rows.withColumn("_from", F.when(F.col("_rule_start").isNotNull(), first(F.col("_rule_start")))).withColumn("_to", F.when(F.col("_rule_until").isNotNull(), first(F.col("_rule_until"))))
+    settled = F.monotonically_increasing_id() >= 0  # always true; what is made under it isn't made again wherever it is read
+    own_dates = F.array(d, r["start"], r["until"])
+    asked = F.concat(own_dates, F.coalesce(dated_exceptions(r), F.slice(own_dates, 1, 0)))
+    days = lambda i: F.when(i == 0, F.col("_days"))
+    # all dates of a clause go through one expression, which is by far the largest of the plan
+    rows = rows.withColumn("_found", F.when(settled & c.isNotNull(), F.transform(asked, lambda e, i: let(spec_of(e, ref), lambda s: schedule.resolve_dates(s, ref, days(i), week_start)))))
+    first = lambda i: F.get(F.get("_found", F.lit(i)), F.lit(0))
+    rows = rows.withColumn("_from", F.when(r["start"].isNotNull(), first(1))).withColumn("_to", F.when(r["until"].isNotNull(), first(2)))
     rows = rows.withColumn("_s", clock_seconds(t["start"])).withColumn("_e", F.when(t["end"].isNotNull(), clock_seconds(t["end"], True)).when(c["duration"].isNull() & ~F.coalesce(t["open"] == "end", F.lit(False)) & t["start"]["part"].isNotNull(), clock_seconds(t["start"], True)))
     midnight = F.date_trunc("day", ref).cast("timestamp_ntz")
     ranged = F.coalesce(r["start"]["kind"] == "calendarRange", F.lit(False))
     begin = F.when(F.col("_from").isNotNull(), F.when(ranged, F.greatest(F.col("_from")["start"], midnight)).otherwise(F.col("_from")["start"])).otherwise(ref)
     span = F.when(r["span"].isNotNull(), moved(F.date_trunc("day", begin).cast("timestamp_ntz"), r["span"], 1, None))
     until = F.least(F.coalesce(F.when(ranged, F.col("_from")["end"]), F.when(F.col("_to").isNotNull(), one_day(F.col("_to")))), span)
-    rows = rows.withColumn("_left", exclusions(r, ref, week_start)).withColumn("_begin", begin).withColumn("_last", until)
+    rows = rows.withColumn("_left", F.when(settled, exclusions(r, F.slice("_found", 4, F.greatest(F.size("_found") - 3, F.lit(0)))))).withColumn("_begin", begin).withColumn("_last", until)
     rows = rules.expand_df(
         rows, "rule", F.col("_begin"), F.timestamp_add("MONTH", F.lit(12), ref), limit, F.col("_s"), F.col("_left"), F.col("_last"),
         F.when(F.col("_s").isNull(), midnight).otherwise(ref), zone, week_start,
     )
-    rows = rows.withColumn("_periods", F.when(c.isNotNull() & r.isNull(), schedule.resolve_dates(F.col("_date"), ref, F.col("_days"), week_start)))
+    rows = rows.withColumn("_periods", F.when(c.isNotNull() & r.isNull(), F.get("_found", F.lit(0))))
     at = lambda day, seconds: F.timestamp_add("SECOND", seconds, F.date_trunc("day", day).cast("timestamp_ntz"))
     of_day = lambda day: F.hour(day) * 3600 + F.minute(day) * 60 + F.second(day).cast("int")
     sign = F.when(c["shift"]["direction"] == "before", -1).otherwise(1)
@@ -126,16 +137,16 @@ def resolve_df(df: DataFrame, reference: str, limit: int = 30, zone: Column | No
     def ended(day: Column, own: Column) -> Column:
         """The end that a clause's clock gives, else the period's own."""
         late = F.timestamp_add("DAY", F.when(F.col("_e") < F.col("_s"), 1).otherwise(0), day)
-        by_clock = F.coalesce(F.when(c["end_date"].isNotNull(), F.get(schedule.resolve_dates(F.col("_end"), day, week_start=week_start), F.lit(0))["start"]), late)
+        by_clock = F.coalesce(F.when(c["end_date"].isNotNull(), F.get(let(spec_of(c["end_date"], ref), lambda s: schedule.resolve_dates(s, day, week_start=week_start)), F.lit(0))["start"]), late)
         return F.when(F.col("_e").isNotNull() & ~F.col("_own"), at(by_clock, F.col("_e"))).when(~F.col("_qualified") & ~F.coalesce(t["open"] == "end", F.lit(False)), own)
 
-    base = F.transform("_periods", lambda p: F.struct(let(F.when(F.col("_qualified"), unit_moved).otherwise(p["start"]), rolled).alias("day"), p["end"].alias("end")))
-    single = lambda p: F.struct(shift(F.when(F.col("_own"), ref).when(F.col("_s").isNotNull(), at(p["day"], F.col("_s"))).otherwise(p["day"])).alias("start"), shift(ended(p["day"], p["end"])).alias("end"))
     nothing = F.lit(None).cast("timestamp_ntz")
-    again = lambda m: F.struct(m.alias("start"), ended(m, nothing).alias("end"))
-    settled = F.monotonically_increasing_id() >= 0  # always true; keeps filters above from repeating the work
-    rows = rows.withColumn("_base", base)
-    rows = rows.withColumn("_raw", F.when(settled & r.isNotNull(), F.transform("moments", again)).otherwise(F.transform("_base", single)))
+    day_of = lambda p: F.struct(let(F.when(F.col("_qualified"), unit_moved).otherwise(p["start"]), rolled).alias("day"), p["end"].alias("end"))
+    of_rule = lambda m: F.struct(m.alias("day"), nothing.alias("end"))
+    begun = lambda day: F.when(r.isNotNull(), day).otherwise(shift(F.when(F.col("_own"), ref).when(F.col("_s").isNotNull(), at(day, F.col("_s"))).otherwise(day)))
+    over = lambda p: let(ended(p["day"], p["end"]), lambda e: F.when(r.isNotNull(), e).otherwise(shift(e)))
+    rows = rows.withColumn("_base", F.when(settled & r.isNotNull(), F.transform("moments", of_rule)).otherwise(F.transform("_periods", day_of)))
+    rows = rows.withColumn("_raw", F.when(settled, F.transform("_base", lambda p: F.struct(begun(p["day"]).alias("start"), over(p).alias("end")))))
     lasting = lambda o: F.struct(o["start"].alias("start"), F.when(c["duration"].isNotNull(), moved(o["start"], c["duration"], 1, zone)).otherwise(o["end"]).alias("end"), t["open"].alias("open"), (t.isNull() & ~F.col("_own") & ~unit_clock & (of_day(o["start"]) == 0)).alias("all_day"))
     rows = rows.withColumn("_out", F.array_sort(F.transform("_raw", lasting)).cast(OCCURRENCES))
     gap = F.lit(False) if zone is None else F.exists("_raw", lambda o: ~F.col("_own") & (civil.zone_kind(o["start"], zone) == "gap"))

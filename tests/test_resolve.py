@@ -38,3 +38,8 @@ def test_clashing_names_are_an_error(spark):
     rows = spark.createDataFrame([(1, REF)], "code int, ref string")
     with pytest.raises(ValueError):
         resolve_df(rows, "ref")
+
+
+def test_empty_table(spark):
+    rows = spark.createDataFrame([], "text string, ref string")
+    assert resolve_df(compile_df(labels.label_df(rows, "text")), "ref").collect() == []
