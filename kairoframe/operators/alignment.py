@@ -20,17 +20,18 @@ def swept(tokens: DataFrame, spans: DataFrame, by: list[str], bucket: int = 16_3
     (start, end) that a token lies in, null if it lies in none whole; `cut` says of an end of a span that it falls inside a
     token. Rows with a null place or an end before their start are left out.
     """
-    place = lambda df: df.where("start <= end").select(*by, F.col("start").cast("long"), F.col("end").cast("long"))
+    place = lambda df: df.where("start <= end").select(F.struct(*by).alias("_key"), F.col("start").cast("long"), F.col("end").cast("long"))
     t, s = place(tokens), place(spans)
-    both = s.select(*by, F.explode(F.array(F.lit(SPAN_ENDS), F.lit(SPAN_BEGINS))).alias("what"), "start", "end").unionByName(t.withColumn("what", F.lit(TOKEN)))
-    both = both.withColumn("_at", F.when(F.col("what") == SPAN_ENDS, F.col("end")).otherwise(F.col("start"))).withColumn("_b", F.floor(F.col("_at") / bucket))
-    both = both.withColumn("_span", F.when(F.col("what") == SPAN_BEGINS, F.struct("start", "end"))).withColumn("_token", F.when(F.col("what") == TOKEN, F.struct("start", "end")))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = both.groupBy(*by, "_b").agg(F.max("_span").alias("_s0"), F.max("_token").alias("_t0"))  # structs order by start, then end
-    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])], *[F.last(c, True).over(before).alias(c) for c in ("_s0", "_t0")])
-    same = [both[c].eqNullSafe(ends[f"_k{i}"]) for i, c in enumerate([*by, "_b"])]
-    w = Window.partitionBy(*by, "_b").orderBy("_at", "what", "end").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.join(ends, same).select(*by, "_b", "_at", "what", "start", "end", F.coalesce(F.last("_span", True).over(w), "_s0").alias("_s"), F.coalesce(F.last("_token", True).over(w), "_t0").alias("_t"))
+    both = s.select("_key", F.explode(F.array(F.lit(SPAN_ENDS), F.lit(SPAN_BEGINS))).alias("what"), "start", "end").unionByName(t.withColumn("what", F.lit(TOKEN)))
+    at = F.when(F.col("what") == SPAN_ENDS, F.col("end")).otherwise(F.col("start"))
+    both = both.withColumn("_b", F.floor(at / bucket)).where(F.col("_b").isNotNull() & F.col("_key").isNotNull()).repartition("_key", "_b")  # crosses the network once: what is carried and what is swept read the same columns
+    span, token = F.when(F.col("what") == SPAN_BEGINS, F.struct("start", "end")), F.when(F.col("what") == TOKEN, F.struct("start", "end"))
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("_key", "_b").agg(F.max(span).alias("_s0"), F.max(token).alias("_t0"))  # structs order by start, then end
+    ends = ends.select("_key", "_b", *[F.last(c, True).over(before).alias(c) for c in ("_s0", "_t0")])
+    w = Window.partitionBy("_key", "_b").orderBy("_at", "what", "end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.join(ends.hint("merge"), ["_key", "_b"]).withColumn("_at", at)
+    rows = rows.select(F.col("_key.*"), "_at", "what", "start", "end", F.coalesce(F.last(span, True).over(w), "_s0").alias("_s"), F.coalesce(F.last(token, True).over(w), "_t0").alias("_t"))
     held = F.when((F.col("what") == TOKEN) & (F.col("end") <= F.col("_s.end")) & (F.col("start") < F.col("_s.end")), F.col("_s"))
     inside = F.coalesce((F.col("_t.start") < F.col("_at")) & (F.col("_t.end") > F.col("_at")), F.lit(False))
     return rows.select(*by, "what", "start", "end", held.alias("span"), ((F.col("what") != TOKEN) & inside).alias("cut"))
