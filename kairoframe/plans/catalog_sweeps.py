@@ -41,7 +41,7 @@ def busy(spark, sf_dir):
 
 
 @query(
-    f"WITH {SQL_BUSY}, m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p WHERE s < e), "
+    f"WITH {SQL_BUSY}, m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT l_suppkey, s, e FROM p WHERE s < e)), "  # equal periods have no order of their own
     "i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM m) "
     "SELECT l_suppkey, min(s) AS from_day, max(e) AS to_day FROM i GROUP BY l_suppkey, n"
 )

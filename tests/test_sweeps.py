@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoframe.operators import alignment, periods, zones
+from kairoframe.plans import catalog, catalog_sweeps
 
 ROWS = "zone string, wall timestamp_ntz"
 
@@ -100,3 +101,15 @@ def test_spans_against_tokens(spark):
         want[s] = (n, a, b, n > 0 and not a and not b)
     assert held == want
     assert alignment.swept(spark.createDataFrame([], schema), spark.createDataFrame([], schema), ["k"]).count() == 0
+
+
+def test_periods_that_repeat_are_the_same_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET threads = 8")
+    made = "SELECT 0 AS l_suppkey, (DATE '2000-01-01' + (i * 104729 % 900 * 3)::INT)::TIMESTAMP AS l_shipdate, 3.0::DOUBLE AS l_quantity FROM range(200000) t(i)"
+    con.execute(f"CREATE TABLE lineitem AS {made}")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    wanted = con.execute(catalog.SQL["busy_periods"]).fetchall()
+    got = [tuple(r) for r in catalog_sweeps.busy_periods(spark, str(tmp_path)).collect()]
+    assert len(got) == 900 and sorted(got) == sorted(wanted)
