@@ -23,7 +23,10 @@ from .recurrence import DAYS, times_per_week
 RULE = "struct<freq:string,interval:int,by_day:array<string>,by_month_day:array<int>,by_set_pos:array<int>,by_month:array<int>,times_per:int,count:int>"
 #: Weekdays that are always left out, periods of days (end exclusive), and the nth weekdays of each month.
 EXCLUDED = "struct<weekdays:array<int>,periods:array<struct<start:date,end:date>>,nth:array<struct<weekday:int,ordinal:int>>>"
-SEED_DAYS = (70, 366 * 8)
+SEED_DAYS = (8, 70, 366 * 8)
+#: Hours that a period has at most, and the periods for each moment wanted that are tried before the whole preview.
+PERIOD_HOURS = {"hourly": 1, "daily": 24, "weekly": 7 * 24, "monthly": 31 * 24, "yearly": 366 * 24}
+TRIED = (1, 3)
 MOMENTS = "array<timestamp_ntz>"
 
 
@@ -171,10 +174,23 @@ def expand_df(
     rows = rows.withColumn("wrong", F.when(r.isNotNull() & F.col("wrong").isNull() & F.col("first").isNull(), "no-occurrence").otherwise(F.col("wrong")))
     anchor = F.col("first")
     settled = F.monotonically_increasing_id() >= 0  # always true; a filter above isn't pushed below, where it would repeat the expansion
-    rows = rows.withColumn("_all", F.when(settled & anchor.isNotNull(), F.filter(moments(r, F.col("_on"), F.coalesce(r["interval"], F.lit(1)), anchor, x["end"], zero, week_start), real)))
-    kept = F.filter("_all", lambda t: ~is_excluded(t, x["left"]))
-    rows = rows.withColumn("_kept", F.when(r["count"].isNotNull(), F.slice(kept, 1, F.greatest(r["count"], F.lit(0)))).otherwise(kept))
     since = F.coalesce(F.lit(None).cast("timestamp_ntz") if cutoff is None else cutoff.cast("timestamp_ntz"), F.col("_since"))
+    interval = F.coalesce(r["interval"], F.lit(1))
+    unkept = lambda ts: F.filter(ts, lambda t: ~is_excluded(t, x["left"]))
+    wanted = F.greatest(F.coalesce(r["count"], F.lit(0)), F.lit(limit + 1)).cast("long")
+    hours = F.lit(0)
+    for freq, n in PERIOD_HOURS.items():
+        hours = F.when(r["freq"] == freq, n).otherwise(hours)
+    tried = [F.timestamp_add("HOUR", F.least((wanted * k + 1) * interval * hours, F.lit(100 * 366 * 24)).cast("int"), F.greatest(anchor, since)) for k in TRIED]
+    ends = F.array(*[F.when(x["end"].isNotNull(), F.least(t, x["end"])) for t in tried], x["end"])
+    # a shorter preview will do where it has all of the count, or without one more than are shown: what comes later changes nothing
+    enough = lambda ts: F.coalesce(F.when(r["count"].isNotNull(), F.size(unkept(ts)) >= r["count"]).otherwise(F.size(F.filter(unkept(ts), lambda t: t >= since)) > limit), F.lit(False))
+    made = lambda end: F.filter(moments(r, F.col("_on"), interval, anchor, end, zero, week_start), real)
+    further = lambda a, end: F.when(a["done"], a).otherwise(let(made(end), lambda ts: F.struct(ts.alias("ts"), (enough(ts) | F.coalesce(end >= x["end"], F.lit(False))).alias("done"))))
+    none_yet = F.struct(F.lit(None).cast(MOMENTS).alias("ts"), F.lit(False).alias("done"))
+    rows = rows.withColumn("_all", F.when(settled & anchor.isNotNull(), F.aggregate(ends, none_yet, further)["ts"]))
+    kept = unkept(F.col("_all"))
+    rows = rows.withColumn("_kept", F.when(r["count"].isNotNull(), F.slice(kept, 1, F.greatest(r["count"], F.lit(0)))).otherwise(kept))
     rows = rows.withColumn("_shown", F.filter("_kept", lambda t: t >= since))
     rows = rows.withColumn("truncated", F.size("_shown") > limit).withColumn("moments", F.when(r.isNotNull(), F.coalesce(F.slice("_shown", 1, limit), none)))
     ended = F.when(F.size("_kept") == r["count"], F.element_at("_kept", -1)).when(F.col("truncated"), F.get("_shown", F.lit(limit)))

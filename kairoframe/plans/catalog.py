@@ -29,6 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to as many tasks as a shuffle has: for those that cost far more than reading them, as a small file is one task's."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def once(df: DataFrame, keys: list[str], work) -> DataFrame:
+    """df with what `work` makes of its keys: each distinct combination of them is worked on once and joined back, nulls included.
+
+    `work` takes a table of the keys and gives it back with columns more; rows that it leaves out are left out.
+    """
+    found = work(spread(df.select(*keys).distinct(), *keys))
+    more = [c for c in found.columns if c not in keys]
+    found = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *more)
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(found[f"_of_{k}"])
+    return df.join(found, same).select(*df.columns, *more)
+
+
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kairoframe.operators import rules
 
-from .catalog import query, table
+from .catalog import query, spread, table
 
 RULE_DAYS = 800
 SHOWN = 12
@@ -42,7 +42,8 @@ def family_rule(c: Column, family: Column) -> Column:
 )
 def recur_columns(spark, sf_dir):
     """A rule of its own for each order from its date on: the first days, whether there are more, how many an exclusion took."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), family_rule(F.col("o_custkey"), F.pmod("o_orderkey", F.lit(8)).cast("int")).alias("rule"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    orders = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), family_rule(F.col("o_custkey"), F.pmod("o_orderkey", F.lit(8)).cast("int")).alias("rule"))
     family = F.pmod("o_orderkey", F.lit(8))
     weekend = F.when(family == 7, F.array(F.lit(5), F.lit(6)))
     pause = F.when(family == 5, F.array(F.struct(F.date_add("d", 20).alias("start"), F.date_add("d", 60).alias("end"))))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoframe.operators import rules
+from kairoframe.plans import catalog_rules
 
 DAYS = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 BEGIN = datetime(2026, 9, 17, 9, 0)  # a Thursday
@@ -91,3 +92,21 @@ def test_hours_gaps_and_wrong_rules(spark):
     nothing = rules.expand_df(spark.range(1).select(F.lit(None).cast(rules.RULE).alias("rule")), "rule", F.lit(BEGIN), F.lit(END)).head()
     assert (nothing.first, nothing.moments, nothing.wrong) == (None, None, None)
     assert rows(spark, some).where("false").count() == 0
+
+
+def test_exclusions_that_empty_the_first_spans_tried(spark):
+    """Nearly all of the first hundred days is left out, so the limit and the count are met far behind the first spans."""
+    gone = F.expr("array(struct(date'2026-09-19' as start, date'2027-01-01' as end), struct(date'2027-01-03' as start, date'2027-06-01' as end))")
+    some = [dict(freq="daily", interval=1), dict(freq="daily", interval=1, count=6), dict(freq="hourly", interval=24), dict(freq="weekly", interval=1, by_day=["TH"], by_month=[9], count=9)]
+    days, counted, hours, rare = rows(spark, some, limit=5, excluded=rules.struct_of(rules.EXCLUDED, periods=gone)).orderBy("i").collect()
+    kept = [date(2026, 9, 17), date(2026, 9, 18), date(2027, 1, 1), date(2027, 1, 2), date(2027, 6, 1), date(2027, 6, 2)]
+    assert [t.date() for t in days.moments] == [t.date() for t in hours.moments] == [t.date() for t in counted.moments] == kept[:5]
+    assert days.truncated and counted.truncated and len(days.left_out) == len(counted.left_out) == 104 + 149
+    assert [t.date() for t in rare.moments] == [date(2026, 9, 17), date(2027, 9, 2), date(2027, 9, 9), date(2027, 9, 16), date(2027, 9, 23)] and rare.truncated
+    late = rows(spark, some[:2], limit=3, cutoff=F.lit(datetime(2028, 12, 28))).orderBy("i").collect()
+    assert [[t.date() for t in r.moments] for r in late] == [[date(2028, 12, 28), date(2028, 12, 29), date(2028, 12, 30)], []]
+
+
+def test_one_small_file_is_not_one_task(spark, tmp_path):
+    spark.sql("select id o_orderkey, id * 7 o_custkey, timestamp_ntz'2026-01-01 00:00:00' o_orderdate from range(400)").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    assert catalog_rules.recur_columns(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
