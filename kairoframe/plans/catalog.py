@@ -34,10 +34,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def once(df: DataFrame, keys: list[str], work) -> DataFrame:
+def once(df: DataFrame, keys: list[str], work, few: bool = False) -> DataFrame:
     """df with what `work` makes of its keys: each distinct combination of them is worked on once and joined back, nulls included.
 
     `work` takes a table of the keys and gives it back with columns more; rows that it leaves out are left out.
+    `few` says that there can only be few combinations, so that the rows needn't be shuffled.
     """
     found = work(spread(df.select(*keys).distinct(), *keys))
     more = [c for c in found.columns if c not in keys]
@@ -45,7 +46,7 @@ def once(df: DataFrame, keys: list[str], work) -> DataFrame:
     same = F.lit(True)
     for k in keys:
         same = same & df[k].eqNullSafe(found[f"_of_{k}"])
-    return df.join(found, same).select(*df.columns, *more)
+    return df.join(F.broadcast(found) if few else found, same).select(*df.columns, *more)
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:

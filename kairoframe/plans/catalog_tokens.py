@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoframe.functions import civil, features, lexicon, numerals, text
 from kairoframe.operators import dates, evaluation, expressions, islands, recurrence, schedule
 
 from . import generate
-from .catalog import FIRST_DAYS, QUERIES, SQL, SQL_BUCKET, SQL_FLAGS, SQL_KIND, SQL_TOKENS, first_days, order_days, query, table
+from .catalog import FIRST_DAYS, QUERIES, SQL, SQL_BUCKET, SQL_FLAGS, SQL_KIND, SQL_TOKENS, first_days, once, order_days, query, table
 from .parse import parse_df
 from .texts import texts_df
 
@@ -210,15 +211,21 @@ DURATIONS = {
 )
 def spelled_durations(spark, sf_dir):
     """A spelled number and a unit, then a decimal number of hours."""
-    n = F.col("o_orderkey") % 99 + 1
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 99 + 1).alias("n"))
+    return once(rows, ["n"], read_durations, few=True).drop("n")  # there are 99 numbers
+
+
+def read_durations(numbers: DataFrame) -> DataFrame:
+    """(n, unit_text, amount, unit, parts, more): each number said with each unit and read again."""
+    n = F.col("n")
     decimal = F.concat(F.floor(n / 10).cast("string"), F.lit(","), (n % 10).cast("string"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), decimal.alias("x"), F.explode(F.array(*[F.lit(u) for u in DURATIONS])).alias("unit_text"))
+    rows = numbers.select("n", decimal.alias("x"), F.explode(F.array(*[F.lit(u) for u in DURATIONS])).alias("unit_text"))
     said = F.concat_ws(" ", numerals.spell(F.col("n")), "unit_text", "x", F.lit("giờ"))
     said = F.concat(F.regexp_replace(said, r" (\d+),(\d) giờ$", ""), F.lit(" "), F.col("x"), F.lit(" giờ"))
     rows = rows.withColumn("ds", numerals.durations(said)).withColumn("tenths", F.col("n") / 10)
     first, second = F.get("ds", F.lit(0)), F.get("ds", F.lit(1))
     more = F.when(second["unit"] == "hour", F.round(second["amount"] + 0.5, 6))
-    return rows.select("o_orderkey", "unit_text", first["amount"].alias("amount"), first["unit"].alias("unit"), F.when(F.col("ds").isNotNull(), F.size("ds")).alias("parts"), more.alias("more"))
+    return rows.select("n", "unit_text", first["amount"].alias("amount"), first["unit"].alias("unit"), F.when(F.col("ds").isNotNull(), F.size("ds")).alias("parts"), more.alias("more"))
 
 
 @query("WITH c AS (SELECT o_custkey AS k, min(o_orderdate)::DATE AS d FROM orders GROUP BY 1), h AS (SELECT k, d, d::TIMESTAMP + INTERVAL 1 HOUR * i AS t FROM c, range(9, 9 + 24 * 7 + 1, 2) r(i)) SELECT k, t AS at FROM h WHERE hour(t) IN (9, 13, 17) AND isodow(t) <= 5")
