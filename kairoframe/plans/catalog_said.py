@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kairoframe.functions import labels
 from kairoframe.operators.compile import compile_df
 
-from .catalog import query, table
+from .catalog import once, query, table
 from .resolve import resolve_df
 
 #: Sentences that are put behind a turn of a conversation, and the labels of their words by number.
@@ -56,13 +56,13 @@ def compiled_clauses(spark, sf_dir):
     said = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.pmod("o_orderkey", F.lit(len(FAMILIES))).cast("int"))
     for name, value in given.items():
         said = F.replace(said, F.lit(name), value.cast("string"))
-    found = compile_df(labels.label_df(orders.select("o_orderkey", said.alias("text")), "text")).withColumn("c", F.get("clauses", F.lit(0)))
     first = lambda field: F.coalesce(f"c.date.{field}", f"c.date.from.{field}")
-    return found.select(
-        "o_orderkey", F.col("c.date.kind").alias("kind"), first("day").alias("day"), first("month").alias("month"), F.coalesce("c.date.year", "c.date.to.year").alias("year"), F.col("c.date.to.day").alias("last_day"),
+    compiled = lambda texts: compile_df(labels.label_df(texts, "text")).withColumn("c", F.get("clauses", F.lit(0))).select(
+        "text", F.col("c.date.kind").alias("kind"), first("day").alias("day"), first("month").alias("month"), F.coalesce("c.date.year", "c.date.to.year").alias("year"), F.col("c.date.to.day").alias("last_day"),
         F.col("c.time.start.hour").alias("hour"), F.col("c.time.start.minute").alias("minute"), F.col("c.recurrence.freq").alias("freq"), F.col("c.recurrence.interval").alias("interval"), F.array_join("c.recurrence.by_day", ",").alias("by_day"),
         F.col("c.recurrence.count").alias("times"), F.col("c.shift.amount").alias("amount"), F.col("c.shift.direction").alias("direction"), F.get("diagnostics", F.lit(0)).alias("code"),
     )
+    return once(orders.select("o_orderkey", said.alias("text")), ["text"], compiled).drop("text")  # many orders say the same
 
 
 #: What is said of each order by number, the last without a time.
