@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 SPAN_ENDS, SPAN_BEGINS, TOKEN = 0, 1, 2
 
 
-def swept(tokens: DataFrame, spans: DataFrame, by: list[str], bucket: int = 16_384) -> DataFrame:
+def swept(tokens: DataFrame, spans: DataFrame, by: list[str], bucket: int = 16_384, partitions: int | None = None) -> DataFrame:
     """(by, what, start, end, span, cut): every token once and every span twice, by its beginning and its end.
 
     Tokens and spans are `start` and `end` beside the columns `by` that name their text; neither overlap among
     themselves. Where spans do, a token is held against the last that began, of these the longest. `span` is the
     (start, end) that a token lies in, null if it lies in none whole; `cut` says of an end of a span that it falls inside a
-    token. Rows with a null place or an end before their start are left out.
+    token. Rows with a null place or an end before their start are left out. `partitions` is how many tasks they are swept
+    in, by default as many as a shuffle has; a task sorts all of its rows, so over large tables it should grow with them.
     """
     place = lambda df: df.where("start <= end").select(F.struct(*by).alias("_key"), F.col("start").cast("long"), F.col("end").cast("long"))
     t, s = place(tokens), place(spans)
     both = s.select("_key", F.explode(F.array(F.lit(SPAN_ENDS), F.lit(SPAN_BEGINS))).alias("what"), "start", "end").unionByName(t.withColumn("what", F.lit(TOKEN)))
     at = F.when(F.col("what") == SPAN_ENDS, F.col("end")).otherwise(F.col("start"))
-    both = both.withColumn("_b", F.floor(at / bucket)).where(F.col("_b").isNotNull() & F.col("_key").isNotNull()).repartition("_key", "_b")  # crosses the network once: what is carried and what is swept read the same columns
+    both = both.withColumn("_b", F.floor(at / bucket)).where(F.col("_b").isNotNull() & F.col("_key").isNotNull()).repartition(*([partitions] if partitions else []), "_key", "_b")  # crosses the network once: what is carried and what is swept read the same columns
     span, token = F.when(F.col("what") == SPAN_BEGINS, F.struct("start", "end")), F.when(F.col("what") == TOKEN, F.struct("start", "end"))
     before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ends = both.groupBy("_key", "_b").agg(F.max(span).alias("_s0"), F.max(token).alias("_t0"))  # structs order by start, then end

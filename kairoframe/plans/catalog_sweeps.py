@@ -12,6 +12,8 @@ from .catalog import SQL_KIND, SQL_TOKENS, query, table
 #: Zones by number: shifts of an hour, half an hour and none, a name that there isn't, no zone.
 ZONES = ["America/New_York", "Australia/Lord_Howe", "Asia/Ho_Chi_Minh", "Europe/Berlin", "Asia/Kathmandu", "No/Where", None]
 MINUTES = [105, 135, 165]
+#: Places of text whose tokens and spans one task sweeps, about.
+TASK_PLACES = 1 << 21
 SQL_ZONES = ", ".join("NULL" if z is None else f"'{z}'" for z in ZONES)
 
 
@@ -66,11 +68,16 @@ def idle_days(spark, sf_dir):
     'SELECT conv_id, turn, b AS start, b + 40 AS "end", tokens, cut_start, cut_end, tokens > 0 AND NOT cut_start AND NOT cut_end AS aligned FROM c'
 )
 def span_alignment(spark, sf_dir):
-    """Spans of forty places in each turn against its words: how many each holds, which of its ends cut one."""
+    """Spans of forty places in each turn against its words: how many each holds, which of its ends cut one.
+
+    A first pass only adds up the lengths of the texts, so that a task's share stays the same however many there are.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", text.tokens(F.col("text")).alias("ts"))
     parts = rows.select("conv_id", "turn", F.inline(F.arrays_zip(F.col("ts").alias("t"), text.starts(F.col("ts")).alias("start"))))
     tokens = parts.where(text.kind(F.col("t")) != 3).select("conv_id", "turn", "start", (F.col("start") + text.units(F.col("t"))).alias("end"))
     last = text.units(F.col("text")) - 1
     spans = rows.where(last >= 0).select("conv_id", "turn", F.explode(F.sequence(F.lit(0), last, F.lit(50))).alias("start")).withColumn("end", F.col("start") + 40)
     by = ["conv_id", "turn"]
-    return alignment.spans_held(alignment.swept(tokens, spans, by), by)
+    places = rows.agg(F.sum(F.length("text"))).head()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places // TASK_PLACES + 1)
+    return alignment.spans_held(alignment.swept(tokens, spans, by, partitions=tasks), by)

@@ -113,3 +113,12 @@ def test_periods_that_repeat_are_the_same_in_sql(spark, tmp_path):
     wanted = con.execute(catalog.SQL["busy_periods"]).fetchall()
     got = [tuple(r) for r in catalog_sweeps.busy_periods(spark, str(tmp_path)).collect()]
     assert len(got) == 900 and sorted(got) == sorted(wanted)
+
+
+def test_a_sweeps_tasks_grow_with_its_texts(spark, tmp_path, monkeypatch):
+    seen, plain = [], alignment.swept
+    monkeypatch.setattr(alignment, "swept", lambda *a, **k: (seen.append(plain(*a, **k)), seen[-1])[1])
+    monkeypatch.setattr(catalog_sweeps, "TASK_PLACES", 500)
+    spark.sql("select id conv_id, 0L turn, repeat('ab cde, ', 25) text from range(60) union all select 60, 0, null").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert catalog_sweeps.span_alignment(spark, str(tmp_path)).count() == 60 * 4
+    assert seen[0].select(F.spark_partition_id()).distinct().count() > 4  # a shuffle has four
