@@ -12,10 +12,12 @@ candidate.
    tasks. A collision lets something through, never keeps it out, and nothing else is decided by hash. A
    corpus with very many passing pairs fills the bitmap, which then spares less work: raise `slots` with it.
 3. In a shard the longest stretches of passing triples, and the passing pairs outside of them, each distinct
-   one once with how often it occurs, go into a generalised suffix automaton. A state stands for the
+   one once with how often it occurs, go into generalised suffix automata of bounded size. A state stands for the
    substrings that end at the same places; their number is summed along the suffix links from the longest
    state down. A state gives its substrings between its link's length and its own, up to `longest` words.
-4. The counts are added over shards by the phrase itself, so that they are exact.
+4. The counts are added by the phrase itself, so that they are exact: first over the shards of a task, then over
+   tasks. A task hands on lists of phrases, one for each language and each of `PARTS` parts that phrases fall
+   into by hash; a part's lists meet in one task, which gives each phrase once.
 5. A candidate drops out when a longer one contains it as often as it occurs at all. Then one that is
    longer by one word does, so every candidate tells its suffix link (itself without its first word) and
    its counterpart without its last word how often it occurs.
@@ -30,6 +32,7 @@ lang. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,10 @@ from .common import materialise, plain
 
 #: Words of a shard; bits of a bitmap.
 SHARD, SLOTS = 1 << 18, 1 << 26
+#: Parts that phrases fall into; phrases that a task keeps before it hands them on.
+PARTS, KEPT = 256, 1 << 18
+#: Symbols of the stretches that go into one automaton; rows that are gathered before they are added up.
+SYMBOLS, GATHERED = 1 << 16, 1 << 15
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -113,6 +120,9 @@ def vocabulary(shard: str) -> list[str]:
     return shard.split("\n")
 
 
+FIELDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, known, counts in zip(*batch.columns, strict=True):
@@ -148,18 +158,30 @@ def inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def bitmap(slots: int):
-    """One bitmap of a column of hashes."""
+    """One bitmap of a column of hashes, compressed: while few bits are set it is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(slots // 8, np.uint8)
         for batch in batches:
             slot = (np.asarray(batch.column(0)).view(np.uint64) % np.uint64(slots)).astype(np.int64)
             np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)])], names=["bits"])
 
     return run
 
 
+def opened(bits: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(bits), np.uint8)
+
+
+def united(bitmaps: Iterator[bytes], slots: int) -> bytes:
+    """What is set in any of compressed bitmaps; one at a time is open."""
+    out = np.zeros(slots // 8, np.uint8)
+    for bits in bitmaps:
+        out |= opened(bits)
+    return zlib.compress(out, 1)
+
+
 def chains(lang: str, names: list[str], numbers: np.ndarray, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of words (no bitmap), pairs of passing words (one) or triples of passing pairs (two): the place of each, and its hash.
 
@@ -183,7 +205,7 @@ def chain_counts(bitmaps):
     """(gram, times) of each distinct word, pair or triple of a shard, by the number of broadcast bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
+        bits = [opened(b.value) for b in bitmaps]
         for batch in batches:
             for lang, known, sequence in zip(*batch.columns, strict=True):
                 _, hashes = chains(lang.as_py(), vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32), bits)
@@ -269,33 +291,92 @@ class SuffixAutomaton:
             yield size, end[have], counted[have]
 
 
+def added(tables: list[pa.Table]) -> pa.Table:
+    """(lang, phrase, f): each phrase once, with the sum of its counts."""
+    return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(FIELDS.names)
+
+
+def gathered(tables: Iterator[pa.Table], most: float = float("inf")) -> Iterator[pa.Table]:
+    """The same counts in few tables: each phrase once, or once in every `most` phrases."""
+    pending, size, limit = [], 0, GATHERED
+    for table in tables:
+        pending.append(table)
+        size += len(table)
+        if size >= limit:
+            pending = [added(pending)]
+            size = len(pending[0])
+            limit = max(GATHERED, 2 * size)
+            if size >= most:
+                yield pending.pop()
+                size, limit = 0, GATHERED
+    if pending:
+        yield added(pending)
+
+
+def portions(found: dict[bytes, int]) -> Iterator[list[tuple[bytes, int]]]:
+    """Stretches with their numbers, at most so many that an automaton of them stays small."""
+    out, size = [], 0
+    for key, weight in found.items():
+        out.append((key, weight))
+        size += len(key) // 4
+        if size >= SYMBOLS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def phrase_counts(bitmaps, longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
+    """Shards to (part, lang, phrases, counts): the phrases of a task, in lists by part and language."""
+
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        bits = [opened(b.value) for b in bitmaps]
         for batch in batches:
             for lang, known, sequence in zip(*batch.columns, strict=True):
                 names, numbers = vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32)
                 pairs, hashes = chains(lang.as_py(), names, numbers, bits[:1])
                 triples, _ = chains(lang.as_py(), names, numbers, bits)
-                found = stretches(numbers, pairs[inside(bits[1], hashes)], triples)
-                if not found:
-                    continue
-                automaton, at = SuffixAutomaton(), 0
-                for key, weight in found.items():
-                    automaton.add(np.frombuffer(key, np.int32).tolist(), at, weight)
-                    at += len(key) // 4
-                text = np.frombuffer(b"".join(found), np.int32) - 1
                 dictionary = pa.array(names, pa.string())
-                for size, ends, times in automaton.substrings(longest):
-                    for part in np.array_split(np.arange(len(ends)), len(ends) // 65_536 + 1):
-                        columns = [dictionary.take(pa.array(text[ends[part] - back])) for back in range(size - 1, -1, -1)]
+                for found in portions(stretches(numbers, pairs[inside(bits[1], hashes)], triples)):
+                    automaton, at = SuffixAutomaton(), 0
+                    for key, weight in found:
+                        automaton.add(np.frombuffer(key, np.int32).tolist(), at, weight)
+                        at += len(key) // 4
+                    text = np.frombuffer(b"".join(key for key, _ in found), np.int32) - 1
+                    for size, ends, times in automaton.substrings(longest):
+                        columns = [dictionary.take(pa.array(text[ends - back])) for back in range(size - 1, -1, -1)]
                         phrase = pc.binary_join_element_wise(*columns, " ")
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), phrase, pa.array(times[part].astype(np.int64))], names=["lang", "phrase", "f"])
+                        yield pa.table([pa.repeat(lang, len(ends)), phrase, pa.array(times.astype(np.int64))], schema=FIELDS)
             pa.default_memory_pool().release_unused()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(found_in(batches), KEPT):
+            for lang in table.column("lang").unique():
+                own = table.filter(pc.equal(table.column("lang"), lang))
+                phrases, times = own.column("phrase").to_pylist(), own.column("f").to_numpy()
+                part = np.array([xxhash.xxh3_64_intdigest(p) % PARTS for p in phrases], np.int32)
+                order = np.argsort(part, kind="stable")
+                for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    if len(places):
+                        columns = [part[places[:1]], [lang.as_py()], ["\n".join([phrases[i] for i in places.tolist()])], [times[places].tobytes()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "lang", "phrases", "counts"])
+
     return run
 
 
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of the lists of whole parts, each phrase once."""
+
+    def lists() -> Iterator[pa.Table]:
+        for batch in batches:
+            for lang, phrases, counts in zip(*(batch.column(c) for c in ("lang", "phrases", "counts")), strict=True):
+                names, f = vocabulary(phrases.as_py()), np.frombuffer(counts.as_py(), np.int64)
+                yield pa.table([pa.repeat(lang, len(names)), pa.array(names, pa.string()), pa.array(f)], schema=FIELDS)
+
+    for table in gathered(lists()):
+        yield from table.to_batches(65_536)
+
+
 def counts(docs: DataFrame, least: int, longest: int, shard: int, slots: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to `longest` words that occur `least` times, and (lang, n)."""
     texts = plain(docs, "lang", "text").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -312,9 +393,9 @@ def counts(docs: DataFrame, least: int, longest: int, shard: int, slots: int) ->
             counted = whole.mapInArrow(chain_counts(list(bitmaps)), "gram long, times int")
             grams = counted.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("gram")
         found = materialise(grams, "passing").coalesce(4).mapInArrow(bitmap(slots), "bits binary").collect()
-        parts = [np.frombuffer(r["bits"], np.uint8) for r in found]
-        bitmaps.append(docs.sparkSession.sparkContext.broadcast(np.bitwise_or.reduce([*parts, np.zeros(slots // 8, np.uint8)]).tobytes()))
-    several = whole.mapInArrow(phrase_counts(bitmaps, longest), table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        bitmaps.append(docs.sparkSession.sparkContext.broadcast(united((r["bits"] for r in found), slots)))
+    lists = whole.mapInArrow(phrase_counts(bitmaps, longest), "part int, lang string, phrases string, counts binary")
+    several = lists.repartition("part").mapInArrow(sums, table).where(F.col("f") >= least)
     return materialise(single.union(several), "phrases"), totals
 
 

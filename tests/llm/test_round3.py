@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,44 @@ def test_collocations_are_those_of_brute_force(spark):
     assert collocations.mine(docs.limit(0)).count() == 0
 
 
+def test_phrases_of_shards_are_added_up_before_they_are_rows(spark, monkeypatch):
+    text = " ".join(random.Random(7).choices("abcdefgh", k=4_000))
+    rows = [(lang, text) for lang in ("en", "de\nx") for _ in range(12)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    made, map_in_arrow = [], type(docs).mapInArrow
+
+    def counted(df, run, schema, *more, **named):
+        out = map_in_arrow(df, run, schema, *more, **named)
+        if schema == "lang string, phrase string, f long":
+            made.append(out.where("phrase like '% %'").count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    known, _ = collocations.counts(docs, 12, 5, 4_000, 1 << 16)
+    many = {tuple(r) for r in known.where("phrase like '% %'").collect()}
+    assert len(many) > 1_000 and sum(made) <= 1.1 * len(many)  # not once a shard
+    monkeypatch.setattr(collocations, "GATHERED", 8)  # without Spark: what passes the limit is handed on, and nothing is lost
+    tables = [pa.table([["en"] * 9, list("abcdefghi"), [1] * 9], schema=collocations.FIELDS)] * 5
+    parts = list(collocations.gathered(iter(tables), 9))
+    assert len(parts) == 5 and sum(map(len, collocations.gathered(iter(tables)))) == 9
+    assert sorted(map(tuple, map(dict.values, collocations.added(parts).to_pylist()))) == [("en", c, 5) for c in "abcdefghi"]
+
+
+def test_stretches_go_into_automata_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(collocations, "SYMBOLS", 10)
+    found = {np.arange(i, i + 4, dtype=np.int32).tobytes(): i + 1 for i in range(20)}
+    parts = list(collocations.portions(found))
+    assert dict(x for part in parts for x in part) == found and max(sum(len(key) // 4 for key, _ in part) for part in parts) < 14
+
+
+def test_bitmaps_are_sent_compressed():
+    hashes = pa.RecordBatch.from_arrays([pa.array(np.arange(0, 1 << 40, 1 << 33), pa.int64())], names=["gram"])
+    made = [next(collocations.bitmap(1 << 26)(iter([part]))).column(0)[0].as_py() for part in (hashes.slice(0, 60), hashes.slice(60))]
+    both = collocations.united(iter(made), 1 << 26)
+    assert max(map(len, [*made, both])) < 100_000  # of 8 MB
+    assert collocations.inside(collocations.opened(both), np.asarray(hashes.column(0)).view(np.uint64)).all()
+
+
 def test_automaton_counts_all_substrings():
     rng = random.Random(1)
     runs = [([rng.randrange(3) for _ in range(rng.randrange(1, 12))], rng.randrange(1, 4)) for _ in range(60)]
