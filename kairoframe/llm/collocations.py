@@ -8,8 +8,9 @@ candidate.
    numbers in order with zeros between pieces. They are written once; all later passes read them.
 2. A phrase can only occur `least` times if its words, its pairs and its triples of words do. Words, then
    pairs of passing words, then triples of passing pairs are counted by hash over all shards, each in one
-   exchange; of those that pass, a bitmap of fixed size (`slots` bits, whatever the corpus) goes to all
-   tasks. A collision lets something through, never keeps it out, and nothing else is decided by hash. A
+   exchange. Hashes of pairs and triples go there in lists of five bytes a hash, by the part that they fall
+   into; a task adds up one part at a time, and the parts grow in number with the corpus, not in size. Of
+   those that pass, a bitmap of fixed size (`slots` bits, whatever the corpus) goes to all tasks. A collision lets something through, never keeps it out, and nothing else is decided by hash. A
    corpus with very many passing pairs fills the bitmap, which then spares less work: raise `slots` with it.
 3. In a shard the longest stretches of passing triples, and the passing pairs outside of them, each distinct
    one once with how often it occurs, go into generalised suffix automata of bounded size. A state stands for the
@@ -48,6 +49,11 @@ from .common import materialise, plain
 SHARD, SLOTS = 1 << 18, 1 << 26
 #: Parts that phrases fall into; phrases that a task keeps before it hands them on.
 PARTS, KEPT = 256, 1 << 18
+#: Words of the corpus to a part of the hashes, hashes that a task gathers before it hands them on.
+SPREAD, HANDED = 1 << 21, 1 << 21
+#: Shards have a row for each language, of up to some MB: a page a row, and groups of rows that a reader can hold.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(4 << 20)}
+LOW = np.uint64(32)
 #: Symbols of the stretches that go into one automaton; rows that are gathered before they are added up.
 SYMBOLS, GATHERED = 1 << 16, 1 << 15
 WORD, GAP, END = 0, 1, 2
@@ -151,9 +157,14 @@ def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """The bit of each hash in a bitmap, by its last 32 bits: lists of hashes keep those and a few more."""
+    return (hashes.astype(np.uint32) % np.uint64(slots)).astype(np.int64)
+
+
 def inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bits of these hashes are set."""
-    slot = (hashes % np.uint64(8 * len(bits))).astype(np.int64)
+    slot = slot_of(hashes, 8 * len(bits))
     return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -163,7 +174,7 @@ def bitmap(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(slots // 8, np.uint8)
         for batch in batches:
-            slot = (np.asarray(batch.column(0)).view(np.uint64) % np.uint64(slots)).astype(np.int64)
+            slot = slot_of(np.asarray(batch.column(0)).view(np.uint64), slots)
             np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)])], names=["bits"])
 
@@ -201,19 +212,50 @@ def chains(lang: str, names: list[str], numbers: np.ndarray, bitmaps: list[np.nd
     return places, hashes
 
 
-def chain_counts(bitmaps):
-    """(gram, times) of each distinct word, pair or triple of a shard, by the number of broadcast bitmaps."""
+def chain_counts(bitmaps, least: int, parts: int):
+    """Shards to (part, grams, times): the pairs or triples of a task, by the number of broadcast bitmaps, in lists by part.
+
+    A gram is the last 32 bits of a hash, its part the bits before them (`parts` is a power of two). More than
+    `least` times count as `least`: they pass with those alone.
+    """
+
+    def lists(pending: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, times = np.unique(np.concatenate(pending), return_counts=True)
+        pending.clear()
+        grams, times = found.astype(np.uint32), np.minimum(times, least).astype(np.min_scalar_type(least))
+        bounds = np.searchsorted(found, np.arange(parts + 1, dtype=np.uint64) << LOW)
+        full = np.flatnonzero(np.diff(bounds))
+        cut = lambda values: pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(grams), cut(times)], names=["part", "grams", "times"])
+        pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [opened(b.value) for b in bitmaps]
+        bits, pending, size = [opened(b.value) for b in bitmaps], [], 0
         for batch in batches:
             for lang, known, sequence in zip(*batch.columns, strict=True):
                 _, hashes = chains(lang.as_py(), vocabulary(known.as_py()), np.frombuffer(sequence.as_py(), np.int32), bits)
-                found, times = np.unique(hashes.view(np.int64), return_counts=True)
-                for at in range(0, len(found), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(times[part].astype(np.int32))], names=["gram", "times"])
-            pa.default_memory_pool().release_unused()
+                pending.append(hashes & np.uint64((parts << 32) - 1))
+                size += len(hashes)
+                if size >= HANDED:
+                    yield from lists(pending)
+                    size = 0
+        if size:
+            yield from lists(pending)
+
+    return run
+
+
+def passing(least: int):
+    """The lists of one part to the grams that occur `least` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        grams, times = join("grams", np.uint32), join("times", np.min_scalar_type(least))
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        found = grams[first][np.add.reduceat(times[order], first, dtype=np.int64) >= least]
+        return pa.table({"gram": found.astype(np.int64) | table.column("part")[0].as_py() << 32})
 
     return run
 
@@ -380,18 +422,21 @@ def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(docs: DataFrame, least: int, longest: int, shard: int, slots: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to `longest` words that occur `least` times, and (lang, n)."""
     texts = plain(docs, "lang", "text").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shards = materialise(texts.mapInArrow(encode(shard), "lang string, n long, vocabulary string, counts binary, sequence binary"), "shards")
+    shards = materialise(texts.mapInArrow(encode(shard), "lang string, n long, vocabulary string, counts binary, sequence binary"), "shards", PAGES)
     totals = materialise(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     table = "lang string, phrase string, f long"
     single = shards.select("lang", "vocabulary", "counts").mapInArrow(word_counts, table).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     single = materialise(single, "words")
     whole, bitmaps = shards.select("lang", "vocabulary", "sequence"), []
+    n, parts = totals.agg(F.sum("n")).first()[0] or 0, PARTS
+    while parts * SPREAD < n:
+        parts *= 2
     for size in (1, 2, 3):
         if size == 1:
             grams = single.select("lang", "phrase").mapInArrow(hashed, "gram long")
         else:
-            counted = whole.mapInArrow(chain_counts(list(bitmaps)), "gram long, times int")
-            grams = counted.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("gram")
+            lists = whole.mapInArrow(chain_counts(list(bitmaps), least, parts), "part int, grams binary, times binary")
+            grams = lists.groupBy("part").applyInArrow(passing(least), "gram long")
         found = materialise(grams, "passing").coalesce(4).mapInArrow(bitmap(slots), "bits binary").collect()
         bitmaps.append(docs.sparkSession.sparkContext.broadcast(united((r["bits"] for r in found), slots)))
     lists = whole.mapInArrow(phrase_counts(bitmaps, longest), "part int, lang string, phrases string, counts binary")
